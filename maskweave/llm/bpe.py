@@ -14,19 +14,16 @@ import mmap
 import os
 import tempfile
 import unicodedata
-import zlib
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .common import texts
+from .common import map_batches, texts
 
 #: Words in the automaton: with their ids a few MB, broadcast to the executors.
 LEXICON_WORDS = 65_536
@@ -286,22 +283,22 @@ class Decoder:
 
 
 def _count(path: str):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches):
         cut, n = vocabulary(path).words, Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
+        for batch in batches:
+            for text in batch["text"]:
                 n.update(cut(text))
             if len(n) > 4 * LEXICON_WORDS:
-                yield pd.DataFrame({"word": list(n.keys()), "n": list(n.values())})
+                yield {"word": list(n.keys()), "n": list(n.values())}
                 n = Counter()
-        yield pd.DataFrame({"word": list(n.keys()), "n": list(n.values())}, columns=["word", "n"])
+        yield {"word": list(n.keys()), "n": list(n.values())}
 
     return count
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> DataFrame:
     """(word, n): the ``size`` most frequent words over all texts, ties by the word. Tasks send counts, not words."""
-    counted = texts(docs).select("text").mapInPandas(_count(path), "word string, n long")
+    counted = map_batches(texts(docs).select("text"), _count(path), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
 
 
@@ -311,15 +308,8 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> byte
     return compile_lexicon([(w, vocab.exact(w)) for w in words])
 
 
-def _coder(path: str, block):
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, decoder = Encoder(path, mapped(block.value)), Decoder(path)
-        for pdf in batches:
-            ids = [encoder.encode(t) for t in pdf["text"]]
-            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) and x.count(" ") + 1 for x in ids], "ids_sha256": map(sha, ids), "decoded_sha256": [sha(decoder.decode(x)) for x in ids]})
-
-    return code
+def _sha256(s: str) -> str:
+    return hashlib.sha256(s.encode()).hexdigest()
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -329,31 +319,39 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     own; an empty table gives an empty result. Two passes over the texts, one to count words; only counts shuffle.
     """
     block = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path))
-    return texts(docs).mapInPandas(_coder(path, block), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def code(batches):
+        encoder, decoder = Encoder(path, mapped(block.value)), Decoder(path)
+        for batch in batches:
+            ids = [encoder.encode(t) for t in batch["text"]]
+            yield {
+                "doc_id": batch["doc_id"],
+                "n_tokens": [len(x) and x.count(" ") + 1 for x in ids],
+                "ids_sha256": [_sha256(x) for x in ids],
+                "decoded_sha256": [_sha256(decoder.decode(x)) for x in ids],
+            }
+
+    return map_batches(texts(docs), code, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """docs' doc_id with ``ids array<int>``."""
+    """docs' doc_id with ``ids array<int>``; null and empty texts have no ids."""
     block = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path))
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches):
         encoder = Encoder(path, mapped(block.value))
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.frombuffer(encoder.encode_packed(t), "<i4") for t in pdf["text"]]})
+        for batch in batches:
+            yield {"doc_id": batch["doc_id"], "ids": [np.frombuffer(encoder.encode_packed(t), "<i4") for t in batch["text"]]}
 
-    return texts(docs).mapInPandas(code, "doc_id long, ids array<int>")
+    return map_batches(texts(docs), code, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) to doc_id with ``text``."""
+    """(doc_id, ids) to doc_id with ``text``; null ids are none."""
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches):
         strings = vocabulary(path).strings
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [" ".join(strings[i] for i in ids) for ids in pdf["ids"]]})
-
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInPandas(code, "doc_id long, text string")
-
+        for batch in batches:
+            yield {"doc_id": batch["doc_id"], "text": [" ".join(strings[i] for i in ids or ()) for ids in batch["ids"]]}
 
-def crc(packed: bytes) -> int:
-    return zlib.crc32(packed)
+    return map_batches(encoded.select("doc_id", "ids"), code, "doc_id long, text string")

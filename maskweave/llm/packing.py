@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import staged, texts
+from .common import map_batches, staged, texts
 
 WINDOW = 2048
 END_ID = 1
 #: Pieces that one task packs; windows are closed at its end, so more of them waste less.
 SHARD_PIECES = 12_000
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
 
 class CapacityTree:
@@ -74,17 +73,17 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def _cutter(path: str, window: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches):
         """Each document's ids and the end id, as full windows and one remainder."""
         encoder, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = encoder.encode_packed(text) + end
                 for at in range(0, len(ids), 4 * window):
                     piece = ids[at : at + 4 * window]
                     rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            yield dict(zip(PIECE, zip(*rows), strict=True)) if rows else dict.fromkeys(PIECE, [])
 
     return cut
 
@@ -96,7 +95,7 @@ def _packer(window: int):
         # Shards take turns in the numbering: unique without counting how many windows each has.
         pdf["sequence_id"] = numbers * pdf["shards"] + pdf["shard"]
         pdf["offset"] = offsets
-        return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        return pdf[[*PIECE, "sequence_id", "offset"]]
 
     return pack
 
@@ -111,8 +110,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     Ids stay in the task that made them; only the pieces' numbers shuffle. A piece's shard is a hash of its document
     and place, so that no shard is larger than others, whatever the documents' lengths.
     """
-    pieces = texts(docs).mapInPandas(_cutter(path, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = map_batches(texts(docs), _cutter(path, window), ", ".join(f"{c} long" for c in PIECE))
     pieces = staged(pieces, "pieces")
     shards = max(1, round(pieces.count() / SHARD_PIECES))
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))).withColumn("shards", F.lit(shards))
-    return sharded.groupBy("shard").applyInPandas(_packer(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return sharded.groupBy("shard").applyInPandas(_packer(window), ", ".join(f"{c} long" for c in (*PIECE, "sequence_id", "offset")))

@@ -7,10 +7,9 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import map_batches, texts
 
 # The forms every scan reports.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -101,17 +100,19 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+RESULT = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy")
+
+
+def _scan(batches):
+    for batch in batches:
         rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             base = base_spans(text)
             more = entropy_spans(text, base)
             every = sorted(base + more, key=lambda s: (s[0], s[1], s[2]))
             n = [sum(s[2] == k for s in base) for k in KINDS]
-            sha = hashlib.sha256(joined(base).encode()).hexdigest()
-            rows.append((doc_id, *n, sha, joined(every), len(more)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"]).astype({"doc_id": "Int64"})
+            rows.append((doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(more)))
+        yield dict(zip(RESULT, zip(*rows), strict=True)) if rows else dict.fromkeys(RESULT, [])
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -121,4 +122,4 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     repeat, or have a null doc_id, are scanned each on its own; an empty table gives an empty result. One pass, no
     shuffle, and memory for one Arrow batch and the longest text.
     """
-    return texts(docs).mapInPandas(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
+    return map_batches(texts(docs), _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
