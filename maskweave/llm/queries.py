@@ -14,6 +14,7 @@ from .langid import identify
 from .packing import pack
 from .quality import quality
 from .secrets import find_secrets
+from .spotsigs import fingerprints
 
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +44,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLES: dict[str, str] = {
