@@ -1,7 +1,7 @@
 """SpotSigs document fingerprints, by DataFrame functions only.
 
-A spot is a common word (the anchor) with the chain of the next content words; a text's fingerprint is its set of
-spots. Sets are compared by Jaccard likeness, and only where their lengths allow the likeness that is asked for.
+A spot is a common word (the anchor) with the chain of the next content words; a text's fingerprint is its multiset
+of spots. They are compared by Jaccard likeness, and only where their lengths allow the likeness that is asked for.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ def _patterns(chain: int) -> tuple[str, str, str]:
 
 
 def with_spots(df: DataFrame, text: str, spots: str, chain: int = CHAIN) -> DataFrame:
-    """df with the column ``spots``: the sorted set of 32-bit hashes of the spots of ``text``.
+    """df with the column ``spots``: 32-bit hashes of the spots of ``text``, the second, third, ... of a spot as one of
+    their own, so that comparing sets compares multisets.
 
     Anchors within a chain are passed over. What is a spot depends on a few words around it alone, so an edit changes
     only the spots that it touches. In a text without any, every word is an anchor; a text of fewer words than a chain
@@ -57,7 +58,17 @@ def with_spots(df: DataFrame, text: str, spots: str, chain: int = CHAIN) -> Data
     none = F.when(F.length("_words") > 2, F.array(F.col("_words"))).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("_chains", F.when(F.size("_chains") > 0, F.col("_chains")).otherwise(none))
     hashed = F.transform("_chains", lambda c: F.shiftrightunsigned(F.xxhash64(c), 32))
-    return df.withColumn(spots, F.array_sort(F.array_distinct(hashed))).drop("_words", "_chains")
+    df = df.withColumn("_hashes", F.sort_array(hashed))
+    # Equal hashes stand together: where runs begin, and then the members of each run, numbered from 0.
+    changes = F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), lambda i: (i == 0) | (F.get("_hashes", i) != F.get("_hashes", i - 1)))
+    df = df.withColumn("_runs", F.when(F.size("_hashes") > 0, changes).otherwise(F.array().cast("array<int>")))
+
+    def members(begin: Column, run: Column) -> Column:
+        n = F.coalesce(F.get("_runs", run + 1), F.size("_hashes")) - begin
+        first = F.get("_hashes", begin)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(k == 0, first).otherwise(F.shiftrightunsigned(F.xxhash64(first, k), 32)))
+
+    return df.withColumn(spots, F.array_distinct(F.flatten(F.transform("_runs", members)))).drop("_words", "_chains", "_hashes", "_runs")
 
 
 def likeness(a: str, b: str, least: float = LEAST) -> Column:
