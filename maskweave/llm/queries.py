@@ -12,6 +12,7 @@ from .common import table
 from .exact import exact_groups
 from .langid import identify
 from .packing import pack
+from .pii import find_pii
 from .quality import quality
 from .secrets import find_secrets
 from .spotsigs import fingerprints
@@ -36,6 +37,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("text_hash", "more")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,12 +58,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
