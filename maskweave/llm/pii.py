@@ -29,7 +29,7 @@ ROUNDS = 3
 #: A pattern needs so many different seeds, and that score, for its instances to be reported.
 SEEDS, GOOD = 3, 0.8
 
-SPAN = "array<struct<start:int,end:int>>"
+NAMED = "array<struct<kind:string,start:int,end:int>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -84,7 +84,11 @@ def _scan(docs: DataFrame) -> DataFrame:
     """One pass over the texts: base spans by kind, and seeds and look-alikes with their contexts."""
     df = with_base(texts(docs).withColumn("row_id", F.monotonically_increasing_id()))
     text = F.col("text")
-    seeds = F.concat(*(F.transform(k, lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["start"], m["end"], F.lower(m["value"]).alias("value"), _context(text, m["start"]).alias("context"))) for k in KINDS))
+
+    def seeds_of(kind: str) -> Column:
+        return F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"], m["end"], F.lower(m["value"]).alias("value"), _context(text, m["start"]).alias("context")))
+
+    seeds = F.concat(*map(seeds_of, KINDS))
     alike = F.when(text.rlike("[0-9]{2}"), matches(text, LIKE))
     alike = F.transform(alike, lambda m: F.struct(m["start"], m["end"], digits(m["value"]).alias("value"), _context(text, m["start"]).alias("context")))
     spans = {k: F.transform(k, lambda m: F.struct(m["start"], m["end"])).alias(k) for k in KINDS}
@@ -131,8 +135,13 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _kinds(of: tuple[str, ...]) -> Column:
-    return F.concat(*(F.transform(k, lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))) for k in of))
+def _kind(kind: str) -> Column:
+    """The base spans of a kind, with its name."""
+    return F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+
+
+def _more(kind: str) -> Column:
+    return F.filter(F.coalesce("more", F.array().cast(NAMED)), lambda m: m["kind"] == kind)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -145,16 +154,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
     scanned = staged(_scan(docs), "pii-scan")
     more = discovered(scanned).groupBy("row_id").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     out = scanned.select("row_id", "doc_id", "text_hash", *KINDS).join(more, "row_id", "left")
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    every = F.flatten(F.array(*(F.array_sort(F.concat(_kinds((k,)), F.filter(F.coalesce("more", none), lambda m, k=k: m["kind"] == k))) for k in KINDS)))
+    every = F.concat(*(F.sort_array(F.concat(_kind(k), _more(k))) for k in KINDS))
     return out.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
-        F.sha2(joined(_kinds(KINDS)), 256).alias("base_sha256"),
+        F.sha2(joined(F.concat(*map(_kind, KINDS))), 256).alias("base_sha256"),
         joined(every).alias("spans"),
         F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_discovered"),
         "text_hash",
-        F.coalesce("more", none).alias("more"),
+        F.coalesce("more", F.array().cast(NAMED)).alias("more"),
     )
 
 
@@ -174,8 +182,7 @@ def redact(docs: DataFrame) -> DataFrame:
         more = F.broadcast(more)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
     held = docs.select(F.struct("*").alias("_row"), *("doc_id", "text")).join(more, same, "left")
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    spans = F.concat(_kinds(KINDS), F.coalesce("_more", none))
+    spans = F.concat(*map(_kind, KINDS), F.coalesce("_more", F.array().cast(NAMED)))
     by_place = F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"]))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
