@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bagminhash import near_classes
 from .bpe import encode_digests
 from .common import table
 from .exact import exact_groups
@@ -21,6 +22,10 @@ from .spotsigs import fingerprints
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op4_language": op4_language,
