@@ -11,6 +11,7 @@ from .bagminhash import near_classes
 from .bpe import encode_digests
 from .common import table
 from .exact import exact_groups
+from .html import main_text
 from .langid import identify
 from .packing import pack
 from .pii import find_pii
@@ -42,6 +43,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("text_hash", "more")
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
+    "op6_html": op6_html,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_html": op6_html,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_exact_dedup": r"""
