@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, map_batches, mix, texts
+from .common import MULTIPLIER, map_batches, mix, staged, texts
 
 #: Cells of the hashed n-gram table: its size, 8 bytes a cell and language, is the model's size at any corpus size.
 CELLS = 1 << 16
@@ -21,6 +21,8 @@ SCRIPT_SHARE = 0.001
 #: Languages that a model may hold; lang is a column of codes, and more of them point to an error in it.
 MAX_LANGUAGES = 512
 UNDETERMINED = "und"
+#: Rejected texts up to here are broadcast by hash (8 bytes each) to the rows; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 # First and last code point of the ranges of each script.
 SCRIPTS = {
@@ -256,3 +258,24 @@ def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows that aren't held out, then predict all: doc_id, held_out, lang_pred, score."""
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: Below this share of the letters no language is the text's main one.
+LEAST_SHARE = 0.3
+
+
+def accepted(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs whose text has a main language, with all their columns.
+
+    The model learns from the labelled rows that aren't held out. Rows without a letter go, and such in which no
+    language has the share ``least`` of the letters; a row with a null or unknown lang is judged like any other.
+    Decisions meet the rows by a hash of the text: what is rejected depends on the text alone.
+    """
+    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    hashed = docs.select(F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))).alias("doc_id"), "text")
+    rejected = predict(hashed, model).filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)).select(F.col("doc_id").alias("_hash")).distinct()
+    rejected = staged(rejected, "rejected")
+    if rejected.count() <= BROADCAST_ROWS:
+        rejected = F.broadcast(rejected)
+    own = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))))
+    return own.join(rejected, F.col("_own") == F.col("_hash"), "left_anti").drop("_own")
