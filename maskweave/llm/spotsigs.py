@@ -21,54 +21,66 @@ ANCHORS = (
     "el los las y del se por con una su para lo al es como más pero o",
 )
 #: Words that begin with these letters are anchors, too: lists and other texts without common words then have spots.
-ANCHOR_LETTERS = "eo"
-CHAIN = 2
+ANCHOR_LETTERS = "aeiou"
+#: Anchors that may stand between the two content words of a chain; the second is missing where more do.
+PASSED = 4
 #: A likeness that the lengths of two sets keep below this is given as 0, without comparing them.
 LEAST = 0.05
 ROWS_PER_RANGE = 1_000
 MAX_RANGES = 100_000
 
 
-def words_of(text: Column) -> Column:
-    """The text's words in lower case, a blank before, between and after them."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
+def _is_anchor(word: Column) -> Column:
+    out = word.isin(sorted({w for line in ANCHORS for w in line.split()}))
+    for letter in ANCHOR_LETTERS:
+        out = out | word.startswith(letter)
+    return out
 
 
-def _patterns(chain: int) -> tuple[str, str, str]:
-    anchor = "(?:" + "|".join(sorted({w for line in ANCHORS for w in line.split()})) + f"|[{ANCHOR_LETTERS}][^ ]*+)"
-    content = f"(?: {anchor}(?= ))*+ [^ ]+"
-    return f" (?=({anchor}{content * chain}) )", f"(?<= ){anchor} ", f" (?=([^ ]+{' [^ ]+' * chain}) )"
-
-
-def with_spots(df: DataFrame, text: str, spots: str, chain: int = CHAIN) -> DataFrame:
+def with_spots(df: DataFrame, text: str, spots: str) -> DataFrame:
     """df with the column ``spots``: 32-bit hashes of the spots of ``text``, the second, third, ... of a spot as one of
     their own, so that comparing sets compares multisets.
 
-    Anchors within a chain are passed over. What is a spot depends on a few words around it alone, so an edit changes
-    only the spots that it touches. In a text without any, every word is an anchor; a text of fewer words than a chain
-    has is one spot; a text without a word has none.
+    A spot is an anchor, the content word that follows it, and the next content word; anchors between them are passed
+    over. It depends on a few words alone, so an edit changes only the spots that it touches. In a text without any,
+    each three words are one; a text of one or two words is one spot; a text without a word has none.
     """
-    anchored, inner, every = _patterns(chain)
-    df = df.withColumn("_words", words_of(F.col(text)))
-    df = df.withColumn("_chains", F.regexp_extract_all("_words", F.lit(anchored), F.lit(1)))
-    df = df.withColumn(
-        "_chains",
-        F.when(F.size("_chains") > 0, F.transform("_chains", lambda c: F.regexp_replace(c, inner, ""))).otherwise(F.regexp_extract_all("_words", F.lit(every), F.lit(1))),
+    # Words are hashed once: anchors to even numbers, content words to odd ones.
+    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    df = df.withColumn("_codes", F.transform(words, lambda w: F.when(_is_anchor(w), F.xxhash64(w).bitwiseAND(-2)).otherwise(F.xxhash64(w).bitwiseOR(1))))
+
+    def code(i: Column) -> Column:
+        return F.get("_codes", i)
+
+    def content(i: Column) -> Column:
+        return F.when(code(i).bitwiseAND(1) == 1, code(i))
+
+    def places(of: str, less: int = 0) -> Column:
+        n = F.size(of) - less
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def spot(i: Column) -> Column:
+        return F.xxhash64(code(i), code(i + 1), F.coalesce(*(content(i + k) for k in range(2, PASSED + 3)), F.lit(0)))
+
+    anchored = F.filter(places("_codes", 1), lambda i: content(i).isNull() & content(i + 1).isNotNull())
+    df = df.withColumn("_hashes", F.transform(anchored, spot))
+    every = F.when(F.size("_codes") < 3, F.transform(F.slice("_codes", 1, 1), lambda c: F.xxhash64(c, code(F.lit(1)), F.lit(0)))).otherwise(
+        F.transform(places("_codes", 2), lambda i: F.xxhash64(code(i), code(i + 1), code(i + 2)))
     )
-    none = F.when(F.length("_words") > 2, F.array(F.col("_words"))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("_chains", F.when(F.size("_chains") > 0, F.col("_chains")).otherwise(none))
-    hashed = F.transform("_chains", lambda c: F.shiftrightunsigned(F.xxhash64(c), 32))
-    df = df.withColumn("_hashes", F.sort_array(hashed))
+    hashes = F.when(F.size("_hashes") > 0, F.col("_hashes")).otherwise(every)
+    df = df.withColumn("_hashes", F.sort_array(F.transform(hashes, lambda h: F.shiftrightunsigned(h, 32))))
     # Equal hashes stand together: where runs begin, and then the members of each run, numbered from 0.
-    changes = F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), lambda i: (i == 0) | (F.get("_hashes", i) != F.get("_hashes", i - 1)))
-    df = df.withColumn("_runs", F.when(F.size("_hashes") > 0, changes).otherwise(F.array().cast("array<int>")))
+    changes = F.filter(places("_hashes"), lambda i: (i == 0) | (F.get("_hashes", i) != F.get("_hashes", i - 1)))
+    df = df.withColumn("_runs", changes)
 
     def members(begin: Column, run: Column) -> Column:
         n = F.coalesce(F.get("_runs", run + 1), F.size("_hashes")) - begin
         first = F.get("_hashes", begin)
         return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(k == 0, first).otherwise(F.shiftrightunsigned(F.xxhash64(first, k), 32)))
 
-    return df.withColumn(spots, F.array_distinct(F.flatten(F.transform("_runs", members)))).drop("_words", "_chains", "_hashes", "_runs")
+    single = F.size("_runs") == F.size("_hashes")
+    counted = F.array_distinct(F.flatten(F.transform("_runs", members)))
+    return df.withColumn(spots, F.when(single, F.col("_hashes")).otherwise(counted)).drop("_codes", "_hashes", "_runs")
 
 
 def likeness(a: str, b: str, least: float = LEAST) -> Column:
