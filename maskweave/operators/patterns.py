@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import arrow_hits, can_be_empty, hits, literal, no_hits
+from ..functions.kernels import arrow_hits, can_be_empty, hits, let, literal, no_hits
 
 Compiled = Callable[[Column], Column]
 
@@ -141,8 +141,11 @@ def whole_line(pattern: str) -> Compiled:
         if not re.search(r"\\[nrsSDWv]|\[\^|\n|\(\?s", pattern):
             # No match can cross a line's end, so each line is looked at by itself.
             return F.filter(lines, lambda line: F.regexp_like(line["value"], F.lit(FLAGS + pattern)))
-        found = places(text)
-        return F.filter(lines, lambda line: F.exists(found, lambda h: (h["start"] >= line["start"]) & (h["start"] < line["start"] + line["length"])))
+
+        def held(found: Column) -> Column:
+            return F.filter(lines, lambda line: F.exists(found, lambda h: (h["start"] >= line["start"]) & (h["start"] < line["start"] + line["length"])))
+
+        return let(places(text), held)
 
     return lambda text: F.when(text.rlike(FLAGS + pattern), find(text)).otherwise(no_hits())
 

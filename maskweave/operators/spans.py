@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import let
+
 CANDIDATES = "array<struct<start:int,length:int,field_name:string,replacement:string,matched_text:string,ord:int>>"
 
 
@@ -26,7 +28,11 @@ def stamped(hits: Column, field_name: str, replacement: str, ord_: int) -> Colum
 
 def outside(candidates: Column, zones: Column) -> Column:
     """Candidates that no zone overlaps; spans that only touch do not overlap."""
-    return F.filter(candidates, lambda m: ~F.exists(zones, lambda z: (m["start"] < z["start"] + z["length"]) & (m["start"] + m["length"] > z["start"])))
+
+    def clear(found: Column) -> Column:
+        return F.filter(candidates, lambda m: ~F.exists(found, lambda z: (m["start"] < z["start"] + z["length"]) & (m["start"] + m["length"] > z["start"])))
+
+    return let(zones, clear)
 
 
 def ordered(candidates: Column) -> Column:
