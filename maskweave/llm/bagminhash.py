@@ -25,7 +25,7 @@ _TABLES: dict[str, np.ndarray] = {}
 
 def _alnum() -> np.ndarray:
     if "alnum" not in _TABLES:
-        _TABLES["alnum"] = np.array([chr(c).isalnum() for c in range(0x110000)])
+        _TABLES["alnum"] = np.frombuffer(bytes(chr(c).isalnum() for c in range(0x110000)), bool)
     return _TABLES["alnum"]
 
 
@@ -127,7 +127,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def _slices(batch: list[str], size: int = 2_000_000, rows: int = 1_000):
+def _slices(batch: list[str], size: int = 1_000_000, rows: int = 1_000):
     begin, total = 0, 0
     for i, t in enumerate(batch):
         total += len(t)
@@ -173,15 +173,6 @@ def _bag(batches):
             yield {"rep": batch["rep"][a:b], "bag": [np.sort(item[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]}
 
 
-def _compare(batches):
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["bag_a"], batch["bag_b"], strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9)
-        yield {"a": batch["a"], "b": batch["b"], "near": keep}
-
-
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, class_id, class_size, kept, and text_hash.
 
@@ -213,9 +204,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     bags = staged(map_batches(found, _bag, "rep long, bag array<long>").dropDuplicates(["rep"]), "bags")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """(a, b, near) for pairs(a, b), by their multisets."""
+        """(a, b, near) for pairs(a, b), by their multisets: row by row in the JVM, where two bags are all that is held."""
         left, right = (bags.select(F.col("rep").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
-        return staged(map_batches(pairs.join(left, "a").join(right, "b"), _compare, "a long, b long, near boolean"), "compared")
+        both = F.size(F.array_intersect("bag_a", "bag_b"))
+        near = both >= F.lit(THRESHOLD) * (F.size("bag_a") + F.size("bag_b") - both) - 1e-9
+        return staged(pairs.join(left, "a").join(right, "b").select("a", "b", near.alias("near")), "compared")
 
     links, labelled, open_rows = None, None, buckets
     tested = None

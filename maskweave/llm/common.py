@@ -41,15 +41,17 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Rows that a task holds as Python objects at once.
+ROWS = 1_000
 Columns = dict[str, object]
 
 
 def map_batches(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Iterable[Columns]], schema: str) -> DataFrame:
-    """df's Arrow batches as dicts of lists through ``make``, whose dicts of columns become rows of ``schema``."""
+    """df's rows as dicts of lists, ROWS at a time, through ``make``, whose dicts of columns become rows of ``schema``."""
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in make(b.to_pydict() for b in batches):
+        for columns in make(b.slice(i, ROWS).to_pydict() for b in batches for i in range(0, b.num_rows, ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
