@@ -14,8 +14,8 @@ THRESHOLD = 0.8
 #: At a likeness of 0.8 a pair shares one of 25 bands of 5 components with probability 0.99995.
 BANDS, BAND_ROWS = 25, 5
 COMPONENTS = BANDS * BAND_ROWS
-#: Rounds in which a bucket's texts are compared with one leader, before all remaining pairs are.
-STAR_ROUNDS = 2
+#: Rounds in which a bucket's texts are compared with one leader, before the rest is joined exactly.
+STAR_ROUNDS = 4
 #: Texts to compare, up to which their keys (16 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -182,10 +182,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows of the least doc_id; rows that repeat it are all marked, and keep_one() takes one. An empty table gives an
     empty result.
 
-    Equal multisets are one representative from the start. Within a bucket, every text meets the bucket's leader; only
-    texts not in the leader's class by then go on, to a leader of their own, and at last to all of the bucket outside
-    of their class. So every pair that shares a bucket is compared or already known to be connected, and a class of
-    any size costs a few comparisons a text.
+    Equal multisets are one representative from the start. Within a bucket, every text meets the bucket's leader, then
+    another one in each round, as long as the bucket holds several classes. Texts of buckets that still do are joined
+    exactly, by the rarest items of their multisets. So every pair that shares a bucket is compared, or known to be
+    connected, or known to be too unlike; and a class of any size costs a few comparisons a text.
     """
     hashed = texts(docs).withColumn("text_hash", F.xxhash64("text"))
     rows = staged(map_batches(hashed, _sketch, "doc_id long, text_hash long, k1 long, k2 long, n long, bands array<long>"), "sketches")
@@ -210,27 +210,36 @@ def near_classes(docs: DataFrame) -> DataFrame:
         near = both >= F.lit(THRESHOLD) * (F.size("bag_a") + F.size("bag_b") - both) - 1e-9
         return staged(pairs.join(left, "a").join(right, "b").select("a", "b", near.alias("near")), "compared")
 
-    links, labelled, open_rows = None, None, buckets
-    tested = None
-    for _ in range(STAR_ROUNDS):
-        leaders = open_rows.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("leader"))
-        pairs = open_rows.join(leaders, "bucket").select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb"))
-        pairs = pairs.filter((F.col("a") != F.col("b")) & _close()).select("a", "b").distinct()
+    tested, labelled, placed = None, None, buckets.withColumn("component", F.col("rep"))
+    for number in range(STAR_ROUNDS):
+        leader = F.min(F.struct(F.xxhash64("rep", F.lit(number)), "rep", "n", "component")).alias("leader")
+        led = placed.join(placed.groupBy("bucket").agg(leader), "bucket")
+        pairs = _pairs(led.select("rep", "n", "component", *(F.col(f"leader.{c}").alias(f"{c}_2") for c in ("rep", "n", "component"))))
         done = compare(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         tested = done if tested is None else tested.union(done)
-        links = tested.filter("near").select("a", "b")
-        labelled = components(links)
+        labelled = components(tested.filter("near").select("a", "b"))
         placed = _label(buckets, labelled)
-        lead = placed.groupBy("bucket").agg(F.min(F.struct("rep", "component")).alias("lead"))
-        open_rows = staged(placed.join(lead, "bucket").filter(F.col("component") != F.col("lead.component")).select("rep", "n", "bucket", "component"), "open")
-        if open_rows.isEmpty():
+        several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
+        placed = staged(placed.join(several, "bucket", "left_semi"), "undecided")
+        if placed.isEmpty():
             break
     else:
-        every = _label(buckets, labelled).select(F.col("rep").alias("b"), F.col("n").alias("nb"), "bucket", F.col("component").alias("cb"))
-        cross = open_rows.select(F.col("rep").alias("a"), F.col("n").alias("na"), "bucket", F.col("component").alias("ca")).join(every, "bucket")
-        cross = cross.filter((F.col("ca") != F.col("cb")) & _close()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = compare(cross.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        labelled = components(links.union(done.filter("near").select("a", "b")))
+        # What is still apart is joined exactly: of two bags this alike, the rarest |s| - ceil(0.8 |s|) + 1 items share one.
+        apart = placed.select("rep", "n", "component").distinct()
+        items = staged(apart.join(bags, "rep").select("rep", "n", "component", F.explode("bag").alias("item")), "items")
+        often = items.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+        ranked = items.join(often, "item", "left").select("rep", "n", "component", "item", F.coalesce("df", F.lit(1)).alias("df"))
+        whole = ranked.groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+        length = (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1).cast("int")
+        rare = whole.select("rep", "n", "component", F.inline(F.slice("items", F.lit(1), length)))
+        # Each item's components, smaller ones against all: members of the largest need no partners of their own.
+        rare = staged(rare.filter("df > 1").select("rep", "n", "component", "item"), "rare-items")
+        sizes = placed.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
+        main = rare.join(sizes, "component").groupBy("item").agg(F.max(F.struct("size", "component")).alias("main"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
+        mixed = rare.join(main.select("item", F.col("main.component").alias("main")), "item")
+        few = mixed.filter("component != main").select("item", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component")))
+        done = compare(_pairs(mixed.join(few, "item")).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        labelled = components(tested.union(done).filter("near").select("a", "b"))
 
     named = _label(reps.select("rep", "k1", "k2", "doc_id", "copies"), labelled)
     classes = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -239,9 +248,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "class_size", kept.alias("kept"), "text_hash")
 
 
-def _close():
-    """Whether the numbers of shingles na and nb allow the likeness."""
-    return F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(THRESHOLD) - 1e-9
+def _pairs(both: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of rows (rep, n, component, rep_2, n_2, component_2) in two components and of lengths that allow the likeness."""
+    close = F.least("n", "n_2") >= F.greatest("n", "n_2") * F.lit(THRESHOLD) - 1e-9
+    return both.filter((F.col("component") != F.col("component_2")) & close).select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
 
 
 def _label(df: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .common import map_batches, texts
+from .common import map_batches, staged, texts
 
 #: Words in the automaton: with their ids a few MB, broadcast to the executors.
 LEXICON_WORDS = 65_536
@@ -310,15 +310,27 @@ def _count(path: str):
     return count
 
 
-def frequent_words(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> DataFrame:
-    """(word, n): the ``size`` most frequent words over all texts, ties by the word. Tasks send counts, not words."""
+def frequent_words(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> list[str]:
+    """At most ``size`` words, the most frequent over all texts. Tasks send counts, not words.
+
+    A histogram of counts (each below 1024, then 64 steps a doubling: a few thousand rows at any corpus size) tells the
+    least count that leaves ``size`` words; only these come to the driver.
+    """
     counted = map_batches(texts(docs).select("text"), _count(path), "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    counted = staged(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 64))
+    left, least = size, None
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):
+        left -= r.words
+        if left < 0:
+            break
+        least = r.level
+    return [] if least is None else [r.word for r in counted.filter(level >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
     vocab = vocabulary(path)
-    words = [r.word for r in frequent_words(docs, path, size).collect() if len(r.word) <= 48 and r.word not in vocab.special]
+    words = [w for w in frequent_words(docs, path, size) if len(w) <= 48 and w not in vocab.special]
     return compile_lexicon([(w, vocab.exact(w)) for w in words])
 
 

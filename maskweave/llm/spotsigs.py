@@ -155,8 +155,9 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Lengths are cut into ranges by powers of 1/t; a set looks for partners in its own range and the next. Equal sets
     are one row here, so a group of copies costs no pairs; fingerprint_of() has each document's digest.
     """
-    sets = fingerprint_of(docs).filter(F.size("spots") > 0).dropDuplicates(["digest"]).select("digest", "spots", F.size("spots").alias("n"))
-    sets = staged(sets, "spot-sets")
+    # Written before it is filtered: a filter would pull the making of spots into itself, once for each use.
+    sets = staged(fingerprint_of(docs).select("digest", "spots").dropDuplicates(["digest"]), "spot-sets")
+    sets = sets.withColumn("n", F.size("spots")).filter("n > 0")
     frequency = sets.select(F.explode("spots").alias("spot")).groupBy("spot").agg(F.count("*").alias("df"))
     ranked = sets.select("digest", "n", F.explode("spots").alias("spot")).join(frequency, "spot")
     place = F.row_number().over(Window.partitionBy("digest").orderBy("df", "spot"))
