@@ -27,16 +27,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hits(text: Column, pattern: str, part: str = "all", before: int = 0) -> Column:
+def hits(text: Column, pattern: str | Column, part: str = "all", before: int = 0) -> Column:
     """array<struct<start, length, value>> of the non-overlapping matches of a pattern that is never empty.
 
     part: "all" is the whole match; "tail" is group 1 where it ends with the match; "inner" is group 1 where it begins
     ``before`` code points after the match. Empty groups are left out. Null text has no matches.
     """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
 
     def rows_of(whole: Column) -> Column:
-        own = whole if part == "all" else F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        own = whole if part == "all" else F.regexp_extract_all(text, pattern, F.lit(1))
         sized = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, w: F.struct(g.alias("gap"), F.length(w).alias("size")))
         return F.zip_with(sized, own, lambda p, v: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), v.alias("value")))
 
@@ -57,11 +58,11 @@ def hits(text: Column, pattern: str, part: str = "all", before: int = 0) -> Colu
         done = F.aggregate(blocks, F.array().cast(f"array<struct<at:int,out:{HITS}>>"), block)
         return F.flatten(F.transform(done, lambda b: b["out"]))
 
-    found = let(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rows_of), folded)
+    found = let(let(F.regexp_extract_all(text, pattern, F.lit(0)), rows_of), folded)
     if part != "all":
         found = F.filter(found, lambda h: h["length"] > 0)
     # A cheap test first: most texts hold no match of most patterns.
-    return F.coalesce(F.when(text.rlike(pattern), found), no_hits())
+    return F.coalesce(F.when(F.regexp_like(text, pattern), found), no_hits())
 
 
 def can_be_empty(pattern: str, flags: int = 0) -> bool:
