@@ -174,12 +174,13 @@ def _bag(batches):
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, class_id, class_size, kept, and text_hash.
+    """One row per row of docs(doc_id, text): doc_id, class_id, class_size, kept, text_hash, and component.
 
     Texts are near when their multisets of five-word shingles have a weighted Jaccard likeness of 0.8 or more; classes
     are the connected components, named by their least doc_id (null only if the class has no other). Texts with equal
     multisets are always in one class, as are all texts without a word (null, empty, punctuation only). ``kept`` marks
-    rows of the least doc_id; rows that repeat it are all marked, and keep_one() takes one. An empty table gives an
+    rows of the least doc_id; rows that repeat it are all marked, and keep_one() takes one. ``component`` tells classes
+    apart where class_id does not, as among classes of null ids; its values hold for one run. An empty table gives an
     empty result.
 
     Equal multisets are one representative from the start. Within a bucket, every text meets the bucket's leader, then
@@ -243,9 +244,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     named = _label(reps.select("rep", "k1", "k2", "doc_id", "copies"), labelled)
     classes = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = named.join(classes, "component").select("k1", "k2", "class_id", "class_size")
+    named = named.join(classes, "component").select("k1", "k2", "component", "class_id", "class_size")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return rows.select("doc_id", "text_hash", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "class_size", kept.alias("kept"), "text_hash")
+    return rows.select("doc_id", "text_hash", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "class_size", kept.alias("kept"), "text_hash", "component")
 
 
 def _pairs(both: DataFrame) -> DataFrame:
@@ -266,10 +267,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Up to BROADCAST_ROWS dropped rows are broadcast by doc_id and a hash of the text; beyond that the join shuffles.
     """
     found = staged(near_classes(docs).filter("class_size > 1"), "decisions")
-    keys = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"), F.first("class_id").alias("class_id"))
-    # Of rows that share the kept doc_id the first text stays; only such rows, which well-formed tables lack, need it.
-    stay = keys.filter("stays").groupBy(F.coalesce("class_id", F.lit(-(1 << 63))).alias("_class")).agg(F.min("_hash").alias("keep_hash"))
-    keys = staged(keys.withColumn("_class", F.coalesce("class_id", F.lit(-(1 << 63)))).join(stay, "_class", "left"), "keys")
+    keys = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"), F.first("component").alias("component"))
+    # Of a class's rows that share the kept doc_id the first text stays; only such rows, which well-formed tables lack, need it.
+    stay = keys.filter("stays").groupBy("component").agg(F.min("_hash").alias("keep_hash"))
+    keys = staged(keys.join(stay, "component", "left"), "keys")
     stays = F.col("stays") & (F.col("_hash") == F.col("keep_hash"))
     dropped = keys.filter(~F.coalesce(stays, F.lit(False))).select("_id", "_hash")
     repeated = keys.filter(stays & (F.col("n") > 1)).select("_id", "_hash")

@@ -25,7 +25,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_classes(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,14 @@ def test_near_odd_rows(odd, empty):
     assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in kept.collect()) == [(0, "nul"), (1, ""), (5, "one"), (5, "two"), (6, "lor"), (7, "xxx"), (8, "Ünï"), (9, "<|e")]
 
 
+def test_keep_one_of_each_class_without_ids(spark):
+    """Classes made only of null ids, or of one repeated id, are classes of their own: one row of each stays."""
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(i, f"{t} tail{k}") for i, t in ((None, base[0]), (None, base[1]), (7, base[0].upper().replace("A", "q")), (7, base[2])) for k in range(3)]
+    kept = bagminhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text[:2] for r in kept) == ["a0", "b0", "c0", "q0"]
+
+
 # ---- secrets
 
 
