@@ -173,8 +173,9 @@ BROADCAST_ROWS = 100_000
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of personal data in ``text`` replaced by its kind in brackets, as in [EMAIL]; a null stays.
 
-    Spans that overlap are taken from the left, the longest first. Fixed forms are found where the text lies; only
-    rows with revealed spans come from elsewhere, by doc_id and a hash of the text.
+    Spans that overlap are replaced as one, by the kind of the leftmost (the longest of these), so that nothing which
+    any of them covers stays. Fixed forms are found where the text lies; only rows with revealed spans come from
+    elsewhere, by doc_id and a hash of the text.
     """
     more = staged(find_pii(docs).filter("n_discovered > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("more").alias("_more")), "revealed")
     more = more.dropDuplicates(["_id", "_hash"])
@@ -188,7 +189,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def splice(acc: Column, s: Column) -> Column:
         gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["back"]).alias("at"), F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
+        longer = F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] < acc["at"], longer).otherwise(F.struct((-s["back"]).alias("at"), F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
 
     rest = lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text")))
     done = with_base(held).withColumn("_spans", F.sort_array(by_place))

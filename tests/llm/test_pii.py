@@ -78,6 +78,14 @@ def test_redact(spark):
     assert out.filter("text is null").count() == 1
 
 
+def test_redact_covers_overlapping_spans(spark):
+    """What a second span covers beyond the end of the first does not stay."""
+    rows = [(1, "+1 415 555 0100 7up@mail.com now"), (2, "at 10.0.0.4 4111111111111117, paid"), (3, "+1 415 555 0100a@b.co"), (4, "4111 1111 1111 1111 or a@b.co")]
+    assert find_pii(spark.createDataFrame(rows[1:2], "doc_id long, text string")).first().spans == "ip:3:11,card:10:28"
+    got = {r.doc_id: r.text for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "[PHONE] now", 2: "at [IP], paid", 3: "[PHONE]", 4: "[CARD] or [EMAIL]"}
+
+
 def test_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert find_pii(empty).count() == 0 and redact(empty).count() == 0
