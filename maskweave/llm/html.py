@@ -174,7 +174,7 @@ def _extract(batches):
         for page, template in zip(batch["html"], batch["tokens"], strict=True):
             known = frozenset(template or ())
             _, found = blocks(page)
-            articles = any(main for _, _, main, aside in found)
+            articles = any(main and not aside for _, _, main, aside in found)
             main = [(path, text) for path, text, main, aside in found if not aside and (main or not articles)]
             slots = [text for path, text in main if not known or _hash(f"{path} {text}") not in known]
             # A page of nothing but template is a copy among copies: its text is no frame around anything.
@@ -185,8 +185,8 @@ def _extract(batches):
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of pages(page_id, url, html): page_id, url, text, n_chars.
 
-    Blocks of an article or main element are the main text where a page has one, else all that no menu, header, footer,
-    sidebar, notice, advert, form or comment holds. Blocks that are equal, at the same path, on nine in ten pages of a
+    Blocks of an article or main element are the main text where a page has one outside of the following, else all that
+    no menu, header, footer, sidebar, notice, advert, form or comment holds. Blocks that are equal, at the same path, on nine in ten pages of a
     host with five or more are its template and left out. Null and empty pages give an empty text; pages without a
     host share the template of all such pages; rows that repeat are extracted each on its own.
     """

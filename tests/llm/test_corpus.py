@@ -288,6 +288,15 @@ def test_template_text_is_left_out(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_articles_aside_do_not_hide_the_text(spark):
+    """Comments and teasers in article elements are no article of the page; its own text lies in a plain element."""
+    body = "<html><body><div><h1>Title</h1><p>Body text.</p></div>{}</body></html>"
+    rows = [(1, "a", body.format("<div class=comments><article>Nice</article><article>Bad</article></div>")), (2, "b", body.format("<aside><article><p>Teaser</article></aside>"))]
+    rows += [(3, "c", body.format("<main><p>Real</main><aside><article>Teaser</article></aside>"))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Title\nBody text.", 2: "Title\nBody text.", 3: "Real"}
+
+
 # ---- quality
 
 
