@@ -33,6 +33,17 @@ ALLOWED = re.compile(
     r"|(?:0123456789|abcdefghij|ABCDEFGHIJ).*"
 )
 
+# Pairs of letters that words, names and identifiers are made of; of random letters one pair in four is one.
+PAIRS = frozenset(
+    "ab ac ad ag ai al am an ap ar as at ba be bl bo bu by ca ce ch ck cl co ct da de di do ds ea ec ed ee ef eg el em en ep er es et ex ey fa ff fi fo ge gr ha he hi ho ht ia ic id ie if ig il im"
+    " in io is it ke la ld le lf li ll lo ls lt lu ma mb me mi mm mo mp na nc nd ne ng ni no ns nt nu oc od ok ol om on op or os ot ou ow pa pe pl po pr ps pt pu py qu ra rc rd re ri rm rn ro rr rs"
+    " rt ru sc se sh si so sp ss st su ta tc te th ti to tr ts tt tu ty ua ue ui ul um un up ur us ut va ve wh wi wo xe xt yg yp yw".split()
+)
+#: A window is made of words if at least this share of its pairs of letters are among PAIRS and no change to upper case.
+WORDLIKE = 0.5
+#: Strings with fewer digits are tested for words.
+FEW_DIGITS = 4
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed forms, by start, then kind as listed; kinds are searched apart and may overlap."""
@@ -46,16 +57,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def entropy_windows(s: str, window: int, least: float) -> Iterator[tuple[int, int]]:
+def _excess(s: str) -> list[float]:
+    """Prefix sums over the pairs of characters of s: below 0 over a range that is made of words by WORDLIKE, or just 0."""
+    out = [0.0]
+    for a, b in zip(s, s[1:], strict=False):
+        if a.isalpha() and b.isalpha():
+            like = (a + b).lower() in PAIRS and not (a.islower() and b.isupper())
+            out.append(out[-1] + WORDLIKE - like)
+        else:
+            out.append(out[-1])
+    return out
+
+
+def entropy_windows(s: str, window: int, least: float, spare_words: bool = False) -> Iterator[tuple[int, int]]:
     """Maximal unions of overlapping windows of s whose entropy is at least ``least`` bits a character.
 
-    The sum of n·log2(n) over the window's counts is carried from one window to the next: a step changes two counts.
+    With ``spare_words``, windows that are made of words are none. The sum of n·log2(n) over the window's counts is carried from one window to the next: a step changes two counts.
     """
     if len(s) < window:
         return
     n_log = [0.0, 0.0] + [n * math.log2(n) for n in range(2, window + 2)]
     counts: dict[str, int] = {}
     total, begin, end = 0.0, -1, -1
+    excess = _excess(s) if spare_words else None
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         counts[c] = n + 1
@@ -67,6 +91,8 @@ def entropy_windows(s: str, window: int, least: float) -> Iterator[tuple[int, in
             total += n_log[n - 1] - n_log[n]
         if i >= window - 1 and math.log2(window) - total / window >= least:
             at = i - window + 1
+            if excess is not None and excess[i] <= excess[at]:
+                continue
             if begin >= 0 and at <= end:
                 end = i + 1
             else:
@@ -80,19 +106,20 @@ def entropy_windows(s: str, window: int, least: float) -> Iterator[tuple[int, in
 def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """High-entropy windows of candidate strings, outside of ``taken`` and the allow-list.
 
-    A candidate has letters and digits and at least four digits; words of a language have none, so that plain prose,
-    however long its words, is left alone.
+    A candidate has letters. Where it has few digits it may be an identifier, a path or long words, so there a window
+    must also be other than words by its pairs of letters.
     """
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if sum(map(str.isdigit, s)) < 4 or not any(map(str.isalpha, s)) or ALLOWED.fullmatch(s):
+        if not any(map(str.isalpha, s)) or ALLOWED.fullmatch(s):
             continue
         if any(a < m.end() and m.start() < b for a, b, _ in taken):
             continue
         held = frozenset(s)
         _, _, window, least = next(c for c in CLASSES if held <= c[1])
-        out += [(m.start() + a, m.start() + b, "entropy") for a, b in entropy_windows(s, window, least)]
+        few = sum(map(str.isdigit, s)) < FEW_DIGITS
+        out += [(m.start() + a, m.start() + b, "entropy") for a, b in entropy_windows(s, window, least, few)]
     return out
 
 

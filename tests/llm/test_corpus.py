@@ -4,6 +4,7 @@ import hashlib
 import html as htmllib
 import math
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -154,6 +155,20 @@ def test_entropy_finds_keys_and_leaves_prose():
         assert secrets.entropy_spans(clean, []) == []
 
 
+@pytest.mark.parametrize("alphabet, length, least", [("an", 20, 0.95), ("an", 32, 0.99), ("an+/", 40, 0.99)])
+def test_entropy_recall_of_random_keys(alphabet, length, least):
+    """Random keys are found however few digits they hold; words, names and paths with few digits are not."""
+    letters = string.ascii_letters + string.digits + alphabet[2:]
+    rng = np.random.default_rng(length)
+    keys = ["".join(rng.choice(list(letters), length)) for _ in range(600)]
+    few = [k for k in keys if sum(map(str.isdigit, k)) < 4]
+    assert len(few) > 40
+    for own in (keys, few):
+        assert np.mean([bool(secrets.entropy_spans(f"key {k}.", [])) for k in own]) >= least
+    for clean in ("internationalizationConfigurationManager2", "usr/local/share/applications/settings", "erberbeeinheitkeiter", "thanbleshaningtionnt", "test_secrets_equal_brute_force_3", "=-" * 12 + "a"):
+        assert secrets.entropy_spans(clean, []) == [], clean
+
+
 # ---- BPE
 
 
