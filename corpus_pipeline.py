@@ -18,7 +18,7 @@ from maskweave.llm.pii import redact
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter, or without any main language, go."""
+    """Documents whose text has a learned language; those without a letter, gibberish and other languages go."""
     return accepted(docs)
 
 

@@ -102,7 +102,7 @@ class Words:
         return self.script[self.first] - 1 if len(self.first) else np.empty(0, np.int64)
 
 
-def _slices(texts_: list[str], size: int = 4_000_000):
+def _slices(texts_: list[str], size: int = 1_000_000):
     """Runs of texts with about ``size`` code points each, so that arrays stay small however long a batch is."""
     begin, total = 0, 0
     for i, t in enumerate(texts_):
@@ -142,6 +142,12 @@ class Model:
     def __init__(self, counts: dict[str, np.ndarray]):
         self.languages = sorted(counts)
         n = np.array([counts[x][:CELLS] for x in self.languages], np.float64).reshape(len(self.languages), CELLS)
+        # What the languages' own texts reach: mean and variance of an n-gram's score, and by how much a text that wasn't
+        # learned falls below because its n-grams were not counted.
+        share, log = n / np.maximum(n.sum(1, keepdims=True), 1), np.log((n + 0.5) / (n.sum(1, keepdims=True) + 0.5 * CELLS))
+        self.mean = (share * log).sum(1)
+        self.variance = (share * (log - self.mean[:, None]) ** 2).sum(1)
+        self.unseen = (share * np.log((n + 0.5) / np.maximum(n - 0.5, 0.5))).sum(1)
         self.scores = np.ascontiguousarray(np.log((n + 0.5) / (n.sum(1, keepdims=True) + 0.5 * CELLS)).T.astype(np.float32))
         scripts = np.array([counts[x][CELLS:] for x in self.languages], np.float64).reshape(len(self.languages), OTHER + 1)
         self.written = (scripts / np.maximum(scripts.sum(1, keepdims=True), 1) >= SCRIPT_SHARE).T
@@ -199,18 +205,26 @@ def train(docs: DataFrame) -> Model:
 
 
 def _labelled(batches, model: Model):
-    """For slices of a batch: its bounds, the words, and each word's language number."""
+    """For slices of a batch: its bounds, the words, each word's language number, and its score in that language."""
     for batch in batches:
         for a, b in _slices(batch["text"]):
             words = Words(batch["text"][a:b])
-            yield batch, a, b, words, viterbi(model.word_scores(words), words.document, words.n_documents)
+            scores = model.word_scores(words)
+            labels = viterbi(scores, words.document, words.n_documents)
+            yield batch, a, b, words, labels, np.take_along_axis(scores, labels[:, None], 1)[:, 0]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score of _predict()."""
+    return _predict(docs.select("doc_id", "text"), model).drop("shortfall", "label")
+
+
+def _predict(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs(doc_id, text): lang_pred, the language of most letters, and score, its share of them.
 
     Null and empty texts, and texts without a letter, are ``und`` with score 0, as is every text under a model without
-    languages. Equal shares go to the language that is first by name.
+    languages. Equal shares go to the language that is first by name. ``shortfall`` is by how much the text's mean score
+    an n-gram lies below that of the language's own texts, less what a text of its length may by chance. ``label`` is passed on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -218,16 +232,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         names = [*model.languages, UNDETERMINED]
         if not model.languages:
-            yield from ({"doc_id": b["doc_id"], "lang_pred": [UNDETERMINED] * len(b["text"]), "score": [0.0] * len(b["text"])} for b in batches)
+            yield from ({"doc_id": b["doc_id"], "lang_pred": [UNDETERMINED] * len(b["text"]), "score": [0.0] * len(b["text"]), "shortfall": [0.0] * len(b["text"]), "label": b["label"]} for b in batches)
             return
-        for batch, a, b, words, labels in _labelled(batches, model):
+        for batch, a, b, words, labels, own in _labelled(batches, model):
             cell = words.document * len(model.languages) + labels
             letters = np.bincount(cell, words.last - words.first, words.n_documents * len(model.languages)).reshape(-1, len(model.languages))
             total = letters.sum(1)
             lang = np.where(total > 0, letters.argmax(1), len(model.languages))
-            yield {"doc_id": batch["doc_id"][a:b], "lang_pred": [names[i] for i in lang], "score": letters.max(1) / np.maximum(total, 1)}
+            # A word of n letters, a blank before and after it, has 3n + 3 n-grams of one to three.
+            grams = np.maximum(3 * (total + np.bincount(words.document, minlength=words.n_documents)), 1)
+            k = np.minimum(lang, len(model.languages) - 1)
+            below = model.mean[k] - np.bincount(words.document, own, words.n_documents) / grams
+            chance = CHANCE * np.sqrt(len(ORDERS) * model.variance[k] / grams)
+            shortfall = np.where(total > 0, below - model.unseen[k] - chance, 0.0)
+            yield {"doc_id": batch["doc_id"][a:b], "lang_pred": [names[i] for i in lang], "score": letters.max(1) / np.maximum(total, 1), "shortfall": shortfall, "label": batch["label"][a:b]}
 
-    return map_batches(texts(docs), label, "doc_id long, lang_pred string, score double")
+    label_of = F.col("label") if "label" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), label_of.alias("label"))
+    return map_batches(rows, label, "doc_id long, lang_pred string, score double, shortfall double, label string")
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -235,7 +257,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):
-        for batch, a, _, words, labels in _labelled(batches, shared.value):
+        for batch, a, _, words, labels, _ in _labelled(batches, shared.value):
             edge = np.flatnonzero((np.diff(words.document, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
             ends = np.append(edge[1:], len(labels)) - 1
             before = np.searchsorted(words.document, words.document[edge])
@@ -262,19 +284,33 @@ def identify(docs: DataFrame) -> DataFrame:
 
 #: Below this share of the letters no language is the text's main one.
 LEAST_SHARE = 0.3
+#: Standard deviations that a text's mean score may lie below its language's by chance; the n-grams of one to three
+#: letters that share a letter count as one draw.
+CHANCE = 4.0
+#: Nats an n-gram that a text may lie below that, as its style or subject may differ; where the language's own texts
+#: differ more (SPREAD times their upper quartile's distance from the median), as much as they do.
+SLACK, SPREAD = 0.6, 6.0
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """The rows of docs whose text has a main language, with all their columns.
 
-    The model learns from the labelled rows that aren't held out. Rows without a letter go, and such in which no
-    language has the share ``least`` of the letters; a row with a null or unknown lang is judged like any other.
-    Decisions meet the rows by a hash of the text: what is rejected depends on the text alone.
+    The model learns from the labelled rows that aren't held out. Rows without a letter go, such in which no language
+    has the share ``least`` of the letters, and such whose likelihood is far below what the texts of their language
+    reach: random letters, and languages that weren't learned. Short texts show less, so of a word or two nearly all
+    stay. A row with a null or unknown lang is judged like any other. Decisions meet the rows by a hash of the text:
+    what is rejected depends on the text and the model alone.
     """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    hashed = docs.select(F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))).alias("doc_id"), "text")
-    rejected = predict(hashed, model).filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)).select(F.col("doc_id").alias("_hash")).distinct()
-    rejected = staged(rejected, "rejected")
+    taught = F.when(~held_out(F.col("doc_id")), F.col("lang").cast("string"))
+    hashed = docs.select(F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))).alias("doc_id"), "text", taught.alias("label"))
+    judged = staged(_predict(hashed, model), "judged")
+    quartiles = judged.filter("label = lang_pred").groupBy("lang_pred").agg(F.percentile_approx("shortfall", [0.5, 0.75]).alias("q"))
+    allowed = F.lit(SLACK)
+    for r in quartiles.collect():
+        allowed = F.when(F.col("lang_pred") == r.lang_pred, SLACK + max(0.0, r.q[0] + SPREAD * (r.q[1] - r.q[0]))).otherwise(allowed)
+    bad = (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least) | (F.col("shortfall") > allowed)
+    rejected = staged(judged.filter(bad).select(F.col("doc_id").alias("_hash")).distinct(), "rejected")
     if rejected.count() <= BROADCAST_ROWS:
         rejected = F.broadcast(rejected)
     own = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))))

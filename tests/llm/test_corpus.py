@@ -213,6 +213,51 @@ def test_language_held_out_accuracy(docs, odd, empty, spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_gibberish_and_foreign_text_go(docs, spark):
+    """Random letters and languages that were not learned are rejected, whatever share of letters their winner has."""
+    rng = np.random.default_rng(8)
+    junk = {n: " ".join("".join(rng.choice(list(string.ascii_lowercase), rng.integers(2, 10))) for _ in range(n)) for n in (20, 200, 3000)}
+    foreign = ["Zażółć gęślą jaźń, wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Все люди рождаются свободными и равными в своем достоинстве и правах", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"]
+    rows = [(10**6 + i, t, None) for i, t in enumerate([*junk.values(), *foreign, "12 34 !?", None])]
+    for own in (docs, docs.filter("lang in ('en', 'de')"), docs.filter("lang = 'en'")):
+        own = own.select("doc_id", "text", "lang")
+        kept = {r.doc_id for r in langid.accepted(own.union(spark.createDataFrame(rows, own.schema))).collect()}
+        assert kept == {r.doc_id for r in own.collect()}
+
+
+def brute_keep(rows):
+    """One row of each near class, the first by doc_id."""
+    return [r for r, c in zip(rows, classes(rows), strict=True) if r[0] == c]
+
+
+def test_pipeline_run_equals_brute_force(spark, local, docs, tmp_path):
+    """run() on clean texts, gibberish, copies, near copies and personal data, by each stage's definition."""
+    import corpus_pipeline
+
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    rows = [(i, t) for i, t in local if 500 < len(t) < 6000 and not re.search(r"[0-9@+]", t)][:40]
+    rng = np.random.default_rng(9)
+    junk = [(10**6 + k, " ".join("".join(rng.choice(list(string.ascii_lowercase), 7)) for _ in range(80))) for k in range(4)]
+    copies = [(2 * 10**6 + i, t.replace(" ", "  ")) for i, t in rows[:5]] + [(3 * 10**6 + i, f"{t} eand") for i, t in rows[5:10]]
+    private = [(4 * 10**6, f"{rows[30][1]} x@y.example and {rows[31][1]} +1 415 555 0100 7up@mail.com")]
+    every = rows + copies + private + junk
+    df = spark.createDataFrame([(i, t, lang.get(i), "s", len(t)) for i, t in every], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+
+    good = rows + copies + private
+    first = {}
+    for i, t in sorted(good):
+        first.setdefault(re.sub(r"[ \t-\r]+", " ", t), (i, t))
+    kept = brute_keep(sorted(first.values()))
+    clean = {i: t.replace("x@y.example", "[EMAIL]").replace("+1 415 555 0100 7up@mail.com", "[PHONE]") for i, t in kept}
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in clean.items()}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == set(want) and len(want) < len(good)
+    assert all(p.ids_crc32 == zlib.crc32(want[p.doc_id][p.start : p.start + p.length].tobytes()) for p in pieces)
+    assert {i: sum(p.length for p in pieces if p.doc_id == i) for i in want} == {i: len(x) for i, x in want.items()}
+
+
 def test_spans_of_mixed_text(docs, spark):
     model = langid.train(docs)
     pure = {r.lang: r.text for r in docs.filter("n_chars > 800").groupBy("lang").agg(F.min("text").alias("text")).collect()}
