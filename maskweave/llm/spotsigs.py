@@ -7,6 +7,8 @@ of spots. They are compared by Jaccard likeness, and only where their lengths al
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +44,10 @@ def with_spots(df: DataFrame, text: str, spots: str) -> DataFrame:
     their own, so that comparing sets compares multisets.
 
     A spot is an anchor, the content word that follows it, and the next content word; anchors between them are passed
-    over. It depends on a few words alone, so an edit changes only the spots that it touches. In a text without any,
-    each three words are one; a text of one or two words is one spot; a text without a word has none.
+    over. Where words have no anchor among them, each three content words in a row are a spot as well, and where they
+    have nothing else, each PASSED + 1 anchors in a row. All depend on a few words alone and not on the rest of the
+    text, so an edit changes only the spots that it touches. A text too short for any (six words at most) is
+    its threes of words, or one spot; a text without a word has none.
     """
     # Words are hashed once: anchors to even numbers, content words to odd ones.
     words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
@@ -62,8 +66,17 @@ def with_spots(df: DataFrame, text: str, spots: str) -> DataFrame:
     def spot(i: Column) -> Column:
         return F.xxhash64(code(i), code(i + 1), F.coalesce(*(content(i + k) for k in range(2, PASSED + 3)), F.lit(0)))
 
-    anchored = F.filter(places("_codes", 1), lambda i: content(i).isNull() & content(i + 1).isNotNull())
-    df = df.withColumn("_hashes", F.transform(anchored, spot))
+    def is_content(i: Column) -> Column:
+        return code(i).bitwiseAND(1) == 1
+
+    def own(i: Column) -> Column:
+        """The hash of the spot that begins at word i, null where none does."""
+        three = F.when(is_content(i + 1) & is_content(i + 2), F.xxhash64(code(i), code(i + 1), code(i + 2)))
+        others = reduce(and_, (~is_content(i + k) for k in range(2, PASSED + 1)))
+        anchors = F.when(others, F.xxhash64(*(code(i + k) for k in range(PASSED + 1))))
+        return F.when(is_content(i), three).otherwise(F.when(is_content(i + 1), spot(i)).otherwise(anchors))
+
+    df = df.withColumn("_hashes", F.filter(F.transform(places("_codes", 1), own), lambda h: h.isNotNull()))
     every = F.when(F.size("_codes") < 3, F.transform(F.slice("_codes", 1, 1), lambda c: F.xxhash64(c, code(F.lit(1)), F.lit(0)))).otherwise(
         F.transform(places("_codes", 2), lambda i: F.xxhash64(code(i), code(i + 1), code(i + 2)))
     )

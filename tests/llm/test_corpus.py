@@ -429,6 +429,21 @@ def test_fingerprints(spark, docs, local, odd, empty):
     assert spotsigs.fingerprints(odd).count() == len(ODD) and spotsigs.fingerprints(empty).count() == 0
 
 
+def test_runs_without_anchors_have_spots(spark):
+    """Words without an anchor give their spots whether or not the rest of the text has some."""
+    rng = np.random.default_rng(10)
+    tail = "the weather in the north was good for the people of that town and they went to the market with bread " * 3
+    cyrillic = [" ".join("".join(rng.choice(list("бвгджзклмнпрст"), 6)) for _ in range(120)) for _ in range(2)]
+    numbers = " ".join(str(rng.integers(100, 10**6)) for _ in range(120))
+    rows = [(1, cyrillic[0]), (2, tail), (3, numbers), (4, tail), (5, f"{cyrillic[0]} email вместо"), (6, f"{cyrillic[1]} email вместо"), (7, " ".join("aeiou"[k] + str(k) for k in rng.integers(0, 5, 200))), (8, tail)]
+    got = {r.doc_id: r for r in spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (1, 3, 7):
+        assert got[i].near_edited > 0.3, i
+    assert got[5].near_next < 0.05 and len(got[5].fingerprint.split()) > 100
+    short = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "one two", "кот the", "кот пёс the of a in", "the of", "?", "the кот"])], "doc_id long, text string")
+    assert [len(r.spots) > 0 for r in spotsigs.fingerprint_of(short).orderBy("doc_id").collect()] == [True, True, True, True, True, False, True]
+
+
 def test_ranges_stitch(spark, monkeypatch):
     monkeypatch.setattr(spotsigs, "ROWS_PER_RANGE", 3)
     rows = [(i * i, f"t{i}") for i in range(40)]
