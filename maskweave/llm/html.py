@@ -1,8 +1,9 @@
-"""Main text of web pages by template deduction over equivalence classes of tokens.
+"""Main text of web pages by names of elements, and by how many of a host's pages share a block.
 
 A token is a tag, or a whole block of text, together with the path of tags above it. Tokens that occur equally often
-on each page of a host form an equivalence class. Classes that cover most of a host's pages make its template, nested
-by their paths; what a page holds beside the template are its slots, of which those of the article are the main text.
+on each page of a host form an equivalence class. Classes that cover most of a host's pages make its template, all at
+once: their vectors, order and nesting are not tested, so what counts is a token's number of pages alone. Blocks that are
+not in the template and not aside by their elements' names are the main text.
 """
 
 from __future__ import annotations
