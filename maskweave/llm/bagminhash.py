@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, map_batches, mix, staged, texts
+from .common import MULTIPLIER, discard, map_batches, mix, staged, texts
 from .components import components
 
 SHINGLE = 5
@@ -16,8 +16,8 @@ BANDS, BAND_ROWS = 25, 5
 COMPONENTS = BANDS * BAND_ROWS
 #: Rounds in which a bucket's texts are compared with one leader, before the rest is joined exactly.
 STAR_ROUNDS = 4
-#: Texts to compare, up to which their keys (16 bytes each) are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which keys, leaders and decisions (16 to 40 bytes each) are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
 
 _U = np.uint64
 _TABLES: dict[str, np.ndarray] = {}
@@ -127,7 +127,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def _slices(batch: list[str], size: int = 1_000_000, rows: int = 1_000):
+def _slices(batch: list[str], size: int = 700_000, rows: int = 1_000):
     begin, total = 0, 0
     for i, t in enumerate(batch):
         total += len(t)
@@ -183,10 +183,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     apart where class_id does not, as among classes of null ids; its values hold for one run. An empty table gives an
     empty result.
 
-    Equal multisets are one representative from the start. Within a bucket, every text meets the bucket's leader, then
-    another one in each round, as long as the bucket holds several classes. Texts of buckets that still do are joined
-    exactly, by the rarest items of their multisets. So every pair that shares a bucket is compared, or known to be
-    connected, or known to be too unlike; and a class of any size costs a few comparisons a text.
+    Equal multisets are one representative from the start. In each round every text of a bucket meets the bucket's
+    leader, who then leaves it, as long as the bucket holds several classes: a class of any size costs a few comparisons
+    a text, and a bucket of few texts is decided. What buckets are left after STAR_ROUNDS is joined exactly, by the
+    rarest items of the multisets. So every pair that shares a bucket is compared, or known to be connected, or known to
+    be too unlike.
     """
     hashed = texts(docs).withColumn("text_hash", F.xxhash64("text"))
     rows = staged(map_batches(hashed, _sketch, "doc_id long, text_hash long, k1 long, k2 long, n long, bands array<long>"), "sketches")
@@ -194,71 +195,126 @@ def near_classes(docs: DataFrame) -> DataFrame:
     reps = rows.groupBy("k1", "k2").agg(first.alias("f"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     reps = staged(reps.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "f.doc_id", "f.text_hash", "n", "bands", "copies"), "representatives")
 
-    buckets = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    buckets = staged(buckets.join(shared, "bucket"), "buckets")
-    used = staged(buckets.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep"), "used")
-    wanted = used.select("rep", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    if used.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    found = hashed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("rep", "text")
+    buckets = reps.select("rep", "n", F.explode("bands").alias("group"))
+    shared = staged(buckets.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1").select("group"), "shared")
+    placed = staged(buckets.join(_bounded(shared), "group").withColumn("component", F.col("rep")), "buckets")
+    labels = staged(placed.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash", "copies"), "rep").withColumn("component", F.col("rep")), "labels")
+    wanted = labels.select("rep", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    found = hashed.join(_bounded(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("rep", "text")
     bags = staged(map_batches(found, _bag, "rep long, bag array<long>").dropDuplicates(["rep"]), "bags")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        """(a, b, near) for pairs(a, b), by their multisets: row by row in the JVM, where two bags are all that is held."""
-        left, right = (bags.select(F.col("rep").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
-        both = F.size(F.array_intersect("bag_a", "bag_b"))
-        near = both >= F.lit(THRESHOLD) * (F.size("bag_a") + F.size("bag_b") - both) - 1e-9
-        return staged(pairs.join(left, "a").join(right, "b").select("a", "b", near.alias("near")), "compared")
-
-    tested, labelled, placed = None, None, buckets.withColumn("component", F.col("rep"))
-    for number in range(STAR_ROUNDS):
-        leader = F.min(F.struct(F.xxhash64("rep", F.lit(number)), "rep", "n", "component")).alias("leader")
-        led = placed.join(placed.groupBy("bucket").agg(leader), "bucket")
-        pairs = _pairs(led.select("rep", "n", "component", *(F.col(f"leader.{c}").alias(f"{c}_2") for c in ("rep", "n", "component"))))
-        done = compare(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        tested = done if tested is None else tested.union(done)
-        labelled = components(tested.filter("near").select("a", "b"))
-        placed = _label(buckets, labelled)
-        several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-        placed = staged(placed.join(several, "bucket", "left_semi"), "undecided")
-        if placed.isEmpty():
+    discard(shared)
+
+    apart: list[DataFrame] = []
+    for _ in range(STAR_ROUNDS):
+        met = _meet(placed)
+        discard(placed)
+        if met.isEmpty():
+            placed = None
             break
-    else:
-        # What is still apart is joined exactly: of two bags this alike, the rarest |s| - ceil(0.8 |s|) + 1 items share one.
-        apart = placed.select("rep", "n", "component").distinct()
-        items = staged(apart.join(bags, "rep").select("rep", "n", "component", F.explode("bag").alias("item")), "items")
-        often = items.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
-        ranked = items.join(often, "item", "left").select("rep", "n", "component", "item", F.coalesce("df", F.lit(1)).alias("df"))
-        whole = ranked.groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
-        length = (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1).cast("int")
-        rare = whole.select("rep", "n", "component", F.inline(F.slice("items", F.lit(1), length)))
-        # Each item's components, smaller ones against all: members of the largest need no partners of their own.
-        rare = staged(rare.filter("df > 1").select("rep", "n", "component", "item"), "rare-items")
-        sizes = placed.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
-        main = rare.join(sizes, "component").groupBy("item").agg(F.max(F.struct("size", "component")).alias("main"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-        mixed = rare.join(main.select("item", F.col("main.component").alias("main")), "item")
-        few = mixed.filter("component != main").select("item", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component")))
-        done = compare(_pairs(mixed.join(few, "item")).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        labelled = components(tested.union(done).filter("near").select("a", "b"))
-
-    named = _label(reps.select("rep", "k1", "k2", "doc_id", "copies"), labelled)
-    classes = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = named.join(classes, "component").select("k1", "k2", "component", "class_id", "class_size")
+        pairs = met.select("rep", "leader", "n", "n_2", "component", "component_2").filter(_may_be_near("n", "n_2") & (F.col("component") != F.col("component_2")))
+        merged = _merged(_compare(pairs, bags, apart))
+        labels = _relabelled(labels, merged, "labels")
+        placed = _relabelled(met.select("group", "rep", "n", "component"), merged, "buckets")
+        discard(met, merged)
+    if placed is not None:
+        merged = _merged(_compare(_by_rarest_items(placed, bags), bags, apart))
+        labels = _relabelled(labels, merged, "labels")
+        discard(placed, merged)
+    discard(bags, *apart)
+
+    classes = staged(labels.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
+    linked = labels.select("rep", "component").join(_bounded(classes), "component")
+    own = F.struct(F.col("rep").alias("component"), F.col("doc_id").alias("class_id"), F.col("copies").alias("class_size"))
+    named = reps.select("rep", "k1", "k2", own.alias("own")).join(linked.select("rep", F.struct("component", "class_id", "class_size").alias("joint")), "rep", "left")
+    named = staged(named.select("k1", "k2", F.coalesce("joint", "own").alias("c")).select("k1", "k2", "c.*"), "named")
+    discard(reps, labels, classes)
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
     return rows.select("doc_id", "text_hash", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "class_size", kept.alias("kept"), "text_hash", "component")
 
 
-def _pairs(both: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of rows (rep, n, component, rep_2, n_2, component_2) in two components and of lengths that allow the likeness."""
-    close = F.least("n", "n_2") >= F.greatest("n", "n_2") * F.lit(THRESHOLD) - 1e-9
-    return both.filter((F.col("component") != F.col("component_2")) & close).select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+def _bounded(df: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast if it has at most BROADCAST_ROWS rows (16 to 40 bytes each); else the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _may_be_near(n: str, n_2: str) -> Column:
+    """Whether multisets of these sizes can be as alike as the threshold asks."""
+    return F.least(n, n_2) >= F.greatest(n, n_2) * F.lit(THRESHOLD) - 1e-9
+
+
+def _meet(placed: DataFrame) -> DataFrame:
+    """Each row of placed(group, rep, n, component) beside its group's leader, who drops out; groups of one component are left out.
 
+    The leader is the member with the least hash: the same one in most of the groups that two texts share.
+    """
+    leader = F.min(F.struct(F.xxhash64("rep").alias("order"), "rep", "n", "component")).alias("leader")
+    led = placed.groupBy("group").agg(leader, F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
+    led = staged(led.select("group", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("n_2"), F.col("leader.component").alias("component_2")), "leaders")
+    met = staged(placed.join(_bounded(led), "group").filter("rep != leader"), "met")
+    discard(led)
+    return met
+
+
+def _compare(pairs: DataFrame, bags: DataFrame, apart: list[DataFrame]) -> DataFrame:
+    """The components that near ones of pairs(rep, leader, component, component_2) link; pairs that aren't near go into ``apart``.
 
-def _label(df: DataFrame, labelled: DataFrame) -> DataFrame:
-    """df(rep, ...) with its component; a representative without links is its own."""
-    found = df.join(labelled.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return found.withColumn("component", F.coalesce("component", "rep"))
+    Row by row in the JVM, where two multisets are all that is held. Pairs take up the bag of ``rep`` first, so that a
+    leader of many texts makes a partition of many bytes, which adaptive execution splits.
+    """
+    pairs = pairs.select("rep", "leader", "component", "component_2").distinct()
+    for known in apart:
+        pairs = pairs.join(known, ["rep", "leader"], "left_anti")
+    left, right = (bags.select(F.col("rep").alias(x), F.col("bag").alias(f"bag_{x}")) for x in ("rep", "leader"))
+    both = F.size(F.array_intersect("bag_rep", "bag_leader"))
+    near = both >= F.lit(THRESHOLD) * (F.size("bag_rep") + F.size("bag_leader") - both) - 1e-9
+    done = staged(pairs.join(left, "rep").join(right, "leader").select("rep", "leader", "component", "component_2", near.alias("near")), "compared")
+    apart.append(staged(done.filter("NOT near").select("rep", "leader"), "apart"))
+    links = staged(done.filter("near").select(F.col("component").alias("a"), F.col("component_2").alias("b")).distinct(), "links")
+    discard(done)
+    return links
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """(node, component) of components that links(a, b) join; only the components of the last round are nodes, so links stay few."""
+    merged = components(links)
+    discard(links)
+    return merged
+
+
+def _relabelled(df: DataFrame, merged: DataFrame, name: str) -> DataFrame:
+    """df with its components as merged."""
+    new = _bounded(merged).select(F.col("node").alias("component"), F.col("component").alias("_new"))
+    out = staged(df.join(new, "component", "left").withColumn("component", F.coalesce("_new", "component")).drop("_new"), name)
+    if hasattr(df, "scratch"):
+        discard(df)
+    return out
+
+
+def _by_rarest_items(placed: DataFrame, bags: DataFrame) -> DataFrame:
+    """Candidate pairs, each once, of placed(group, rep, n, component): (rep, leader, n, n_2, component, component_2).
+
+    Multisets of sizes n and m are near only if they share 4/9 (n + m) items. So they share one at a place, from the
+    rarest on, of at most n - ceil(4/9 (n + m)) + 1 in the one and likewise in the other. Of an item's components, the
+    smaller ones meet all: members of the largest need no partners among themselves.
+    """
+    share = F.lit(THRESHOLD / (1 + THRESHOLD))
+    apart = staged(placed.select("rep", "n", "component").distinct(), "apart-texts")
+    items = staged(apart.join(bags, "rep").select("rep", "n", "component", F.explode("bag").alias("item")), "items")
+    often = items.groupBy("item").agg(F.count("*").alias("df"))
+    ranked = items.join(often, "item").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+    places = ranked.select("rep", "n", "component", F.posexplode(F.slice("items", 1, (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1).cast("int"))).alias("place", "it"))
+    rare = staged(places.filter("it.df > 1").select("rep", "n", "component", F.col("it.item").alias("item"), (F.col("place") + 1).alias("place")), "rare-items")
+    sizes = rare.groupBy("item", "component").agg(F.count("*").alias("size"))
+    main = staged(sizes.groupBy("item").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("several")).filter("several > 1").select("item", F.col("main.component").alias("main")), "main")
+    mixed = staged(rare.join(_bounded(main), "item"), "mixed")
+    few = mixed.filter("component != main").select("item", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "place")))
+    needed = F.ceil(share * (F.col("n") + F.col("n_2")) - 1e-9)
+    # Of two members of smaller components, the pair is made once.
+    once = (F.col("component") == F.col("main")) | (F.col("rep") > F.col("rep_2"))
+    fit = once & _may_be_near("n", "n_2") & (F.col("component") != F.col("component_2")) & (F.col("place") <= F.col("n") - needed + 1) & (F.col("place_2") <= F.col("n_2") - needed + 1)
+    pairs = staged(mixed.join(few, "item").filter(fit).select("rep", F.col("rep_2").alias("leader"), "n", "n_2", "component", "component_2").distinct(), "item-pairs")
+    discard(apart, items, rare, main, mixed)
+    return pairs
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

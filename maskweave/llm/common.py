@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="maskweave-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
@@ -28,12 +31,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     This cuts lineage: later jobs, and tasks retried after a lost executor, reread the files and recompute nothing.
-    The tables lie under ``<shared folder>/scratch`` and can be deleted when the application has ended.
+    The tables lie under ``<shared folder>/scratch``; discard() deletes one that no later step reads, and the rest can
+    be deleted when the application has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what staged() has written for these; nothing that is still to run may read them."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -41,17 +56,31 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-#: Rows that a task holds as Python objects at once.
-ROWS = 1_000
+#: Rows that a task holds as Python objects at once, and their bytes; a single longer row is held by itself.
+ROWS, BYTES = 1_000, 4_000_000
 Columns = dict[str, object]
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of at most ROWS rows and about BYTES bytes of text."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+    ends, begin = np.cumsum(sizes), 0
+    while begin < batch.num_rows:
+        fit = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + BYTES, "right"))
+        end = min(max(fit, begin + 1), begin + ROWS)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def map_batches(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Iterable[Columns]], schema: str) -> DataFrame:
-    """df's rows as dicts of lists, ROWS at a time, through ``make``, whose dicts of columns become rows of ``schema``."""
+    """df's rows as dicts of lists, a few at a time, through ``make``, whose dicts of columns become rows of ``schema``."""
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in make(b.slice(i, ROWS).to_pydict() for b in batches for i in range(0, b.num_rows, ROWS)):
+        for columns in make(p.to_pydict() for b in batches for p in pieces(b)):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
