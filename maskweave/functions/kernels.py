@@ -1,11 +1,12 @@
 """Match kernels: every match of a regular expression with its place, as an array column.
 
 Offsets are code points from 0. Patterns are Java's; they run in the JVM, where neither Python nor a shuffle is needed.
-Patterns that can match the empty string have no gaps to count by, so they go through an Arrow kernel instead.
+Patterns with nested repetition can take exponential time, so they go through an Arrow kernel with a time limit instead.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 HIT = "struct<start:int,length:int,value:string>"
 HITS = f"array<{HIT}>"
 BLOCK = 128
+#: Put around matches. A noncharacter, which texts do not exchange; one that holds it all the same is searched with OTHER in its place.
+MARK, OTHER = "\ufdd0", "\ufdd1"
 
 
 def no_hits() -> Column:
@@ -27,55 +30,119 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hits(text: Column, pattern: str | Column, part: str = "all", before: int = 0) -> Column:
-    """array<struct<start, length, value>> of the non-overlapping matches of a pattern that is never empty.
+def scan(rows: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """From left to right, step(at, row) gives the next ``at``, an int that begins as 0, and an array of type ``out``; those arrays in a row.
 
-    part: "all" is the whole match; "tail" is group 1 where it ends with the match; "inner" is group 1 where it begins
-    ``before`` code points after the match. Empty groups are left out. Null text has no matches.
+    Blocks of rows are folded one after the other, so that adding to an array stays cheap however many rows there are.
     """
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-
-    def rows_of(whole: Column) -> Column:
-        own = whole if part == "all" else F.regexp_extract_all(text, pattern, F.lit(1))
-        sized = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, w: F.struct(g.alias("gap"), F.length(w).alias("size")))
-        return F.zip_with(sized, own, lambda p, v: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), v.alias("value")))
 
-    def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + row["gap"]
-        end = begin + row["size"]
-        start = {"all": begin, "tail": end - F.length(row["value"]), "inner": begin + before}[part]
-        hit = F.struct(start.alias("start"), F.length(row["value"]).alias("length"), row["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+    def one(acc: Column, row: Column) -> Column:
+        at, made = step(acc["at"], row)
+        return F.struct(at.cast("int").alias("at"), F.concat(acc["out"], made).alias("out"))
 
     def block(done: Column, some: Column) -> Column:
-        """Blocks of rows are folded one after the other, so that adding to an array stays cheap however many hits there are."""
         at = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0))
-        return F.concat(done, F.array(F.aggregate(some, F.struct(at.alias("at"), no_hits().alias("out")), step)))
+        return F.concat(done, F.array(F.aggregate(some, F.struct(at.alias("at"), F.array().cast(out).alias("out")), one)))
 
     def folded(rows: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.size(rows), F.lit(BLOCK)), lambda b: F.slice(rows, b + 1, F.lit(BLOCK)))
-        done = F.aggregate(blocks, F.array().cast(f"array<struct<at:int,out:{HITS}>>"), block)
+        done = F.aggregate(blocks, F.array().cast(f"array<struct<at:int,out:{out}>>"), block)
         return F.flatten(F.transform(done, lambda b: b["out"]))
 
-    found = let(let(F.regexp_extract_all(text, pattern, F.lit(0)), rows_of), folded)
-    if part != "all":
-        found = F.filter(found, lambda h: h["length"] > 0)
-    # A cheap test first: most texts hold no match of most patterns.
-    return F.coalesce(F.when(F.regexp_like(text, pattern), found), no_hits())
+    return let(rows, folded)
 
 
-def can_be_empty(pattern: str, flags: int = 0) -> bool:
-    """Whether a pattern matches the empty string at some place of some probe text."""
+def hits(text: Column, pattern: str, part: str = "all", before: int = 0, clear: str | None = None) -> Column:
+    """array<struct<start, length, value>> of the non-overlapping matches of a pattern, empty ones, too.
+
+    part: "all" is the whole match; "tail" is group 1 where it ends with the match; "inner" is group 1 where it begins
+    ``before`` code points after the match. Empty groups are left out. ``clear`` is a character class: matches beside one
+    of its characters are left out. Null text has no matches.
+
+    The text is searched once: matches are put between marks, and what marks part is measured.
+    """
+    k = 2 if part == "all" else 3
+    held = text.contains(MARK)
+    marked = F.regexp_replace(F.when(held, F.translate(text, MARK, OTHER)).otherwise(text), F.lit(_whole(pattern)), F.lit(MARK + "$0" + MARK + ("$1" + MARK if k == 3 else "")))
+
+    def rows_of(pieces: Column) -> Column:
+        def row(i: Column) -> Column:
+            at = i * k
+            own = {"gap": F.length(F.get(pieces, at)), "size": F.length(F.get(pieces, at + 1)), "value": F.get(pieces, at + k - 1)}
+            if clear:
+                left, right = F.concat(F.coalesce(F.get(pieces, at - k + 1), F.lit("")), F.get(pieces, at)), F.concat(F.get(pieces, at + k), F.coalesce(F.get(pieces, at + k + 1), F.lit("")))
+                own["clear"] = ~F.concat(F.right(left, F.lit(1)), F.left(right, F.lit(1))).rlike(clear)
+            return F.struct(*(c.alias(n) for n, c in own.items()))
+
+        return F.transform(F.sequence(F.lit(0), (F.size(pieces) / k).cast("int") - 1), row)
+
+    def step(at: Column, row: Column) -> tuple[Column, Column]:
+        begin = at + row["gap"]
+        end = begin + row["size"]
+        size = F.length(row["value"])
+        start = {"all": begin, "tail": end - size, "inner": begin + before}[part]
+        return end, F.array(F.struct(start.alias("start"), size.alias("length"), row["value"].alias("value"), *([row["clear"].alias("clear")] if clear else [])))
+
+    def found(pieces: Column) -> Column:
+        kind = HITS if not clear else "array<struct<start:int,length:int,value:string,clear:boolean>>"
+        out = scan(rows_of(pieces), step, kind)
+        if clear:
+            out = F.transform(F.filter(out, lambda h: h["clear"]), lambda h: h.dropFields("clear"))
+        if part != "all":
+            out = F.filter(out, lambda h: h["length"] > 0)
+        return F.when(F.size(pieces) > 1, out).otherwise(no_hits())
+
+    def itself(every: Column) -> Column:
+        return F.when(held, F.transform(every, lambda h: F.struct(h["start"], h["length"], F.substring(text, h["start"] + 1, h["length"]).alias("value")))).otherwise(every)
+
+    return F.coalesce(let(let(F.split(marked, MARK, -1), found), itself), no_hits())
+
+
+def _whole(pattern: str) -> str:
+    """The pattern; one that might match the empty string keeps out of the middle of a surrogate pair."""
+    flags, body = re.match(r"((?:\(\?[a-zA-Z]+\))?)(.*)", pattern, re.S).groups()
+    return rf"{flags}(?![\uDC00-\uDFFF])(?:{body})" if can_be_empty(body) else pattern
+
+
+def can_be_empty(pattern: str) -> bool:
+    """Whether a pattern, its look-around aside, matches the empty string; true also of one that cannot be told."""
+    parts, depth, skip = [], 0, 0
+    for token in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]|\(\?<?[=!]|.", pattern, re.S):
+        depth += token[0] == "("
+        if not skip and re.fullmatch(r"\(\?<?[=!]", token):
+            skip = depth
+        if not skip:
+            parts.append(token)
+        if token == ")":
+            skip = 0 if skip == depth else skip
+            depth -= 1
     try:
-        compiled = regex.compile(pattern, flags | regex.IGNORECASE)
+        compiled = regex.compile("".join(parts), regex.IGNORECASE | regex.MULTILINE)
     except regex.error:
-        return False
+        return True
     return any(m.end() == m.start() for probe in ("", "a", " ", "a b", "1\n-", "Zz9 \n.,:;x") for m in compiled.finditer(probe))
 
 
+def may_run_away(pattern: str) -> bool:
+    """Whether a group that repeats without bound holds a repetition without bound: matching may take exponential time."""
+    open_ended, groups = re.compile(r"(?:[*+]|\{\d+,\})(?!\+)"), [False]
+    tokens = list(re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]|.", pattern, re.S))
+    for m in tokens:
+        repeats = open_ended.match(pattern, m.end()) is not None
+        if m[0] == "(":
+            groups.append(False)
+            continue
+        if m[0] == ")" and len(groups) > 1:
+            inside = groups.pop()
+            if inside and repeats:
+                return True
+            groups[-1] |= inside
+        groups[-1] |= repeats
+    return False
+
+
 def arrow_hits(text: Column, pattern: str, multiline: bool = False, timeout: float = 2.0) -> Column:
-    """As hits, with empty matches, by the ``regex`` module over Arrow batches; a text that takes over ``timeout`` seconds fails."""
+    """As hits, by the ``regex`` module over Arrow batches; a text that takes over ``timeout`` seconds fails the task."""
     flags = regex.IGNORECASE | (regex.MULTILINE if multiline else 0)
 
     @F.pandas_udf(HITS)
@@ -89,3 +156,13 @@ def arrow_hits(text: Column, pattern: str, multiline: bool = False, timeout: flo
 def literal(text: str) -> str:
     """A Java pattern that matches just this text."""
     return "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in text)
+
+
+def any_of(words: list[str]) -> str:
+    """A Java pattern that matches each of some words, as a tree of their letters: a place is tried once a letter, however many words there are."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    # The empty rest goes last, so that the longest word is tried first.
+    parts = [literal(h) + (any_of(rest) if rest != [""] else "") for h, rest in heads.items() if h] + ([""] if "" in heads else [])
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"

@@ -8,11 +8,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import arrow_hits, can_be_empty, hits, let, literal, no_hits
+from ..functions.kernels import any_of, arrow_hits, hits, let, literal, may_run_away, no_hits
 
 Compiled = Callable[[Column], Column]
 
@@ -29,6 +28,8 @@ class PatternError(ValueError):
 
 def type_name(name: str) -> str:
     """The type that a name stands for, whatever its case and underscores."""
+    if name in COMPILERS:
+        return name
     wanted = name.replace("_", "").lower()
     for known in TYPES:
         if known.lower() == wanted:
@@ -36,6 +37,11 @@ def type_name(name: str) -> str:
     raise ValueError(f"unknown pattern type {name!r}")
 
 
+def known(name: str) -> bool:
+    """Whether name stands for a type, built in or registered."""
+    return name in COMPILERS or name.replace("_", "").lower() in {t.lower() for t in TYPES}
+
+
 def valid(pattern: str) -> bool:
     """Whether the JVM compiles the pattern."""
     spark = SparkSession.getActiveSession()
@@ -54,7 +60,7 @@ def _found(body: str, flags: str, part: str = "all", before: int = 0, strict: bo
         if strict:
             raise PatternError(body)
         return lambda text: no_hits()
-    if part == "all" and can_be_empty(body, regex.MULTILINE if "m" in flags else 0):
+    if part == "all" and may_run_away(body):
         return lambda text: arrow_hits(text, body, "m" in flags)
     return lambda text: hits(text, flags + body, part, before)
 
@@ -63,22 +69,38 @@ def raw(pattern: str) -> Compiled:
     return _found(pattern, FLAGS, strict=True)
 
 
+def _overlap(a: str, b: str) -> bool:
+    """Whether occurrences of two terms can overlap."""
+    return a in b or b in a or any(a.endswith(b[:i]) or b.endswith(a[:i]) for i in range(1, min(len(a), len(b))))
+
+
 def const_list(pattern: str) -> Compiled:
-    """Terms between bars; a term counts where neither neighbour is a letter or digit. Terms are searched one by one."""
+    """Terms between bars; a term counts where neither neighbour is a letter or digit, and once for each time it is listed.
+
+    A term of letters and digits only is then a whole run of them, so all such terms make one kernel. Others are
+    searched for in groups of terms that cannot overlap, from the left and each behind its last occurrence.
+    """
     terms = [t for t in map(str.strip, pattern.split("|")) if t]
-    if not terms:
-        return lambda text: no_hits()
-    any_term = "(?iU)(?:" + "|".join(map(literal, terms)) + ")"
-    each = F.array(*(F.lit("(?iU)" + literal(t)) for t in terms))
+    edge = r"[\p{L}\p{Nd}]"
+    listed: list[dict[str, str]] = []  # n-th: terms that are listed n times or more
+    groups: list[list[str]] = []
+    for term in terms:
+        key = term.lower()
+        if re.fullmatch(r"[^\W_]+", key):
+            words = next((w for w in listed if key not in w), None)
+            if words is None:
+                listed.append(words := {})
+            words[key] = term
+        else:
+            group = next((g for g in groups if not any(_overlap(key, t.lower()) for t in g)), None)
+            if group is None:
+                groups.append(group := [])
+            group.append(term)
 
     def find(text: Column) -> Column:
-        def clear(h: Column) -> Column:
-            sides = F.concat(F.when(h["start"] > 0, F.substring(text, h["start"], F.lit(1))).otherwise(F.lit("")), F.substring(text, h["start"] + h["length"] + 1, F.lit(1)))
-            return ~sides.rlike(r"[\p{L}\p{Nd}]")
-
-        # One kernel for all terms: a list of any length adds an array to the plan, and no expressions.
-        every = F.flatten(F.transform(each, lambda t: F.filter(hits(text, t), clear)))
-        return F.when(text.rlike(any_term), every).otherwise(no_hits())
+        runs = [hits(text, f"(?iU)(?<!{edge}){any_of(list(words))}(?!{edge})") for words in listed]
+        runs += [hits(text, "(?iU)(?:" + "|".join(map(literal, g)) + ")", clear=edge) for g in groups]
+        return F.concat(*runs) if runs else no_hits()
 
     return find
 
@@ -180,4 +202,4 @@ def register(name: str, compiler: Callable[[str], Compiled]) -> None:
 
 def find(text: Column | str, pattern_type: str, pattern: str) -> Column:
     """The hits of one pattern in a text column."""
-    return COMPILERS[type_name(pattern_type) if pattern_type not in COMPILERS else pattern_type](pattern)(F.col(text) if isinstance(text, str) else text)
+    return COMPILERS[type_name(pattern_type)](pattern)(F.col(text) if isinstance(text, str) else text)

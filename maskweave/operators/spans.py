@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import let
+from ..functions.kernels import BLOCK, let, scan
 
 CANDIDATES = "array<struct<start:int,length:int,field_name:string,replacement:string,matched_text:string,ord:int>>"
 
@@ -44,22 +44,42 @@ def ordered(candidates: Column) -> Column:
 def without_overlaps(candidates: Column) -> Column:
     """From left to right, each candidate that begins at or after the end of the last one taken; input as by ordered()."""
 
-    def step(acc: Column, m: Column) -> Column:
-        taken = F.struct((m["start"] + m["length"]).alias("end"), F.concat(acc["kept"], F.array(m)).alias("kept"))
-        return F.when(m["start"] >= acc["end"], taken).otherwise(acc)
+    def step(end: Column, m: Column) -> tuple[Column, Column]:
+        free = m["start"] >= end
+        return F.when(free, m["start"] + m["length"]).otherwise(end), F.when(free, F.array(m)).otherwise(no_candidates())
 
-    return F.aggregate(candidates, F.struct(F.lit(0).alias("end"), no_candidates().alias("kept")), step, lambda acc: acc["kept"])
+    return scan(candidates, step, CANDIDATES)
 
 
 def splice(text: Column, spans: Column, render=lambda m: m["replacement"], gap=lambda g: g) -> Column:
-    """text with each of its disjoint spans rendered; text between them goes through ``gap``."""
+    """text with each of its disjoint spans rendered; text between them goes through ``gap``.
 
-    def step(acc: Column, m: Column) -> Column:
-        kept = gap(F.substring(text, acc["at"] + 1, m["start"] - acc["at"]))
-        return F.struct((m["start"] + m["length"]).alias("at"), F.concat(acc["out"], kept, render(m)).alias("out"))
+    Spans are taken in blocks, each with its stretch of the text, so that no gap is counted out from the text's beginning.
+    """
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], gap(F.substring(text, acc["at"] + 1, F.length(text)))))
-    return F.when(F.size(spans) > 0, done).otherwise(gap(text))
+    return let(spans, lambda own: _spliced(text, own, render, gap))
+
+
+def _spliced(text: Column, spans: Column, render, gap) -> Column:
+    def end(m: Column) -> Column:
+        return m["start"] + m["length"]
+
+    def block(b: Column) -> Column:
+        begin = F.coalesce(end(F.get(spans, b - 1)), F.lit(0))
+        stretch = F.substring(text, begin + 1, end(F.get(spans, F.least(b + BLOCK, F.size(spans)) - 1)) - begin)
+
+        def pieces(own: Column) -> Column:
+            def piece(m: Column, i: Column) -> Column:
+                last = F.coalesce(end(F.get(spans, b + i - 1)), F.lit(0))
+                return F.concat(gap(F.substring(own["text"], last - own["begin"] + 1, m["start"] - last)), render(m))
+
+            return F.array_join(F.transform(F.slice(spans, b + 1, F.lit(BLOCK)), piece), "")
+
+        return let(F.struct(stretch.alias("text"), begin.alias("begin")), pieces)
+
+    tail = gap(F.substring(text, end(F.get(spans, F.size(spans) - 1)) + 1, F.length(text)))
+    whole = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans) - 1, F.lit(BLOCK)), block), ""), tail)
+    return F.when(F.size(spans) > 0, whole).otherwise(gap(text))
 
 
 def fields_hit(spans: Column) -> Column:

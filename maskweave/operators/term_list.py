@@ -1,17 +1,22 @@
-"""Term lists of any size: token n-grams joined with a dictionary, then the longest from the left."""
+"""Term lists of any size: runs of tokens looked up in a dictionary, the longest from the left."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import HITS, hits
+from ..functions.kernels import HITS, hits, scan
 from ..functions.text import normalise
 
 #: Terms of more words never match.
 MOST_WORDS = 6
-#: Terms (at about 100 bytes) up to which a dictionary is broadcast; beyond, n-grams and terms shuffle by term.
-BROADCAST_TERMS = 500_000
+#: Terms, and their bytes, up to which a dictionary is sent to every worker; beyond, n-grams and terms shuffle by term.
+BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 50_000_000
+TOKEN = r"[\p{L}\p{Nd}-]+"
 
 
 def dictionary(terms: DataFrame, column: str = "term") -> DataFrame:
@@ -21,39 +26,80 @@ def dictionary(terms: DataFrame, column: str = "term") -> DataFrame:
     return rows.groupBy("norm").agg(F.min("raw").alias("raw")).withColumn("n_words", F.size(F.split("norm", " "))).filter(F.col("n_words") <= MOST_WORDS)
 
 
+def sent(terms: DataFrame) -> Callable[[Column], Column] | None:
+    """A function from texts to their hits by a dictionary() that is sent to all workers; None if it is too large for that.
+
+    It looks at each row by itself, so it serves streams as well. What the driver brings together is bounded by both limits.
+    """
+    size = terms.agg(F.count("*").alias("n"), F.sum(F.octet_length("norm") + F.octet_length("raw")).alias("bytes"), F.max("n_words").alias("most")).first()
+    if size["n"] > BROADCAST_TERMS or (size["bytes"] or 0) > BROADCAST_BYTES:
+        return None
+    known = terms.sparkSession.sparkContext.broadcast({r["norm"]: r["raw"] for r in terms.select("norm", "raw").collect()})
+    most = min(size["most"] or 0, MOST_WORDS)
+
+    @F.pandas_udf(HITS)
+    def find(texts: pd.Series) -> pd.Series:
+        raw, token, parts = known.value, regex.compile(TOKEN), regex.compile(r"[^\p{L}\p{N}]+")
+        heads = {norm.partition(" ")[0] for norm in raw}
+
+        def of(text: str | None) -> list[dict]:
+            out, tokens, i = [], [(m.start(), m.end(), m[0].lower()) for m in token.finditer(text or "")], 0
+            norms = [" ".join(parts.split(w)).strip() if "-" in w else w for _, _, w in tokens]
+            while i < len(tokens):
+                first = next((n for n in norms[i : i + most] if n), "")
+                for width in range(min(most, len(tokens) - i), 0, -1) if first.partition(" ")[0] in heads else ():
+                    norm = " ".join(n for n in norms[i : i + width] if n)
+                    if norm in raw:
+                        start = tokens[i][0]
+                        out.append({"start": start, "length": tokens[i + width - 1][1] - start, "value": raw[norm]})
+                        i += width - 1
+                        break
+                i += 1
+            return out
+
+        return texts.map(of)
+
+    return find
+
+
 def term_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, hits) for the rows of docs whose text holds terms of a dictionary(); key must be unique.
 
     Tokens are runs of letters, digits and hyphens. From each token on, the longest run of tokens that is a term is
-    taken and the search goes on behind it; ``value`` is the dictionary's spelling. Only n-grams and their places leave
-    the row, never its text.
+    taken and the search goes on behind it; ``value`` is the dictionary's spelling. A dictionary that sent() takes is
+    looked up row by row; a larger one is joined.
     """
-    limits = terms.agg(F.max("n_words").alias("most"), F.count("*").alias("n")).first()
+    find = sent(terms)
+    if find is not None:
+        return docs.select(key, find(F.col(text)).alias("hits")).filter(F.size("hits") > 0)
+    return joined_hits(docs, terms, key, text)
+
+
+def joined_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As term_hits, for a dictionary of any size: only n-grams that begin as some term does, and their places, leave the row, never its text."""
+    limits = terms.agg(F.max("n_words").alias("most")).first()
     most = min(limits["most"] or 0, MOST_WORDS)
     if not most:
         return docs.select(key).limit(0).withColumn("hits", F.array().cast(HITS))
-    known = F.broadcast(terms) if limits["n"] <= BROADCAST_TERMS else terms
-    tokens = docs.select(key, hits(F.col(text), r"[\p{L}\p{Nd}-]++").alias("_tokens"))
-    tokens = tokens.withColumn("_tokens", F.transform("_tokens", lambda t: F.struct(t["start"], t["length"], normalise(t["value"]).alias("norm"))))
-
-    def gram(width: int) -> Column:
-        """All runs of so many tokens; what lies between tokens is neither letter nor digit, so a blank stands for it."""
-        follow = [F.slice("_tokens", k + 1, F.greatest(F.size("_tokens") - (width - 1), F.lit(0))).alias(f"t{k}") for k in range(width)]
-
-        def run(z: Column, i: Column) -> Column:
-            first, last = z["t0"], z[f"t{width - 1}"]
-            norm = F.trim(F.regexp_replace(F.concat_ws(" ", *(z[f"t{k}"]["norm"] for k in range(width))), " +", " "))
-            return F.struct(i.alias("first"), F.lit(width).alias("width"), first["start"].alias("start"), (last["start"] + last["length"] - first["start"]).alias("length"), norm.alias("norm"))
-
-        return F.filter(F.transform(F.arrays_zip(*follow), run), lambda g: g["norm"] != "")
-
-    grams = tokens.select(key, F.inline(F.concat(*map(gram, range(1, most + 1)))))
-    found = grams.join(known.select("norm", "raw"), "norm")
+    # One row a token, with the tokens that follow it.
+    tokens = docs.select(key, hits(F.col(text), TOKEN + "+").alias("_tokens"))
+    tokens = tokens.withColumn("_tokens", F.transform("_tokens", lambda t: F.struct(t["start"], (t["start"] + t["length"]).alias("end"), t["value"])))
+    runs = tokens.select(key, F.posexplode(F.transform("_tokens", lambda t, i: F.slice("_tokens", i + 1, F.lit(most)))).alias("first", "run"))
+    lower = F.transform("run", lambda t: F.when(t["value"].contains("-"), normalise(t["value"])).otherwise(F.lower(t["value"])))
+    runs = runs.select(key, "first", F.transform("run", lambda t: F.struct(t["start"], t["end"])).alias("run"), lower.alias("norms"))
+    head = F.split_part(F.get(F.filter("norms", lambda n: n != ""), F.lit(0)), F.lit(" "), F.lit(1))
+    heads = terms.select(F.split_part("norm", F.lit(" "), F.lit(1)).alias("head")).distinct()
+    runs = runs.withColumn("head", head).join(heads, "head", "left_semi")
+    width = F.explode(F.sequence(F.lit(1), F.size("run"))).alias("width")
+    grams = runs.select(key, "first", "run", "norms", width)
+    start, last = F.get("run", F.lit(0))["start"], F.get("run", F.col("width") - 1)["end"]
+    grams = grams.select(key, "first", "width", start.alias("start"), (last - start).alias("length"), F.array_join(F.filter(F.slice("norms", F.lit(1), F.col("width")), lambda n: n != ""), " ").alias("norm"))
+    found = grams.join(terms.select("norm", "raw"), "norm")
     rows = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first", (-F.col("width")).alias("back"), "start", "length", "raw"))).alias("_found"))
 
-    def step(acc: Column, g: Column) -> Column:
-        hit = F.struct(g["start"].alias("start"), g["length"].alias("length"), g["raw"].alias("value"))
-        return F.when(g["first"] < acc["next"], acc).otherwise(F.struct((g["first"] - g["back"]).alias("next"), F.concat(acc["out"], F.array(hit)).alias("out")))
+    def step(free: Column, g: Column) -> tuple[Column, Column]:
+        hit = F.array(F.struct(g["start"].alias("start"), g["length"].alias("length"), g["raw"].alias("value")))
+        taken = g["first"] >= free
+        return F.when(taken, g["first"] - g["back"]).otherwise(free), F.when(taken, hit).otherwise(F.array().cast(HITS))
 
-    zero = F.struct(F.lit(0).alias("next"), F.array().cast(HITS).alias("out"))
-    return rows.select(key, F.aggregate("_found", zero, step, lambda acc: acc["out"]).alias("hits"))
+    return rows.select(key, scan(F.col("_found"), step, HITS).alias("hits"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.patterns import type_name
+from ..operators.patterns import known, type_name
 
 MASK = "████"
 FIELD_SCHEMA = "id int, client_id int, field_name string, replace_with string, is_active boolean, is_preserve boolean, priority int"
@@ -59,9 +59,9 @@ def for_client(fields: DataFrame, client_id: int | None) -> DataFrame:
 
 
 def load(fields: DataFrame, patterns: DataFrame, client_id: int | None = None) -> list[Field]:
-    """A client's catalogue, brought to the driver: rules are few, and are compiled into the plan."""
+    """A client's catalogue, brought to the driver: rules are few, and are compiled into the plan. Patterns of unknown types are skipped."""
     rows = with_patterns(for_client(fields, client_id), patterns).orderBy("id").collect()
-    return [Field(r.field_name, tuple(Pattern(type_name(p.pattern_type), p.pattern, p.priority) for p in r.patterns), r.replace_with, r.is_active, r.is_preserve, r.priority, r.client_id) for r in rows]
+    return [Field(r.field_name, tuple(Pattern(type_name(p.pattern_type), p.pattern, p.priority) for p in r.patterns if known(p.pattern_type)), r.replace_with, r.is_active, r.is_preserve, r.priority, r.client_id) for r in rows]
 
 
 def effective_priority(fields: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """redact(): documents and a catalogue to redacted texts, as one projection that Spark plans like any other.
 
 The catalogue is unrolled into the plan, a match kernel for each pattern. Texts stay in their rows; only term lists
-join with a dictionary, by n-grams.
+that are too large to be sent to every worker join with a dictionary, by n-grams.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import no_hits
 from ..functions.text import clean_term, escape_html
-from ..operators.patterns import COMPILERS
+from ..operators.patterns import COMPILERS, PatternError, nothing
 from ..operators.spans import fields_hit, no_candidates, ordered, outside, splice, stamped, without_overlaps
-from ..operators.term_list import dictionary, term_hits
+from ..operators.term_list import dictionary, joined_hits, sent
 from .catalog import Field, ordered_patterns
 
 
@@ -28,20 +28,30 @@ def with_matches(df: DataFrame, catalogue: list[Field], text: str = "text", key:
     """df with ``matches``: the spans that are redacted, disjoint and in order.
 
     dictionaries: by field name, term tables (see term_list.dictionary) for FileList patterns too large for a
-    catalogue. Only FileList patterns need ``key``, which must be unique. Null texts have no matches.
+    catalogue. Only FileList patterns with such large dictionaries need ``key``, which must be unique. Null texts have no
+    matches.
     """
     source, named_hits = F.col(text), {}
     for n, field in enumerate(catalogue):
         for p in field.patterns if field.is_active else ():
             if p.pattern_type == "FileList":
                 terms = (dictionaries or {}).get(field.name)
-                found = term_hits(df, _terms(df, p.pattern) if terms is None else terms, key, text)
+                terms = _terms(df, p.pattern) if terms is None else terms
+                find = sent(terms)
+                if find is not None:
+                    named_hits[n, p] = find(source)
+                    continue
+                if df.isStreaming:
+                    raise PatternError(f"the term list of {field.name!r} is too large to be sent to all workers, and a stream cannot be joined by n-grams: use redact_batches")
                 name = f"_terms_{n}_{len(named_hits)}"
-                df = df.join(found.withColumnRenamed("hits", name), key, "left")
+                df = df.join(joined_hits(df, terms, key, text).withColumnRenamed("hits", name), key, "left")
                 named_hits[n, p] = F.coalesce(F.col(name), no_hits())
 
     def hits(n: int, p) -> Column:
-        return named_hits[n, p] if (n, p) in named_hits else COMPILERS[p.pattern_type](p.pattern)(source)
+        if (n, p) in named_hits:
+            return named_hits[n, p]
+        # A type that nothing is registered for finds nothing; the rest of the catalogue stays in force.
+        return COMPILERS.get(p.pattern_type, nothing)(p.pattern)(source)
 
     active = [(n, f) for n, f in enumerate(catalogue) if f.is_active]
     zones = [hits(n, p) for n, f in active if f.is_preserve for p in f.patterns]

@@ -12,11 +12,12 @@ from .functions.text import direction, escape_html, extension, file_size, hash_k
 from .operators import boxes, logs
 from .operators.patterns import find
 from .operators.spans import candidates_outside, fields_hit, ordered, outside, splice, stamped, without_overlaps
-from .operators.term_list import dictionary, term_hits
+from .operators.term_list import dictionary, joined_hits, term_hits
 from .plans import catalog
 from .plans.builtin import builtin, named
-from .plans.catalog import Field, Pattern
+from .plans.catalog import Field, Pattern, ordered_patterns
 from .plans.redact import highlighted, redact, with_matches
+from .sources.tables import spread
 from .sources.terms import parse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,16 +36,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; those of texts, whose queries cost far more than a small shuffle, by way of spread()."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages", "conversations") else rows
 
 
 # ---- pattern types -------------------------------------------------------------------------------------------------
 
-EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
-OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-IP = rf"\b{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}\b"
-VISA = r"\b4[0-9]{3}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}\b"
-BIC = r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b"
+EMAIL, IP, VISA, BIC = (named(name)[0].patterns[k].pattern for name, k in (("Email", 0), ("IP", 0), ("Credit Card", 0), ("IBAN", 2)))
 #: SQL's regular expressions know neither look-around nor a Unicode \b: words are listed, or what parts them is matched, too.
 WORDS = r"regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}_]+')"
 EDGE = r"(?:^|[^\p{L}\p{M}\p{Nd}_])"
@@ -134,6 +133,29 @@ def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.size(distinct), F.lit(0)).cast("long").alias("n_terms"))
 
 
+@query(
+    "file_list_words",
+    r"""
+    WITH RECURSIVE b AS (SELECT list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda x: lower(x)) AS w FROM benchmark),
+        d AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS norm FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b)),
+        t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}-]+'), lambda x: trim(lower(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g')))) AS w FROM documents),
+        g AS (SELECT doc_id, i, w[i] AS one, w[i] || ' ' || w[i + 1] AS two FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+        c AS (SELECT doc_id, i, 1 AS width FROM g SEMI JOIN d ON one = norm UNION ALL SELECT doc_id, i, 2 FROM g SEMI JOIN d ON two = norm),
+        o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, width DESC) AS k FROM c),
+        r AS (SELECT doc_id, k, i + width AS free, true AS taken FROM o WHERE k = 1
+              UNION ALL
+              SELECT o.doc_id, o.k, CASE WHEN o.i >= r.free THEN o.i + o.width ELSE r.free END, o.i >= r.free FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
+    SELECT doc_id, count(*) AS n FROM r WHERE taken GROUP BY doc_id
+    """,
+)
+def file_list_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of two words, by the join that takes dictionaries of any size."""
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)), F.lower)
+    pairs = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b")), lambda z: F.concat(z["a"], F.lit(" "), z["b"]))
+    terms = dictionary(table(spark, sf_dir, "benchmark").select(F.explode(pairs).alias("term")).dropna())
+    return joined_hits(table(spark, sf_dir, "documents"), terms).select("doc_id", F.size("hits").cast("long").alias("n"))
+
+
 # ---- spans ---------------------------------------------------------------------------------------------------------
 
 
@@ -235,10 +257,38 @@ def fields_hit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join(F.sort_array(fields_hit(F.col("matches"))), "|").alias("fields"))
 
 
-@query("redact_builtin")
+def builtin_sql() -> str:
+    """The built-in catalogue as SQL: candidates of all patterns, from the left the longest that are free, and the text put together again.
+
+    SQL's \\b knows ASCII only, so patterns are sought in a copy whose other letters are underscores: word characters, too, that no pattern names.
+    """
+    found, place = [], 0
+    for f in builtin():
+        for p in ordered_patterns(f.patterns):
+            spans = span_sql("(?i)" + p.pattern, "a") if p.pattern_type == "Regex" else span_sql(r"[\p{L}\p{Nd}]+") + f" WHERE v[i] IN ({', '.join(repr(t) for t in p.pattern.split('|') if ' ' not in t)})"
+            found.append(f"SELECT doc_id, start, length, {place} AS ord, '{f.name}' AS field, '{f.replace_with}' AS repl FROM ({spans})")
+            place += 1
+    return rf"""
+        WITH RECURSIVE a AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '_', 'g') AS text FROM documents),
+            c AS MATERIALIZED ({" UNION ALL ".join(found)}),
+            o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, length DESC, ord) AS k FROM c),
+            r AS (SELECT doc_id, k, start, length, field, repl, start + length AS last, true AS taken FROM o WHERE k = 1
+                  UNION ALL
+                  SELECT o.doc_id, o.k, o.start, o.length, o.field, o.repl, CASE WHEN o.start >= r.last THEN o.start + o.length ELSE r.last END, o.start >= r.last
+                  FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1),
+            m AS (SELECT *, lag(start + length, 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM r WHERE taken),
+            t AS (SELECT doc_id, string_agg(substring(text, before + 1, start - before) || repl, '' ORDER BY start) AS head, max(start + length) AS last, count(*) AS n FROM m JOIN documents USING (doc_id) GROUP BY doc_id),
+            h AS (SELECT doc_id, string_agg(field, '|' ORDER BY first) AS fields FROM (SELECT doc_id, field, min(start) AS first FROM m GROUP BY ALL) GROUP BY doc_id)
+        SELECT doc_id, coalesce(head || substring(text, last + 1), text) AS redacted_text, coalesce(n, 0) AS match_count, coalesce(fields, '') AS fields
+        FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN h USING (doc_id)
+    """
+
+
+@query("redact_builtin", builtin_sql())
 def redact_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole built-in catalogue; its look-around has no counterpart in SQL."""
-    return redact(table(spark, sf_dir, "documents"), builtin()).select("doc_id", "redacted_text", "match_count", F.array_join("fields_hit", "|").alias("fields"))
+    """The whole built-in catalogue."""
+    out = redact(table(spark, sf_dir, "documents"), builtin())
+    return out.select("doc_id", "redacted_text", F.col("match_count").cast("long").alias("match_count"), F.array_join("fields_hit", "|").alias("fields"))
 
 
 @query("html_highlight", rf"SELECT doc_id, regexp_replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '((?i){EMAIL})', '<mark>\1</mark>', 'g') AS marked FROM documents".replace('\\"', '"'))

@@ -11,9 +11,13 @@ from ..plans.catalog import Field
 from ..plans.redact import redact
 
 
-def redact_stream(docs: DataFrame, catalogue: list[Field], text: str = "text") -> DataFrame:
-    """A stream of documents redacted by one catalogue, without FileList patterns, whose join needs a batch."""
-    return redact(docs, [f for f in catalogue if not any(p.pattern_type == "FileList" for p in f.patterns)], text)
+def redact_stream(docs: DataFrame, catalogue: list[Field], text: str = "text", dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A stream of documents redacted by one catalogue, with all its fields.
+
+    Term lists are looked up row by row; one that is too large to be sent to all workers raises PatternError, as its
+    join needs a batch: redact_batches() takes it.
+    """
+    return redact(docs, catalogue, text, dictionaries=dictionaries)
 
 
 def read_folder(spark: SparkSession, path: str, schema: str, archive: str | None = None, kind: str = "parquet") -> DataFrame:

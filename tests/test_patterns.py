@@ -1,7 +1,14 @@
+import random
+
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from maskweave.functions.kernels import may_run_away
 from maskweave.operators.patterns import PatternError, find, type_name
+from maskweave.operators.term_list import dictionary, joined_hits, term_hits
+from maskweave.plans.catalog import Field, Pattern
+from maskweave.plans.redact import redact
 
 CASES = [
     ("Like", "*@gmail.com", "see x@gmail.com now", [(0, 15)]),
@@ -68,3 +75,57 @@ def test_native_and_arrow_kernels_agree(spark, sf_dir):
     for pattern in (r"[0-9a-f]{3,}", r"\b[A-Z]{6,8}\b", r"th\w+"):
         both = docs.select(hits(F.col("text"), "(?iUd)" + pattern).alias("a"), arrow_hits(F.col("text"), pattern).alias("b"))
         assert both.filter("a != b").isEmpty()
+
+
+@pytest.mark.parametrize("pattern", [r"(?=q)", r"(?<=@)", r"\b(?=\d{4})", r"\d*", r"q?", r"(?<!\d)\d{2}(?!\d)", r"^|$", r"[a@]+"])
+def test_places_equal_another_engine(spark, pattern):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aq@1 2345\n.é😀Z") for _ in range(rng.randint(0, 40))) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", find("t", "Regex", pattern).alias("h"))
+    got = {r.i: [(h.start, h.length, h.value) for h in r.h] for r in df.collect()}
+    assert got == {i: [(m.start(), m.end() - m.start(), m[0]) for m in regex.finditer(pattern, t, regex.IGNORECASE)] for i, t in enumerate(texts)}
+
+
+def test_a_text_may_hold_the_mark(spark):
+    text = "a\ufdd0 b\ufdd0\ufdd0ab"
+    row = spark.createDataFrame([(text,)], "t string").select(find("t", "Regex", "b.|a").alias("h")).first()
+    assert [(h.start, h.length, h.value) for h in row.h] == [(0, 1, "a"), (3, 2, "b\ufdd0"), (6, 1, "a")]
+
+
+def test_const_list_equals_brute_force(spark):
+    terms = ["ab", "a", "b a", "a b", "a a", "Ab", "b", "é", "b-", "-b", "abba"]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abAB é-") for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", find("t", "ConstList", "|".join(terms)).alias("h"))
+    got = {r.i: sorted((h.start, h.length) for h in r.h) for r in df.collect()}
+
+    def want(text):
+        out = []
+        for term in terms:
+            at = text.lower().find(term.lower())
+            while at >= 0:
+                if not any(c.isalnum() for c in text[max(at - 1, 0) : at] + text[at + len(term) : at + len(term) + 1]):
+                    out.append((at, len(term)))
+                at = text.lower().find(term.lower(), at + len(term))
+        return sorted(out)
+
+    assert got == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_patterns_that_may_run_away_have_a_time_limit():
+    assert all(map(may_run_away, [r"(a+)+b", r"(?:x|(y*z))*", r"(\d+,?){2,}"]))
+    assert not any(map(may_run_away, [r"(a+)b", r"(?:a{1,3})+", r"[(a+)]+", r"(?:[a-z]++)*+x"]))
+
+
+def test_unknown_types_are_skipped(spark):
+    fields = [Field("n", (Pattern("Telepathy", "x"), Pattern("WholeWord", "bob")), "[N]")]
+    docs = spark.createDataFrame([(1, "bob x")], "doc_id long, text string")
+    assert redact(docs, fields).first().redacted_text == "[N] x"
+
+
+def test_terms_sent_and_joined_agree(spark):
+    rows = [(i, t) for i, t in enumerate(["Tel, Aviv Cohen - Cohen Levi", "cohen-levi -cohen- x", "", None, "a b c d e f g", "- - tel aviv"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = dictionary(spark.createDataFrame([("Cohen",), ("Cohen Levi",), ("Tel Aviv",), ("a b c d e f g",), ("b c d",)], "term string"))
+    sent_, joined = ({r.doc_id: [tuple(h) for h in r.hits] for r in f(docs, terms).collect()} for f in (term_hits, joined_hits))
+    assert sent_ == joined and [h[2] for h in sent_[1]] == ["Cohen Levi", "Cohen"]
