@@ -2,7 +2,9 @@
 
 The fixed forms are seeds. The two words before a seed are a lexical pattern for its kind; a pattern also holds other
 strings of about the kind's shape. Patterns and instances form a graph whose scores are iterated: a pattern is as good
-as its instances, an instance as good as the patterns that hold it. Instances of good patterns are reported as well.
+as its instances, of which seeds of another kind count against it, and an instance that is no seed as good as the good
+patterns, other than the one in question, that hold it. Instances of good patterns are reported as well, and the contexts
+in which they occur elsewhere are patterns of the next turn.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, texts
+from ..functions.kernels import hits, scan
+from ..operators.spans import splice
+from .common import discard, staged, texts
 
 KINDS = ("email", "ip", "card", "phone")
 # The forms, with the starts a search can skip told by what stands before.
@@ -22,10 +26,14 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # What may be an identifier that no form describes, with the least and most digits by kind.
 LIKE = r"(?<![\p{L}\p{N}.+-])\(?[0-9][0-9()\x20./:-]{5,24}[0-9](?![\p{L}\p{N}])"
 LIKE_DIGITS = {"card": (13, 19), "phone": (8, 15), "ip": (4, 12)}
+# Addresses that are written out.
+AT, DOT = r"(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20|@)", r"(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)"
+LIKE_EMAIL = rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)+"
 
 #: Characters before a span in which its two words are looked for.
-REACH = 48
-ROUNDS = 3
+REACH = 256
+#: Turns in which instances give new patterns, and rounds in which the scores of a turn are computed.
+TURNS, ROUNDS = 2, 3
 #: A pattern needs so many different seeds, and that score, for its instances to be reported.
 SEEDS, GOOD = 3, 0.8
 
@@ -34,24 +42,18 @@ NAMED = "array<struct<kind:string,start:int,end:int>>"
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>>: all matches of a pattern that is never empty, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
-
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return F.transform(hits(text, pattern), lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["length"]).alias("end"), m["value"].alias("value")))
 
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def address(value: Column) -> Column:
+    """A written-out address as an address."""
+    return F.regexp_replace(F.regexp_replace(F.lower(value), AT, "@"), DOT, ".")
+
+
 def luhn(value: Column) -> Column:
     """Whether the digits of value pass Luhn's check."""
     own = F.reverse(digits(value))
@@ -86,49 +88,84 @@ def _scan(docs: DataFrame) -> DataFrame:
     text = F.col("text")
 
     def seeds_of(kind: str) -> Column:
-        return F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"], m["end"], F.lower(m["value"]).alias("value"), _context(text, m["start"]).alias("context")))
+        value = F.lower if kind == "email" else digits
+        return F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"], m["end"], value(m["value"]).alias("value"), _context(text, m["start"]).alias("context")))
+
+    def alike_of(found: Column, value) -> Column:
+        return F.transform(found, lambda m: F.struct(m["start"], m["end"], value(m["value"]).alias("value"), _context(text, m["start"]).alias("context")))
 
     seeds = F.concat(*map(seeds_of, KINDS))
-    alike = F.when(text.rlike("[0-9]{2}"), matches(text, LIKE))
-    alike = F.transform(alike, lambda m: F.struct(m["start"], m["end"], digits(m["value"]).alias("value"), _context(text, m["start"]).alias("context")))
+    numbers = F.when(text.rlike("[0-9]{2}"), alike_of(matches(text, LIKE), digits))
+    addresses = F.when(text.rlike(r"(?i)[\[({\x20]at[\])}\x20]"), alike_of(matches(text, LIKE_EMAIL), address))
+    none = F.array().cast("array<struct<start:int,end:int,value:string,context:string>>")
+    alike = F.concat(F.coalesce(numbers, none), F.coalesce(addresses, none))
     spans = {k: F.transform(k, lambda m: F.struct(m["start"], m["end"])).alias(k) for k in KINDS}
     return df.select("row_id", "doc_id", F.xxhash64("text").alias("text_hash"), *spans.values(), seeds.alias("seeds"), alike.alias("alike"))
 
 
-def _in_range(kind: Column, n: Column) -> Column:
-    """Whether n digits suit the kind."""
-    out = F.lit(False)
+def _suits(kind: Column, value: Column) -> Column:
+    """Whether a look-alike's value suits the kind: an address, or so many digits."""
+    out = value.contains("@")
     for k, (least, most) in LIKE_DIGITS.items():
-        out = F.when(kind == k, n.between(least, most)).otherwise(out)
+        out = F.when(kind == k, ~value.contains("@") & F.length(value).between(least, most)).otherwise(out)
     return out
 
 
 def discovered(scanned: DataFrame) -> DataFrame:
     """(row_id, kind, start, end, score): look-alikes, clear of all base spans, that good patterns hold.
 
-    The graph's edges are distinct (kind, context, value) triples with their counts, so a context or value that a third
-    of all rows share is one row a task before anything shuffles. A look-alike with several kinds keeps the best.
+    The graph's edges are distinct (kind, context, value) triples, so a context or value that a third of all rows share
+    is one row a task before anything shuffles. A look-alike with several kinds keeps the best. A pattern has SEEDS
+    known values at least, seeds or instances of good patterns.
     """
     base = F.flatten(F.array(*KINDS))
-    seeds = scanned.select(F.inline("seeds")).filter("context is not null").groupBy("kind", "context", "value").agg(F.lit(1.0).alias("seed"))
-    patterns = seeds.groupBy("kind", "context").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEDS).select("kind", "context")
-    patterns = staged(patterns, "patterns")
-
     clear = F.filter("alike", lambda m: (m["context"].isNotNull()) & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    held = staged(scanned.select("row_id", F.inline(clear)).join(patterns, "context").filter(_in_range(F.col("kind"), F.length("value"))), "look-alikes")
-    edges = held.groupBy("kind", "context", "value").agg(F.lit(0.0).alias("seed")).unionByName(seeds.join(patterns, ["kind", "context"], "left_semi"))
-    edges = staged(edges.groupBy("kind", "context", "value").agg(F.max("seed").alias("seed")), "edges")
-
-    scored = edges.withColumn("instance", F.col("seed"))
+    alike = staged(scanned.select("row_id", F.inline(clear)), "look-alikes")
+    places = staged(alike.select("context", "value").distinct(), "places")
+    seeds = staged(scanned.select(F.inline("seeds")).filter("context is not null").select("kind", "context", "value").distinct(), "seeds")
+    every = seeds.groupBy("context").agg(F.count("*").alias("every"))
+    others = staged(seeds.groupBy("kind", "context").agg(F.count("*").alias("own")).join(every, "context").select("kind", "context", (F.col("every") - F.col("own")).alias("others")), "others")
+    known, scored = seeds.withColumn("seed", F.lit(1.0)), None
+    for _ in range(TURNS):
+        evidence = known if scored is None else known.unionByName(places.join(_good(scored).select("kind", "value").distinct(), "value").select("kind", "context", "value", F.lit(0.0).alias("seed")))
+        patterns = evidence.groupBy("kind", "context").agg(F.countDistinct("value").alias("n")).filter(F.col("n") >= SEEDS).select("kind", "context")
+        patterns = staged(patterns, "patterns")
+        held = places.join(patterns, "context").filter(_suits(F.col("kind"), F.col("value"))).withColumn("seed", F.lit(0.0))
+        edges = held.select("kind", "context", "value", "seed").unionByName(known.join(patterns, ["kind", "context"], "left_semi"))
+        edges = edges.groupBy("kind", "context", "value").agg(F.max("seed").alias("seed")).join(others, ["kind", "context"], "left").withColumn("others", F.coalesce("others", F.lit(0)))
+        edges = staged(edges, "edges")
+        last, scored = scored, _scored(edges)
+        discard(last, patterns, edges)
+    best = alike.join(_good(scored), ["context", "value"]).groupBy("row_id", "start", "end").agg(F.max(F.struct("pattern", "kind")).alias("b"))
+    best = staged(best.select("row_id", F.col("b.kind").alias("kind"), "start", "end", F.col("b.pattern").alias("score")), "discovered")
+    discard(alike, places, seeds, others, scored)
+    return best
+
+
+def _good(scored: DataFrame) -> DataFrame:
+    """The instances of good patterns that are no seeds there."""
+    return scored.filter((F.col("seed") == 0) & (F.col("pattern") >= GOOD)).select("kind", "context", "value", "pattern")
+
+
+def _scored(edges: DataFrame) -> DataFrame:
+    """edges(kind, context, value, seed, others) with the pattern's score.
+
+    A pattern's score is the mean of its values' support, seeds of other kinds counted as values without any. A seed's
+    support is 1, another value's that of good patterns beside this one: none vouches for itself.
+    """
+    scored = None
     for _ in range(ROUNDS):
-        by_pattern = scored.groupBy("kind", "context").agg(F.avg("instance").alias("pattern"))
-        joined = edges.join(by_pattern, ["kind", "context"])
-        by_value = joined.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("pattern"), F.lit(1e-9)))))).alias("held"))
-        scored = joined.join(by_value, ["kind", "value"]).withColumn("instance", F.greatest("seed", "held"))
-        scored = staged(scored.select("kind", "context", "value", "seed", "pattern", "instance"), "scores")
-    good = scored.filter((F.col("seed") == 0) & (F.col("pattern") >= GOOD)).select("kind", "context", "value", "pattern")
-    best = held.join(good, ["kind", "context", "value"]).groupBy("row_id", "start", "end").agg(F.max(F.struct("pattern", "kind")).alias("b"))
-    return best.select("row_id", F.col("b.kind").alias("kind"), "start", "end", F.col("b.pattern").alias("score"))
+        now = edges.withColumn("support", F.col("seed")) if scored is None else scored
+        by_pattern = now.groupBy("kind", "context").agg((F.sum("support") / (F.count("*") + F.first("others"))).alias("pattern"))
+        own = F.when(F.col("pattern") >= GOOD, F.log(F.greatest(1 - F.col("pattern"), F.lit(1e-9)))).otherwise(0.0)
+        joined = edges.join(by_pattern, ["kind", "context"]).withColumn("own", own)
+        by_value = joined.groupBy("kind", "value").agg(F.sum("own").alias("total"))
+        support = F.greatest("seed", 1 - F.exp(F.col("total") - F.col("own")))
+        new = joined.join(by_value, ["kind", "value"]).select("kind", "context", "value", "seed", "others", "pattern", support.alias("support"))
+        new = staged(new, "scores")
+        discard(scored)
+        scored = new
+    return scored
 
 
 def joined(spans: Column) -> Column:
@@ -185,14 +222,15 @@ def redact(docs: DataFrame) -> DataFrame:
     held = docs.select(F.struct("*").alias("_row"), *("doc_id", "text")).join(more, same, "left")
     spans = F.concat(*map(_kind, KINDS), F.coalesce("_more", F.array().cast(NAMED)))
     by_place = F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"]))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cover = "array<struct<start:int,length:int,replacement:string>>"
 
-    def splice(acc: Column, s: Column) -> Column:
-        gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        longer = F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] < acc["at"], longer).otherwise(F.struct((-s["back"]).alias("at"), F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        """A span that begins within another and reaches further covers the rest without a name of its own."""
+        end, inside = -s["back"], s["start"] < at
+        start = F.greatest(s["start"], at)
+        own = F.struct(start.alias("start"), (end - start).alias("length"), F.when(inside, "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("replacement"))
+        return F.greatest(at, end), F.when(end > at, F.array(own)).otherwise(F.array().cast(cover))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text")))
-    done = with_base(held).withColumn("_spans", F.sort_array(by_place))
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", zero, splice, rest)).otherwise(F.col("text"))
+    done = with_base(held).withColumn("_spans", F.sort_array(by_place)).withColumn("_cover", scan(F.col("_spans"), step, cover))
+    clean = F.when(F.size("_spans") > 0, splice(F.col("text"), F.col("_cover"))).otherwise(F.col("text"))
     return done.withColumn("_clean", clean).select(*(F.col("_clean").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))

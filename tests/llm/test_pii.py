@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,42 @@ def test_empty_and_repeated(spark):
     assert find_pii(empty).count() == 0 and redact(empty).count() == 0
     twice = spark.createDataFrame([(1, "a@b.co")] * 3, "doc_id long, text string")
     assert find_pii(twice).agg(F.sum("n_email")).first()[0] == 3
+
+
+def _spans(spark, rows):
+    return {r.doc_id: r.spans for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_no_pattern_vouches_for_itself(spark):
+    """Nine phone numbers and eleven order numbers after the same words: none of the latter is a phone number."""
+    rows = [(i, f"please quote number +1 415 555 01{i:02d} now") for i in range(9)] + [(100 + i, f"please quote number 71{i:02d}{i:02d}8845 now") for i in range(11)]
+    got = _spans(spark, rows)
+    assert all(got[i].startswith("phone:") for i in range(9)) and not any(got[100 + i] for i in range(11))
+
+
+def test_seeds_of_another_kind_count_against_a_pattern(spark):
+    rows = [(i, f"my contact is +1 415 555 01{i:02d} now") for i in range(5)] + [(50 + i, f"my contact is user{i}@mail.example now") for i in range(5)] + [(100, "my contact is 415 555 0190 now")]
+    assert not _spans(spark, rows)[100]
+
+
+def test_discovered_values_give_new_patterns(spark):
+    """Numbers that a good context reveals make another context good, which reveals one more; that one stands in no seed's context."""
+    rows = [(i, f"call me at +1 415 555 0{i:03d} now") for i in range(100)]
+    rows += [(100 + i, f"call me at 650 555 01{i:02d} now") for i in range(8)] + [(200 + i, f"hotline desk line 650 555 01{i:02d} now") for i in range(8)] + [(300, "hotline desk line 650 555 0177 now"), (301, "other words here 650 555 0178 now")]
+    got = _spans(spark, rows)
+    assert all(got[100 + i].startswith("phone:") and got[200 + i].startswith("phone:") for i in range(8))
+    assert got[300].startswith("phone:") and not got[301]
+
+
+def test_written_out_addresses(spark):
+    rows = [(i, f"please write to user{i}@mail.example today") for i in range(12)] + [(100, "please write to ann [at] host dot com today"), (101, "we met at noon dot dot")]
+    got = _spans(spark, rows)
+    assert got[100] == "email:16:37" and not got[101]
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"u{i}@ex.com" for i in range(20000))
+    began = time.time()
+    row = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_email == 20000 and time.time() - began < 60
+    assert redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == " ".join(["[EMAIL]"] * 20000)
