@@ -40,10 +40,20 @@ ASIDE_NAMES = frozenset(
 )
 
 
-def _aside_name(attributes: str) -> bool:
-    if "=" not in attributes:
-        return False
-    return any(w in ASIDE_NAMES for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+# Words that say nothing of what an element holds.
+PLAIN_NAMES = frozenset("area bar block body bottom box button buttons container content footer form group header inner item items link links list main outer posts row section slot text title top unit wrap wrapper".split())
+
+
+def _aside_name(attributes: str) -> tuple[bool, bool]:
+    """Whether some word of the element's names is one of ASIDE_NAMES; whether one of its names consists of such and plain words."""
+    some = whole = False
+    if "=" in attributes:
+        for m in NAMES.finditer(attributes):
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+                if not ASIDE_NAMES.isdisjoint(words):
+                    some, whole = True, whole or all(w in ASIDE_NAMES or w in PLAIN_NAMES for w in words)
+    return some, whole
 
 
 def _path_name(name: str, attributes: str) -> str:
@@ -51,10 +61,12 @@ def _path_name(name: str, attributes: str) -> str:
     return f"{name}.{m[1] or m[2] or m[3] or ''}" if m else name
 
 
-def blocks(page: str) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
+def blocks(page: str, known: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
     """The tags' paths in order, and the blocks of text: (path, text, in an article, aside from the main text).
 
-    Inline tags stay within a block, all others end it. References are decoded, white space becomes one space.
+    Inline tags stay within a block, all others end it. References are decoded, white space becomes one space. Inside an
+    article a name such as social-policy, of which one word alone is an aside's, makes an element aside only if ``known``,
+    the host's template, has that element.
     """
     tags: list[str] = []
     out: list[tuple[str, str, bool, bool]] = []
@@ -111,8 +123,9 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
         tags.append(path)
         if name in VOID or m[3].endswith("/"):
             continue
+        some, whole = _aside_name(m[3]) if name not in ("html", "body", "main") and (name != "article" or main) else (False, False)
+        aside = aside or name in ASIDE or (name == "header" and not main) or (some and (whole or not main or _hash(path) in known))
         main = main or name in MAIN
-        aside = aside or name in ASIDE or (name == "header" and not main) or (name not in ("html", "body", "article", "main") and _aside_name(m[3]))
         stack.append((name, path, main, aside))
     held.append(page[max(at, skip) :])
     flush()
@@ -174,7 +187,7 @@ def _extract(batches):
         out = []
         for page, template in zip(batch["html"], batch["tokens"], strict=True):
             known = frozenset(template or ())
-            _, found = blocks(page)
+            _, found = blocks(page, known)
             articles = any(main and not aside for _, _, main, aside in found)
             main = [(path, text) for path, text, main, aside in found if not aside and (main or not articles)]
             slots = [text for path, text in main if not known or _hash(f"{path} {text}") not in known]

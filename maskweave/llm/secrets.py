@@ -89,7 +89,7 @@ def entropy_windows(s: str, window: int, least: float, spare_words: bool = False
             n = counts[old]
             counts[old] = n - 1
             total += n_log[n - 1] - n_log[n]
-        if i >= window - 1 and math.log2(window) - total / window >= least:
+        if i >= window - 1 and math.log2(window) - total / window >= least - 1e-9:
             at = i - window + 1
             if excess is not None and excess[i] <= excess[at]:
                 continue
@@ -107,22 +107,35 @@ def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
     """High-entropy windows of candidate strings, outside of ``taken`` and the allow-list.
 
     A candidate has letters. Where it has few digits it may be an identifier, a path or long words, so there a window
-    must also be other than words by its pairs of letters.
+    must also be other than words by its pairs of letters. What ``taken`` covers of a candidate is cut out, and each
+    part that is left is searched by itself.
     """
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if not any(map(str.isalpha, s)) or ALLOWED.fullmatch(s):
+        if not any(map(str.isalpha, m[0])) or ALLOWED.fullmatch(m[0]):
             continue
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
-            continue
-        held = frozenset(s)
-        _, _, window, least = next(c for c in CLASSES if held <= c[1])
-        few = sum(map(str.isdigit, s)) < FEW_DIGITS
-        out += [(m.start() + a, m.start() + b, "entropy") for a, b in entropy_windows(s, window, least, few)]
+        for begin, end in uncovered(m.start(), m.end(), taken):
+            s = text[begin:end]
+            if not any(map(str.isalpha, s)):
+                continue
+            held = frozenset(s)
+            _, _, window, least = next(c for c in CLASSES if held <= c[1])
+            few = sum(map(str.isdigit, s)) < FEW_DIGITS
+            out += [(begin + a, begin + b, "entropy") for a, b in entropy_windows(s, window, least, few)]
     return out
 
 
+def uncovered(begin: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of begin:end that no span of ``taken``, in order of start, covers."""
+    out = []
+    for a, b, _ in taken:
+        if a < end and begin < b:
+            if begin < a:
+                out.append((begin, a))
+            begin = max(begin, b)
+    return [*out, (begin, end)] if begin < end else out
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
