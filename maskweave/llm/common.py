@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.tables import text_table
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
@@ -87,7 +89,7 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Itera
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return text_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 MULTIPLIER = 0x9E3779B97F4A7C15

@@ -6,6 +6,8 @@ with a penalty for changing the language, labels the spans of a text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,15 +78,23 @@ class Words:
         self.document = np.searchsorted(starts, self.first, "right") - 1
         self.n_documents = len(batch)
 
-    def cells(self) -> tuple[np.ndarray, np.ndarray]:
-        """The table cells of all n-grams of all words, a blank before and after each, and each n-gram's word."""
-        lengths = self.last - self.first
+    def blocks(self, letters: int = 100_000) -> Iterator[slice]:
+        """Runs of words of about so many letters: what is computed of n-grams stays small however long a text is."""
+        ends = np.cumsum(self.last - self.first)
+        cuts = np.searchsorted(ends, np.arange(letters, int(ends[-1]) if len(ends) else 0, letters))
+        cuts = np.unique(np.concatenate([[0], cuts, [len(ends)]]))
+        yield from map(slice, cuts[:-1].tolist(), cuts[1:].tolist())
+
+    def cells(self, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """The table cells of all n-grams of some words, a blank before and after each, and each n-gram's word in that run."""
+        first, last = self.first[part], self.last[part]
+        lengths = last - first
         padded = np.zeros(int(lengths.sum() + 2 * len(lengths)), np.uint64)
         word = np.repeat(np.arange(len(lengths)), lengths + 2)
         ends = np.cumsum(lengths + 2)
         inside = np.ones(len(padded), bool)
         inside[ends - 1] = inside[ends - lengths - 2] = False
-        padded[inside] = self.codes[np.repeat(self.first - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
+        padded[inside] = self.codes[np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
         found, words = [], []
         for n in ORDERS:
             if len(padded) < n:
@@ -102,7 +112,7 @@ class Words:
         return self.script[self.first] - 1 if len(self.first) else np.empty(0, np.int64)
 
 
-def _slices(texts_: list[str], size: int = 1_000_000):
+def _slices(texts_: list[str], size: int = 250_000):
     """Runs of texts with about ``size`` code points each, so that arrays stay small however long a batch is."""
     begin, total = 0, 0
     for i, t in enumerate(texts_):
@@ -125,7 +135,8 @@ def _count(batches):
             total = sums.setdefault(lang, np.zeros(CELLS + OTHER + 1, np.int64))
             for a, b in _slices(own):
                 words = Words(own[a:b])
-                total[:CELLS] += np.bincount(words.cells()[0], minlength=CELLS)
+                for part in words.blocks():
+                    total[:CELLS] += np.bincount(words.cells(part)[0], minlength=CELLS)
                 total[CELLS:] += np.bincount(words.word_scripts(), minlength=OTHER + 1)
     for lang, total in sums.items():
         parts = np.array_split(total, 16)
@@ -154,10 +165,11 @@ class Model:
 
     def word_scores(self, words: Words) -> np.ndarray:
         """Each word's score in each language; in a language that isn't written in its script, far below all others."""
-        cells, word = words.cells()
         out = np.empty((len(words.first), len(self.languages)))
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(word, self.scores[cells, k], len(words.first))
+        for part in words.blocks():
+            cells, word = words.cells(part)
+            for k in range(len(self.languages)):
+                out[part, k] = np.bincount(word, self.scores[cells, k], part.stop - part.start)
         allowed = self.written[words.word_scripts()]
         out[~allowed & allowed.any(1)[:, None]] -= 1e3
         return out
