@@ -64,11 +64,13 @@ Columns = dict[str, object]
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows of at most ROWS rows and about BYTES bytes of text."""
+    """A batch in runs of rows of at most ROWS rows and about BYTES bytes of text and items of lists (as objects)."""
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
             sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+        elif pa.types.is_list(column.type):
+            sizes += 32 * np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
     ends, begin = np.cumsum(sizes), 0
     while begin < batch.num_rows:
         fit = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + BYTES, "right"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import html as htmllib
+import itertools
 import math
 import re
 import string
@@ -11,6 +12,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -374,6 +377,47 @@ def test_articles_aside_do_not_hide_the_text(spark):
     assert got == {1: "Title\nBody text.", 2: "Title\nBody text.", 3: "Real"}
 
 
+def _main_texts(spark, rows):
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_faults_of_classes_on_a_page():
+    outer, inner = (1, [10, 11, 12, 13]), (2, [20, 21, 22])
+    assert html.faults([10, 11, 20, 21, 22, 20, 21, 22, 12, 13], [outer, inner]) == (set(), set())
+    assert html.faults([10, 20, 11, 21, 22, 12, 13], [outer, inner]) == (set(), {2})
+    assert html.faults([10, 12, 13, 11, 20, 22, 21], [outer, inner])[0] in ({11, 21}, {11, 22})
+    assert html.faults([], [outer, inner]) == html.faults([1, 2, 3], []) == (set(), set())
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 8), min_size=1, max_size=9))
+def test_in_order_is_longest(ranks):
+    part = html._in_order(ranks)
+    increasing = lambda p: all(ranks[a] < ranks[b] for a, b in zip(p, p[1:]))
+    assert increasing(part) and len(part) == max(n for n in range(1, len(ranks) + 1) for c in itertools.combinations(range(len(ranks)), n) if increasing(c))
+
+
+def test_valid_classes_are_the_template(spark):
+    """Without names or articles: a menu that is in order goes, a line that wanders about or stands alone in its vector stays."""
+    menu, imprint, wanders = "<div><ul><li>Home<li>News<li>Sport</ul></div>", "<div>Imprint<h5>Terms</h5><h5>Help</h5></div>", "<h6>Wanders</h6>"
+    rows, want = [], {}
+    for i in range(12):
+        # On one page the line stands twice, so its vector is no other token's.
+        story = [f"Story {i} of the day", f"More of {i} below", *["Alone"] * (1 + (i == 7))]
+        parts = [menu, "".join(f"<p>{t}</p>" for t in story), imprint]
+        parts.insert((0, 1, 3)[i % 3], wanders)
+        rows.append((i, "http://h.example/", f"<html><body>{''.join(parts)}</body></html>"))
+        want[i] = "\n".join([*story, "Wanders"] if i % 3 == 2 else ["Wanders", *story])
+    assert _main_texts(spark, rows) == want
+
+
+def test_near_copies_of_an_article_keep_what_they_share(spark):
+    shared = "".join(f"<p>Paragraph {k} that all copies share with each other</p>" for k in range(5))
+    rows = [(i, "http://h.example/", f"<html><body><nav>Home</nav><article>{shared}<p>Edit {i}</p></article></body></html>") for i in range(20)]
+    want = [f"Paragraph {k} that all copies share with each other" for k in range(5)]
+    assert _main_texts(spark, rows) == {i: "\n".join([*want, f"Edit {i}"]) for i in range(20)}
+
+
 # ---- quality
 
 
