@@ -31,6 +31,12 @@ def quota_state(used: DataFrame, quota: int) -> DataFrame:
     return used.withColumn("refused", F.lit(quota > 0) & (F.col("used") >= quota))
 
 
+def outcomes(results: DataFrame, error: str = "error") -> DataFrame:
+    """One row of a batch: how many files went well and how many failed, and the exit code, 2 if any failed."""
+    counts = results.agg(F.count_if(F.col(error).isNull()).alias("done"), F.count_if(F.col(error).isNotNull()).alias("failed"))
+    return counts.withColumn("exit_code", F.when(F.col("failed") > 0, 2).otherwise(0))
+
+
 def license_health(licenses: DataFrame, today: Column) -> DataFrame:
     """licenses(org_name, expiry_date) with days_left and status; on its last day a licence already counts as expired here."""
     days = F.datediff("expiry_date", today)

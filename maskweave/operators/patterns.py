@@ -200,6 +200,11 @@ def register(name: str, compiler: Callable[[str], Compiled]) -> None:
     COMPILERS[name] = compiler
 
 
+def occurrences(text: Column, term: str) -> Column:
+    """The places of a text that is searched for: all that do not overlap, whatever their case; a blank one has none."""
+    return hits(text, f"(?iU){literal(term)}") if term.strip() else no_hits()
+
+
 def find(text: Column | str, pattern_type: str, pattern: str) -> Column:
     """The hits of one pattern in a text column."""
     return COMPILERS[type_name(pattern_type)](pattern)(F.col(text) if isinstance(text, str) else text)

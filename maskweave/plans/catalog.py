@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.patterns import known, type_name
+from ..sources.terms import parse, serialised
 
 MASK = "████"
 FIELD_SCHEMA = "id int, client_id int, field_name string, replace_with string, is_active boolean, is_preserve boolean, priority int"
@@ -71,6 +73,30 @@ def effective_priority(fields: DataFrame, patterns: DataFrame) -> DataFrame:
     return joined.orderBy(F.desc("effective_priority"), F.desc("priority"), "field_name")
 
 
+def by_kind(fields: DataFrame) -> DataFrame:
+    """One row: how many fields there are, protected ones and ones that redact."""
+    return fields.agg(F.count("*").alias("n_all"), F.count_if("is_preserve").alias("n_preserve"), F.count_if(~F.col("is_preserve")).alias("n_redact"))
+
+
+def of_kind(fields: DataFrame, preserve: bool | None = None) -> DataFrame:
+    """The protected fields, those that redact, or (None) all."""
+    return fields if preserve is None else fields.filter(F.col("is_preserve") == preserve)
+
+
+def pattern_by_id(fields: DataFrame, patterns: DataFrame, pattern_id: int) -> DataFrame:
+    """The pattern of an id with its field's name; no row where there is none."""
+    own = patterns.filter(F.col("id") == pattern_id)
+    return own.join(fields.select(F.col("id").alias("field_id"), "field_name"), "field_id")
+
+
+def clients_latest(clients: DataFrame, key: str = "id") -> DataFrame:
+    return clients.orderBy(F.desc(key))
+
+
+def settings_by_key(settings: DataFrame, key: str = "key") -> DataFrame:
+    return settings.orderBy(key)
+
+
 # ---- edits: each returns the tables anew --------------------------------------------------------------------------
 
 
@@ -94,6 +120,52 @@ def add_pattern(patterns: DataFrame, field_id: int, pattern_type: str, pattern:
     return added(patterns, {"field_id": field_id, "pattern_type": type_name(pattern_type), "pattern": pattern, "priority": priority})
 
 
+def first_of(patterns: DataFrame, field_id: int, pattern_type: str) -> Row | None:
+    """A field's first pattern of a type."""
+    return patterns.filter((F.col("field_id") == field_id) & (F.col("pattern_type") == pattern_type)).orderBy("id").first()
+
+
+def without_pattern(patterns: DataFrame, pattern_id: int) -> DataFrame:
+    return patterns.filter(F.col("id") != pattern_id)
+
+
+def append_value(patterns: DataFrame, field_id: int, value: str) -> DataFrame:
+    """One more term in the field's first ConstList, its terms sorted whatever their case; without one, a new list.
+
+    A term that is there already, in whatever case, changes nothing; a blank value is refused.
+    """
+    value = value.strip()
+    if not value:
+        raise ValueError("a term cannot be blank")
+    own = first_of(patterns, field_id, "ConstList")
+    if own is None:
+        return add_pattern(patterns, field_id, "ConstList", value, 999)
+    terms = {t.strip().lower(): t.strip() for t in reversed(own.pattern.split("|")) if t.strip()}
+    if value.lower() in terms:
+        return patterns
+    return updated(patterns, own.id, pattern="|".join(sorted([*terms.values(), value], key=str.upper)))
+
+
+def import_terms(patterns: DataFrame, field_id: int, terms: DataFrame, append: bool = False) -> DataFrame:
+    """The terms of a file as the field's FileList: in place of what it holds, or besides; without one, a new list.
+
+    No terms at all are refused. The list is part of the catalogue, so it comes to the driver as one string.
+    """
+    own = first_of(patterns, field_id, "FileList")
+    if append and own is not None:
+        old = parse(terms.sparkSession.createDataFrame([(line,) for line in own.pattern.split("\n")], "value string"))
+        terms = merged_terms(old, terms)
+    pattern = serialised(terms).first().pattern
+    if not pattern:
+        raise ValueError("no terms in the file")
+    return add_pattern(patterns, field_id, "FileList", pattern, 100) if own is None else updated(patterns, own.id, pattern=pattern)
+
+
+def with_new_key(clients: DataFrame, client_id: int, api_key: str) -> DataFrame:
+    """clients with the hash of another key on one of them; the key itself is kept nowhere."""
+    return updated(clients, client_id, api_key_hash=hashlib.sha256(api_key.encode()).hexdigest())
+
+
 def add_preserve(fields: DataFrame, patterns: DataFrame, name: str, terms: list[str]) -> tuple[DataFrame, DataFrame]:
     """A protected field from a list of terms."""
     fields = added(fields, {"field_name": name, "replace_with": "—", "is_active": True, "is_preserve": True, "priority": 999})

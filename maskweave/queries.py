@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from .functions.kernels import hits
 from .functions.text import direction, escape_html, extension, file_size, hash_key, normalise, size_kb, stem, truncate
 from .operators import boxes, logs
-from .operators.patterns import find
+from .operators.patterns import find, occurrences
 from .operators.spans import candidates_outside, fields_hit, ordered, outside, splice, stamped, without_overlaps
 from .operators.term_list import dictionary, joined_hits, term_hits
 from .plans import catalog
 from .plans.builtin import builtin, named
 from .plans.catalog import Field, Pattern, ordered_patterns
 from .plans.redact import highlighted, redact, with_matches
+from .sources.readers import response
 from .sources.tables import spread
 from .sources.terms import parse
 
@@ -363,6 +364,50 @@ def group_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.consolidated(small_catalogue(spark)[1]).select("field_id", "pattern", "priority")
 
 
+@query("pattern_by_id", f"SELECT p.id, f.field_name, p.pattern FROM ({PATTERNS_SQL}) p JOIN ({FIELDS_SQL}) f ON f.id = p.field_id WHERE p.id = 4")
+def pattern_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.pattern_by_id(*small_catalogue(spark), 4).select("id", "field_name", "pattern")
+
+
+@query("fields_by_kind", "SELECT count(*) AS n_all, count(*) FILTER (o_orderstatus = 'F') AS n_preserve, count(*) FILTER (o_orderstatus <> 'F') AS n_redact FROM orders")
+def fields_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.by_kind(table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("is_preserve")))
+
+
+@query("append_value", f"SELECT id, CASE WHEN id = 3 THEN 'Ward A|ward b|Ward D' ELSE pattern END AS pattern FROM ({PATTERNS_SQL}) UNION ALL SELECT 7, 'y'")
+def append_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, patterns = small_catalogue(spark)
+    return catalog.append_value(catalog.append_value(catalog.append_value(patterns, 2, " Ward D "), 2, "WARD A"), 4, "y").select("id", "pattern")
+
+
+@query("clients_latest", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC")
+def clients_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.clients_latest(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name")
+
+
+@query("settings_by_key", "SELECT n_name AS key, n_nationkey AS value FROM nation ORDER BY key")
+def settings_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.settings_by_key(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("value")))
+
+
+@query("batch_outcomes", "SELECT count(*) FILTER (o_orderstatus <> 'F') AS done, count(*) FILTER (o_orderstatus = 'F') AS failed, CASE WHEN bool_or(o_orderstatus = 'F') THEN 2 ELSE 0 END AS exit_code FROM orders")
+def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.outcomes(table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "failed").alias("error")))
+
+
+@query("extraction_response", r"SELECT doc_id, text, length(text) AS char_count, 'text' AS extractor_used FROM documents WHERE regexp_matches(text, '\S')")
+def extraction_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return response(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+@query("text_search", listed("regexp_extract_all(text, 'the', 0, 'i')"))
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of a text that is searched for, whatever its case."""
+    found = F.transform(occurrences(F.col("text"), "the"), lambda h: h["value"])
+    rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("v"))
+    return rows.select("doc_id", F.size("v").cast("long").alias("n"), F.array_join("v", "|").alias("found"))
+
+
 @query("term_parse", "SELECT unnest(['AAKEF', 'Cohen Levi', 'x1', 'y2', 'Z z']) AS term")
 def term_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = ("# no", "", "AAKEF", "(A'AKEF)", "[Cohen Levi]", "x1|y2 | q", "Z z")

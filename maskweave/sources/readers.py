@@ -49,14 +49,24 @@ def plain_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, path: str, globs: list[str] | None = None) -> DataFrame:
-    """(path, mime, length, content) of a folder's own files, by path; without globs all but .txt files."""
+    """(path, mime, length, content) of a folder's own files; without globs all but .txt files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
     if globs:
         reader = reader.option("pathGlobFilter", "{" + ",".join(globs) + "}")
     files = reader.load(path).withColumn("mime", mime_type(F.col("path")))
     if not globs:
         files = files.filter(~F.lower("path").endswith(".txt"))
-    return files.select("path", "mime", "length", "content").orderBy("path")
+    return files.select("path", "mime", "length", "content")
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """(path, mime, length) of files, by path: contents are neither read nor sorted."""
+    return files.select("path", "mime", "length").orderBy("path")
+
+
+def response(rows: DataFrame, extractor: str, text: str = "text") -> DataFrame:
+    """rows with text that isn't blank, with its length in code points and the extractor's name."""
+    return rows.filter(F.col(text).rlike("\\S")).withColumns({"char_count": F.length(text), "extractor_used": F.lit(extractor)})
 
 
 def extracted(files: DataFrame) -> DataFrame:

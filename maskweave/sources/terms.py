@@ -1,8 +1,9 @@
-"""Term files: lines of terms, of two columns, or of terms between bars."""
+"""Term files, in UTF-8 or windows-1255: lines of terms, of two columns, or of terms between bars."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_term
@@ -21,9 +22,26 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     return terms.groupBy(F.lower("term").alias("k")).agg(F.min("term").alias("term")).orderBy(F.upper("term"), "term").select("term")
 
 
+def decoded(content: Column) -> Column:
+    """Text of bytes: UTF-8 where they are, else windows-1255 (Hebrew), bytes that it lacks replaced."""
+
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        def one(b: bytes) -> str:
+            try:
+                return b.decode("utf-8-sig")
+            except UnicodeDecodeError:
+                return b.decode("cp1255", "replace")
+
+        return values.map(one, na_action="ignore")
+
+    return decode(content)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The terms of files in UTF-8."""
-    return parse(spark.read.text(path))
+    """The terms of files, each in UTF-8 or else windows-1255. A file is one row at first: these are lists for a catalogue."""
+    files = spark.read.format("binaryFile").load(path).select(decoded(F.col("content")).alias("text"))
+    return parse(files.select(F.explode(F.split("text", "\n")).alias("value")))
 
 
 def serialised(terms: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from maskweave.operators import boxes, logs
+from maskweave.operators.patterns import occurrences
 from maskweave.plans import catalog
 from maskweave.plans.builtin import builtin
 from maskweave.queries import small_catalogue
@@ -34,6 +36,45 @@ def test_edits(spark):
     assert catalog.seeded(settings, spark.createDataFrame([("b", "x"), ("d", "y")], "key string, value string"), "key").count() == 3
 
 
+def test_edits_of_patterns(spark):
+    fields, patterns = small_catalogue(spark)
+    assert catalog.without_pattern(patterns, 2).count() == 5 and catalog.without_pattern(patterns, 99).count() == 6
+    assert catalog.pattern_by_id(fields, patterns, 99).count() == 0
+    with pytest.raises(ValueError):
+        catalog.append_value(patterns, 2, "  ")
+    assert [catalog.of_kind(fields, kind).count() for kind in (None, True, False)] == [5, 1, 4] and catalog.by_kind(fields.limit(0)).first().n_all == 0
+    new = spark.createDataFrame([("beta",), ("Alpha",)], "term string")
+    more = catalog.import_terms(patterns, 5, new)
+    assert more.filter("field_id = 5").first()[2:] == ("FileList", "Alpha\nbeta", 100)
+    other = spark.createDataFrame([("BETA",), ("gamma",)], "term string")
+    assert catalog.import_terms(more, 5, other, append=True).filter("field_id = 5").first().pattern == "Alpha\nBETA\ngamma"
+    assert catalog.import_terms(more, 5, other).filter("field_id = 5").first().pattern == "BETA\ngamma"
+    with pytest.raises(ValueError):
+        catalog.import_terms(more, 5, new.limit(0))
+    clients = spark.createDataFrame([(1, "a", "old"), (2, "b", "old")], "id int, name string, api_key_hash string")
+    assert {r.id: r.api_key_hash == "old" for r in catalog.with_new_key(clients, 2, "k").collect()} == {1: True, 2: False}
+    assert logs.by_key(spark.createDataFrame([("k",)], "api_key string"), catalog.with_new_key(clients, 2, "k").selectExpr("*", "true AS is_active")).first().client_id == 2
+
+
+def test_terms_in_windows_1255(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("שלום\r\nתל אביב\r\n".encode("cp1255"))
+    (tmp_path / "b.txt").write_bytes("\ufeffחיפה\n".encode())
+    (tmp_path / "c.txt").write_bytes(b"")
+    assert {r.term for r in terms.read(spark, str(tmp_path / "*.txt")).collect()} == {"שלום", "תל אביב", "חיפה"}
+
+
+def test_outcomes_listing_and_response(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "bad")], "id int, error string")
+    assert tuple(logs.outcomes(rows).first()) == (1, 1, 2) and tuple(logs.outcomes(rows.limit(0)).first()) == (0, 0, 0)
+    for name in ("b.png", "a.pdf"):
+        (tmp_path / name).write_bytes(b"12")
+    assert [(r.path[-5:], r.length) for r in readers.listing(readers.folder(spark, str(tmp_path))).collect()] == [("a.pdf", 2), ("b.png", 2)]
+    texts = spark.createDataFrame([("ab",), (" \n\t",), ("",), (None,)], "text string")
+    assert [tuple(r) for r in readers.response(texts, "plain").collect()] == [("ab", 2, "plain")]
+    found = texts.select(occurrences(F.lit("A.b a.B axb a.ba.b"), "a.b").alias("v"), F.size(occurrences(F.lit("x"), " ")).alias("n")).first()
+    assert [h.start for h in found.v] == [0, 4, 12, 15] and found.n == 0
+
+
 def test_terms(spark, tmp_path):
     path = tmp_path / "terms.txt"
     path.write_text("# c\n\nDana  Levi\n'Tel Aviv'\n(x)\n[Haifa]|ab\nDANA\n", "utf-8")
