@@ -26,8 +26,6 @@ ANCHORS = (
 ANCHOR_LETTERS = "aeiou"
 #: Anchors that may stand between the two content words of a chain; the second is missing where more do.
 PASSED = 4
-#: A likeness that the lengths of two sets keep below this is given as 0, without comparing them.
-LEAST = 0.05
 ROWS_PER_RANGE = 1_000
 MAX_RANGES = 100_000
 
@@ -96,8 +94,8 @@ def with_spots(df: DataFrame, text: str, spots: str) -> DataFrame:
     return df.withColumn(spots, F.when(single, F.col("_hashes")).otherwise(counted)).drop("_codes", "_hashes", "_runs")
 
 
-def likeness(a: str, b: str, least: float = LEAST) -> Column:
-    """Jaccard likeness of two sets; 1 for two empty ones, 0 where their lengths keep it below ``least``."""
+def likeness(a: str, b: str, least: float = 0.0) -> Column:
+    """Jaccard likeness of two sets; 1 for two empty ones. Sets whose lengths keep it below ``least`` are not compared and given 0."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b))
     return F.when(large == 0, F.lit(1.0)).when(small < large * F.lit(least), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
