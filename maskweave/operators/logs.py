@@ -44,6 +44,16 @@ def license_health(licenses: DataFrame, today: Column) -> DataFrame:
     return licenses.withColumn("days_left", days).withColumn("status", status)
 
 
+LICENSE_SCHEMA = "OrgName string, LicenseId string, IssuedDate date, ExpiryDate date, MaxClients int, RequestQuota long, Features array<string>"
+
+
+def license_of(envelope: Column) -> Column:
+    """The licence in base64(JSON).base64(signature), as a struct; null fields where it cannot be read. The signature is not checked."""
+    body = F.regexp_replace(F.split(F.coalesce(envelope, F.lit("")), "\\.")[0], "\\s", "")  # base64 may be in lines
+    readable = F.when(body.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.length(body) % 4 == 0), F.unbase64(body))
+    return F.from_json(F.coalesce(F.decode(readable, "UTF-8"), F.lit("{}")), LICENSE_SCHEMA)
+
+
 def admits(licenses: DataFrame, today: Column) -> DataFrame:
     """Licences under which requests are served: through the last day."""
     return licenses.filter(F.col("expiry_date") >= today)

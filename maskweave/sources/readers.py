@@ -55,10 +55,25 @@ def folder(spark: SparkSession, path: str, globs: list[str] | None = None) -> Da
         reader = reader.option("pathGlobFilter", "{" + ",".join(globs) + "}")
     files = reader.load(path).withColumn("mime", mime_type(F.col("path")))
     if not globs:
-        files = files.filter(~F.lower("path").endswith(".txt"))
+        files = without_texts(files)
     return files.select("path", "mime", "length", "content")
 
 
+def without_texts(files: DataFrame) -> DataFrame:
+    """files(path, ...) but those whose names end in .txt, which are a batch's own results."""
+    return files.filter(~F.lower("path").endswith(".txt"))
+
+
+def worth_recognising(images: DataFrame, length: str = "length") -> DataFrame:
+    """Embedded images of LEAST_IMAGE_BYTES or more."""
+    return images.filter(F.col(length) >= LEAST_IMAGE_BYTES)
+
+
+def is_scan(text: Column) -> Column:
+    """Whether a page has so little text of its own that its picture is to be recognised; null counts as none."""
+    return F.length(F.trim(F.coalesce(text, F.lit("")))) < LEAST_TEXT
+
+
 def listing(files: DataFrame) -> DataFrame:
     """(path, mime, length) of files, by path: contents are neither read nor sorted."""
     return files.select("path", "mime", "length").orderBy("path")
