@@ -7,7 +7,9 @@ of spots. They are compared by Jaccard likeness, and only where their lengths al
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
+from itertools import accumulate
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +28,7 @@ ANCHORS = (
 ANCHOR_LETTERS = "aeiou"
 #: Anchors that may stand between the two content words of a chain; the second is missing where more do.
 PASSED = 4
+#: Rows of a range of doc_ids, and the most ranges, whose bounds are in the plan. Beyond, ranges hold more rows; they are sorted with spilling.
 ROWS_PER_RANGE = 1_000
 MAX_RANGES = 100_000
 
@@ -108,15 +111,18 @@ def as_string(spots: str) -> Column:
 def with_next(docs: DataFrame, then) -> DataFrame:
     """(doc_id, text, next_*): each row with its follower by doc_id, the last with the first; nulls come first.
 
-    doc_id is cut into ranges of about equal numbers of rows (MAX_RANGES at most), so that no task holds them all. A
-    range's first row, whose doc_id is the cut itself, is also sent to the range before. ``then`` adds columns to rows
-    once they are in their range; those are given as next_*, too. Rows that repeat a doc_id follow each other by text.
+    doc_id is cut into ranges of about equal numbers of rows, so that no task holds them all. A range's first row is also
+    sent to the range before. ``then`` adds columns to rows once they are in their range; those are given as next_*, too.
+    Rows that repeat a doc_id follow each other by text; those of a doc_id (or of none) that fills several ranges follow
+    each other in the order of a hash, by which they are spread over these. An empty table gives an empty result.
     """
     keyed = texts(docs).withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     rows = keyed.count()
     n = min(MAX_RANGES, max(1, math.ceil(rows / ROWS_PER_RANGE)))
     cuts = keyed.agg(F.min("_key").alias("first"), F.percentile_approx("_key", [(i + 1) / (n + 1) for i in range(n)], max(10_000, 10 * n)).alias("cuts")).first()
-    bounds = sorted({cuts["first"] or 0, *(cuts["cuts"] or ())})
+    # A doc_id that is several cuts has as many ranges.
+    widths = Counter(cuts["cuts"] or ()) | Counter([cuts["first"] or 0])
+    bounds = sorted(widths)
     step = math.isqrt(len(bounds)) + 1
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     heads = F.lit([g[0] for g in groups])
@@ -125,19 +131,42 @@ def with_next(docs: DataFrame, then) -> DataFrame:
     keyed = keyed.withColumn("_head", F.size(F.filter(heads, lambda h: h <= F.col("_key"))))
     keyed = keyed.withColumn("_group", F.element_at(inner, F.col("_head")))
     keyed = keyed.withColumn("_range", (F.col("_head") - 1) * step + F.size(F.filter("_group", lambda h: h <= F.col("_key"))) - 1)
-    is_first = F.array_contains("_group", F.col("_key"))
-    before = F.pmod(F.col("_range") - 1, F.lit(len(bounds)))
+    keyed = keyed.withColumn("_sub", F.lit(0).cast("long")).withColumn("_first", F.array_contains("_group", F.col("_key")))
+    keyed = keyed.withColumn("_before", F.pmod(F.col("_range") - 1, F.lit(len(bounds))))
+    if max(widths.values()) > 1:
+        keyed = _split(keyed, [widths[b] for b in bounds])
     own = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest"))
-    sent = F.when(is_first, F.array(own, F.struct(before.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    placed = keyed.select("doc_id", "text", "_key", F.inline(sent)).repartition("range")
+    sent = F.when(F.col("_first"), F.array(own, F.struct(F.col("_before").alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    placed = keyed.select("doc_id", "text", "_key", "_sub", F.inline(sent)).repartition("range")
 
     placed = then(placed)
-    more = [c for c in placed.columns if c not in ("doc_id", "_key", "range", "guest")]
-    order = Window.partitionBy("range").orderBy("guest", "_key", "text")
+    more = [c for c in placed.columns if c not in ("doc_id", "_key", "_sub", "range", "guest")]
+    order = Window.partitionBy("range").orderBy("guest", "_key", "_sub", "text")
     follower = F.lead(F.struct(*more)).over(order)
     return placed.withColumn("_next", follower).filter("not guest").select("doc_id", *more, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in more))
 
 
+def _split(keyed: DataFrame, widths: list[int]) -> DataFrame:
+    """keyed with ranges numbered anew: the rows of the doc_id that range i begins with are spread over ``widths[i]`` ranges.
+
+    The last of these also has the other doc_ids of range i. Rows are written with their hash before it is used, so that
+    it is the same in each job. Which row comes first in each range (three numbers a range) is brought to the driver.
+    """
+    width = F.element_at(F.lit(widths), F.col("_range") + 1)
+    spread = F.when(F.col("_first") & (width > 1), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("_sub"))
+    keyed = staged(keyed.select("doc_id", "text", "_key", "_range", "_first", spread.alias("_sub")), "split-ranges")
+    offsets = F.lit([0, *accumulate(widths)])
+    place = F.when(F.col("_first"), F.shiftright((F.shiftright("_sub", 32) + (1 << 31)) * width, 32)).otherwise(width - 1)
+    place = F.when(width > 1, place).otherwise(0)
+    keyed = keyed.withColumn("_range", (F.element_at(offsets, F.col("_range") + 1) + place).cast("int")).drop("_first")
+    firsts = keyed.groupBy("_range").agg(F.min(F.struct("_key", "_sub")).alias("f")).orderBy("_range").collect()
+    at = {r["_range"]: (r["f"]["_key"], r["f"]["_sub"], before["_range"]) for before, r in zip([firsts[-1], *firsts], firsts, strict=False)}
+    key, sub, before = (F.lit([at.get(i, (0, 0, 0))[k] for i in range(sum(widths))]) for k in range(3))
+    own = F.col("_range") + 1
+    first = (F.col("_key") == F.element_at(key, own)) & (F.col("_sub") == F.element_at(sub, own))
+    return keyed.withColumn("_first", first).withColumn("_before", F.element_at(before, own))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): its fingerprint and that of its edited text, and likenesses.
 

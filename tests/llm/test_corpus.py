@@ -511,6 +511,34 @@ def test_ranges_stitch(spark, monkeypatch):
     assert got == {i * i: f"t{(i + 1) % 40}" for i in range(40)}
 
 
+def test_a_doc_id_of_many_rows_is_spread(spark, monkeypatch):
+    """A third of the rows have no doc_id, another third the same one; rows still follow each other in one ring by doc_id."""
+    monkeypatch.setattr(spotsigs, "ROWS_PER_RANGE", 10)
+    rows = [(None if i % 3 == 0 else 500 if i % 3 == 1 else i, f"t{i}") for i in range(900)]
+    sizes = []
+
+    def count(df):
+        sizes.extend(r["count"] for r in df.groupBy("range").count().collect())
+        return df
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = spotsigs.with_next(df, count).collect()
+    following = {r.text: r.next_text for r in got}
+    ids = {t: i for i, t in rows}
+    assert len(got) == len(following) == len(rows) and max(sizes) < 60
+    ring, t = [], next(r.text for r in got if r.doc_id is None)
+    for _ in rows:
+        ring.append(ids[t])
+        t = following[t]
+    at = next(k for k in range(len(ring)) if ring[k] is None and ring[k - 1] is not None)
+    turned = [-1 if i is None else i for i in ring[at:] + ring[:at]]
+    assert turned == sorted(turned)
+
+    same = spark.createDataFrame([(None, None)] * 300 + [(i, "b") for i in range(300)], "doc_id long, text string")
+    pairs = Counter((r.text, r.next_text) for r in spotsigs.with_next(same, lambda df: df).collect())
+    assert pairs == {("", ""): 299, ("", "b"): 1, ("b", "b"): 299, ("b", ""): 1}
+
+
 def test_near_pairs_equal_brute_force(docs):
     sets = {r.digest: set(r.spots) for r in spotsigs.fingerprint_of(docs).collect() if r.spots}
     names = sorted(sets)
