@@ -77,6 +77,28 @@ def preserve_created(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.filter("field_name = 'Keep'").join(own, "id").select("id", "field_name", "replace_with", "is_preserve", "priority", "pattern_type", "pattern")
 
 
+@query("list_extended", f"SELECT id, CASE id WHEN 8 THEN 'ConstList' ELSE pattern_type END AS pattern_type, CASE id WHEN 8 THEN pattern || '|Ward' ELSE pattern END AS pattern, CASE id WHEN 8 THEN 0 ELSE priority END AS priority FROM {PATTERNS_SQL}")
+def list_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list that ends in bars, and one more term."""
+    bars = F.when(F.col("id") == 8, F.concat("pattern", F.lit("||"))).otherwise(F.col("pattern"))
+    return catalog.extend_list(patterns_of(spark, sf_dir).withColumn("pattern", bars), 8, " Ward ").drop("field_id")
+
+
+@query(
+    "rule_created",
+    f"""
+    SELECT max(id) + 1 AS id, 'Code' AS field_name, '{catalog.MASK}' AS replace_with, 'NumberSequence' AS pattern_type, '6' AS pattern, 100 AS pattern_priority FROM {FIELDS_SQL}
+    UNION ALL SELECT max(id) + 2, 'Keep', '—', 'WholeWord', 'Ward', 999 FROM {FIELDS_SQL}
+    """,
+)
+def rule_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with their first patterns, one that redacts and a protected one."""
+    fields, patterns = catalog.add_rule(fields_of(spark, sf_dir), patterns_of(spark, sf_dir), " Code ", "number_sequence", " 6 ")
+    fields, patterns = catalog.add_rule(fields, patterns, "Keep", "WholeWord", "Ward", is_preserve=True)
+    own = patterns.select(F.col("field_id").alias("id"), "pattern_type", "pattern", F.col("priority").alias("pattern_priority"))
+    return fields.filter("field_name IN ('Code', 'Keep')").select("id", "field_name", "replace_with").join(own, "id")
+
+
 @query("blank_replacement", f"SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '{catalog.MASK}' WHEN 1 THEN '{catalog.MASK}' ELSE c_name END AS replace_with FROM customer")
 def blank_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("c_custkey") % 3 == 0, "  ").when(F.col("c_custkey") % 3 == 2, F.col("c_name"))

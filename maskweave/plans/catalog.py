@@ -121,8 +121,8 @@ def add_pattern(patterns: DataFrame, field_id: int, pattern_type: str, pattern:
 
 
 def first_of(patterns: DataFrame, field_id: int, pattern_type: str) -> Row | None:
-    """A field's first pattern of a type."""
-    return patterns.filter((F.col("field_id") == field_id) & (F.col("pattern_type") == pattern_type)).orderBy("id").first()
+    """A field's first pattern of a type, in the order in which patterns are listed: by priority, the highest first."""
+    return patterns.filter((F.col("field_id") == field_id) & (F.col("pattern_type") == pattern_type)).orderBy(F.desc("priority"), "id").first()
 
 
 def without_pattern(patterns: DataFrame, pattern_id: int) -> DataFrame:
@@ -146,6 +146,25 @@ def append_value(patterns: DataFrame, field_id: int, value: str) -> DataFrame:
     return updated(patterns, own.id, pattern="|".join(sorted([*terms.values(), value], key=str.upper)))
 
 
+def extend_list(patterns: DataFrame, pattern_id: int, value: str) -> DataFrame:
+    """One more term at the end of a list, whatever it holds; its priority becomes 0. A blank value is refused."""
+    value = value.strip()
+    if not value:
+        raise ValueError("a term cannot be blank")
+    here, old = F.col("id") == pattern_id, F.coalesce(F.regexp_replace("pattern", "\\|+$", ""), F.lit(""))
+    longer = F.when(F.trim(F.coalesce("pattern", F.lit(""))) == "", F.lit(value)).otherwise(F.concat(old, F.lit(f"|{value}")))
+    changed = {"pattern_type": F.lit("ConstList"), "pattern": longer, "priority": F.lit(0)}
+    return patterns.withColumns({c: F.when(here, v).otherwise(F.col(c)) for c, v in changed.items()})
+
+
+def add_rule(fields: DataFrame, patterns: DataFrame, name: str, pattern_type: str, pattern: str, replace_with: str = "", is_preserve: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A field for all clients with its first pattern, of priority 100, or 999 in a protected field. A blank name or pattern is refused."""
+    if not name.strip() or not pattern.strip():
+        raise ValueError("a rule needs a name and a pattern")
+    fields = add_field(fields, name.strip(), replace_with.strip() or ("—" if is_preserve else MASK), is_preserve=is_preserve)
+    return fields, add_pattern(patterns, fields.agg(F.max("id")).first()[0], pattern_type, pattern.strip(), 999 if is_preserve else 100)
+
+
 def import_terms(patterns: DataFrame, field_id: int, terms: DataFrame, append: bool = False) -> DataFrame:
     """The terms of a file as the field's FileList: in place of what it holds, or besides; without one, a new list.
 
