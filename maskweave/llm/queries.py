@@ -10,18 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bagminhash import near_classes
 from .bpe import encode_digests
+from .codebook import compress
 from .common import table
+from .conversations import repair
 from .exact import exact_groups
 from .html import main_text
 from .langid import identify
+from .oracles import CODEBOOK, CONVERSATIONS
 from .packing import pack
 from .pii import find_pii
 from .quality import quality
 from .secrets import find_secrets
 from .spotsigs import fingerprints
+from .tokenfile import token_digests
 
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +69,18 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -79,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_spotsigs": op10_spotsigs,
+    "op11_conversations": op11_conversations,
+    "op12_codebook": op12_codebook,
+    "op13_tokens": op13_tokens,
     "pipeline": pipeline,
 }
 
@@ -89,4 +109,6 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY norm)
     """,
+    "op11_conversations": CONVERSATIONS,
+    "op12_codebook": CODEBOOK,
 }
