@@ -217,7 +217,7 @@ def compress(vectors: DataFrame, vector: str = "embedding", rounds: int = ROUNDS
     x = whole(F.col(vector))
     kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), x.alias("x")).filter("x IS NOT NULL")
     longest = kept.agg(F.max(F.size("x"))).first()[0] or 0
-    width = -(-longest // PARTS)
+    width = max(1, -(-longest // PARTS))
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(ENTRIES).select("x").collect()
     books = np.zeros((len(first), PARTS * width), np.int64)
     for row, r in zip(books, first):
