@@ -20,6 +20,14 @@ _LEAST_OVER = np.array([1 << w for w in WIDTHS[1:]], np.uint64)
 _COUNTS = np.array(COUNTS, np.int64)
 
 
+def _needed(values: np.ndarray) -> np.ndarray:
+    """For each number the least selector whose width holds it; 16: none."""
+    return (np.searchsorted(_LEAST_OVER, values, "right") + 1).astype(np.int8)
+
+
+_SHORT = _needed(np.arange(1 << 16, dtype=np.uint64))
+
+
 def _runs(fits: np.ndarray, k: int) -> np.ndarray:
     """For each place with k - 1 more after it, whether it and those all fit."""
     have = 1
@@ -33,7 +41,7 @@ def _runs(fits: np.ndarray, k: int) -> np.ndarray:
 def _selectors(values: np.ndarray, block: int) -> np.ndarray:
     """For each place, the selector of a word that begins there: the one that holds most numbers of those at hand."""
     n = len(values)
-    need = np.searchsorted(_LEAST_OVER, values, "right").astype(np.int8) + 1  # the least selector wide enough; 16: none
+    need = _SHORT[values.astype(np.uint16)] if n and values.max() < 1 << 16 else _needed(values)
     places = np.arange(n)
     left = np.minimum(np.minimum(block - places % block, n - places), COUNTS[1]).astype(np.int8)
     chosen = np.where(need > 15, np.int8(ESCAPE), np.int8(15))
