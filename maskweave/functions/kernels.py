@@ -1,7 +1,8 @@
 """Match kernels: every match of a regular expression with its place, as an array column.
 
 Offsets are code points from 0. Patterns are Java's; they run in the JVM, where neither Python nor a shuffle is needed.
-Patterns with nested repetition can take exponential time, so they go through an Arrow kernel with a time limit instead.
+That engine has no time limit and a stack of its own, so patterns whose search may take more than linear time, or go
+deep, run in an Arrow kernel with a time limit instead (see ``syntax``).
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .syntax import COMMON
+
 HIT = "struct<start:int,length:int,value:string>"
 HITS = f"array<{HIT}>"
 BLOCK = 128
+#: Seconds that a search of one text may take where the engine can be stopped.
+BUDGET = 2.0
 #: Put around matches. A noncharacter, which texts do not exchange; one that holds it all the same is searched with OTHER in its place.
 MARK, OTHER = "\ufdd0", "\ufdd1"
 
@@ -52,6 +57,27 @@ def scan(rows: Column, step: Callable[[Column, Column], tuple[Column, Column]],
     return let(rows, folded)
 
 
+def swept(rows: Column, marks: Column, end: Callable[[Column], Column], floor: Callable[[Column], Column], place: Callable[[Column], Column], value: Callable[[Column], Column], above: bool) -> Column:
+    """Rows, in their order, of which the greatest ``value`` (0 at least) of a mark whose place is before the row's end is, or is not, ``above`` the row's floor.
+
+    One sort of rows and marks by place, and one pass: the greatest value so far is all that is kept.
+    """
+
+    def event(at: Column, is_mark: int, i: Column, low: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.lit(is_mark).alias("mark"), i.cast("int").alias("i"), low.cast("int").alias("low"))
+
+    def step(at: Column, e: Column) -> tuple[Column, Column]:
+        wanted = (at > e["low"]) if above else (at <= e["low"])
+        return F.when(e["mark"] == 1, F.greatest(at, e["low"])).otherwise(at), F.when((e["mark"] == 0) & wanted, F.array(e["i"])).otherwise(F.array().cast("array<int>"))
+
+    def kept(own: Column) -> Column:
+        events = F.concat(F.transform(own, lambda r, i: event(end(r), 0, i, floor(r))), F.transform(marks, lambda m: event(place(m), 1, F.lit(0), value(m))))
+        taken = F.transform(F.sort_array(scan(F.sort_array(events), step, "array<int>")), lambda i: F.get(own, i))
+        return F.when((F.size(own) > 0) & (F.size(marks) > 0), taken).otherwise(F.slice(own, 1, 0) if above else own)
+
+    return let(rows, kept)
+
+
 def hits(text: Column, pattern: str, part: str = "all", before: int = 0, clear: str | None = None) -> Column:
     """array<struct<start, length, value>> of the non-overlapping matches of a pattern, empty ones, too.
 
@@ -123,32 +149,29 @@ def can_be_empty(pattern: str) -> bool:
     return any(m.end() == m.start() for probe in ("", "a", " ", "a b", "1\n-", "Zz9 \n.,:;x") for m in compiled.finditer(probe))
 
 
-def may_run_away(pattern: str) -> bool:
-    """Whether a group that repeats without bound holds a repetition without bound: matching may take exponential time."""
-    open_ended, groups = re.compile(r"(?:[*+]|\{\d+,\})(?!\+)"), [False]
-    tokens = list(re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]|.", pattern, re.S))
-    for m in tokens:
-        repeats = open_ended.match(pattern, m.end()) is not None
-        if m[0] == "(":
-            groups.append(False)
-            continue
-        if m[0] == ")" and len(groups) > 1:
-            inside = groups.pop()
-            if inside and repeats:
-                return True
-            groups[-1] |= inside
-        groups[-1] |= repeats
-    return False
-
-
-def arrow_hits(text: Column, pattern: str, multiline: bool = False, timeout: float = 2.0) -> Column:
+def sketch(text: Column) -> Column:
+    """What a text has besides Latin letters, white space and common signs, a blank for each run of these; see syntax.image."""
+    return F.regexp_replace(text, f"[{COMMON}]+", " ")
+
+
+def arrow_hits(text: Column, pattern: str, multiline: bool = False, timeout: float = BUDGET) -> Column:
     """As hits, by the ``regex`` module over Arrow batches; a text that takes over ``timeout`` seconds fails the task."""
-    flags = regex.IGNORECASE | (regex.MULTILINE if multiline else 0)
+    nested = "&&" in pattern or re.search(r"\[[^\]]*(?<!\\)\[", pattern) is not None
+    flags = regex.IGNORECASE | (regex.MULTILINE if multiline else 0) | (regex.V1 if nested else regex.V0)
+    body = re.sub(r"\\[zZ]", lambda m: {r"\z": r"\Z", r"\Z": r"(?=\n?\Z)"}[m[0]], pattern)
+    regex.compile(body, flags)
 
     @F.pandas_udf(HITS)
     def find(texts: pd.Series) -> pd.Series:
-        compiled = regex.compile(pattern, flags)
-        return texts.map(lambda t: [] if t is None else [{"start": m.start(), "length": m.end() - m.start(), "value": m[0]} for m in compiled.finditer(t, timeout=timeout)])
+        compiled = regex.compile(body, flags)
+
+        def of(text: str | None) -> list[dict]:
+            try:
+                return [] if text is None else [{"start": m.start(), "length": m.end() - m.start(), "value": m[0]} for m in compiled.finditer(text, timeout=timeout)]
+            except TimeoutError as e:
+                raise TimeoutError(f"a search for {pattern!r} took over {timeout} s in a text of {len(text)} characters") from e
+
+        return texts.map(of)
 
     return find(text)
 

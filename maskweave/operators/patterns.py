@@ -1,19 +1,32 @@
 """The pattern types: each compiles its own little language to a column of hits.
 
-A compiled pattern is a function from a text column to array<struct<start, length, value>>, hits from left to right.
+A compiled pattern is a function from a text column to array<struct<start, length, value>>, hits from left to right. It
+may know what a text's sketch must match for it to find anything, so that other texts are passed over.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import any_of, arrow_hits, hits, let, literal, may_run_away, no_hits
+from ..functions.kernels import any_of, arrow_hits, hits, let, literal, no_hits, swept
+from ..functions.syntax import image, linear
+
+
+@dataclass(frozen=True)
+class Compiled:
+    find: Callable[[Column], Column]
+    #: A pattern that the sketch of every text matches in which something is found; None if any sketch may be.
+    needs: str | None = None
+
+    def __call__(self, text: Column) -> Column:
+        return self.find(text)
 
-Compiled = Callable[[Column], Column]
 
 # The names of the types.
 TYPES = ("Regex", "ConstList", "LlmPrompt", "Like", "BeginsWith", "EndsWith", "WholeWord", "AfterLabel", "BetweenMarkers", "NumberSequence", "WholeLine", "FileList")
@@ -54,15 +67,26 @@ def valid(pattern: str) -> bool:
     return True
 
 
+NOTHING = Compiled(lambda text: no_hits())
+
+
 def _found(body: str, flags: str, part: str = "all", before: int = 0, strict: bool = False) -> Compiled:
-    """Hits of a body under flags; a body that Java refuses has none, or raises if ``strict``."""
+    """Hits of a body under flags; a body that Java refuses has none, or raises if ``strict``.
+
+    Bodies whose part is a group are this module's own and linear; others are asked, and run in the JVM only if they are.
+    """
     if not valid(flags + body):
         if strict:
             raise PatternError(body)
-        return lambda text: no_hits()
-    if part == "all" and may_run_away(body):
-        return lambda text: arrow_hits(text, body, "m" in flags)
-    return lambda text: hits(text, flags + body, part, before)
+        return NOTHING
+    safe = linear(body, "m" in flags) if part == "all" else body
+    if safe is not None:
+        return Compiled(lambda text: hits(text, flags + safe, part, before), image(body))
+    try:
+        regex.compile(body)
+    except regex.error as e:
+        raise PatternError(f"{body}: not linear, and of a form that only the JVM's engine knows, which has no time limit") from e
+    return Compiled(lambda text: arrow_hits(text, body, "m" in flags))
 
 
 def raw(pattern: str) -> Compiled:
@@ -97,18 +121,21 @@ def const_list(pattern: str) -> Compiled:
                 groups.append(group := [])
             group.append(term)
 
+    bodies = [f"(?<!{edge}){any_of(list(words))}(?!{edge})" for words in listed] + ["(?:" + "|".join(map(literal, g)) + ")" for g in groups]
+    if not bodies:
+        return NOTHING
+
     def find(text: Column) -> Column:
-        runs = [hits(text, f"(?iU)(?<!{edge}){any_of(list(words))}(?!{edge})") for words in listed]
-        runs += [hits(text, "(?iU)(?:" + "|".join(map(literal, g)) + ")", clear=edge) for g in groups]
-        return F.concat(*runs) if runs else no_hits()
+        return F.concat(*(hits(text, "(?iU)" + b, clear=None if i < len(listed) else edge) for i, b in enumerate(bodies)))
 
-    return find
+    needs = [image(b) for b in bodies]
+    return Compiled(find, None if None in needs else "|".join(needs))
 
 
 def like(pattern: str) -> Compiled:
     """* is any run and ? any character, within a line; a side without a wildcard ends at a word boundary."""
     if not pattern:
-        return lambda text: no_hits()
+        return NOTHING
     body = "".join({"*": ".*", "?": "."}.get(c) or literal(c) for c in pattern)
     # A leading run begins where its line does, or where the last match ended: no other start can match if these don't.
     left = {"*": r"(?:\G|^)", "?": ""}.get(pattern[0], r"\b")
@@ -132,17 +159,20 @@ def after_label(pattern: str) -> Compiled:
     """label or label|N: what follows the label on its line, or its next N words; the label stays."""
     label, _, count = pattern.partition("|")
     label, n = label.strip(), int(count) if re.fullmatch(r"\s*[+-]?[0-9]+\s*", count) else 0
-    value = r"([^\r\n]+)" if n <= 0 else r"(\S+(?:[ \t]+\S+){0,%d})" % (n - 1)
+    value = r"([^\r\n]+)" if n <= 0 else r"(\S++(?:[ \t]++\S++){0,%d}+)" % (n - 1)
     return _found(rf"{literal(label)}[ \t]*{value}", LINE_FLAGS, "tail")
 
 
 def between_markers(pattern: str) -> Compiled:
-    """left | right: the least text between both on a line; the markers stay."""
+    """left | right: the least text between both on a line; the markers stay.
+
+    Where no right marker follows a left one, none follows any later one of the line: the rest of it is passed over.
+    """
     left, bar, right = pattern.partition(" | ")
     left, right = left.strip(), right.strip()
     if not bar or not left or not right:
-        return lambda text: no_hits()
-    return _found(rf"{literal(left)}(.+?){literal(right)}", FLAGS, "inner", len(left))
+        return NOTHING
+    return _found(rf"{literal(left)}(?:(.+?){literal(right)}|.*+)", FLAGS, "inner", len(left))
 
 
 def number_sequence(pattern: str) -> Compiled:
@@ -150,36 +180,39 @@ def number_sequence(pattern: str) -> Compiled:
     m = re.fullmatch(r"\s*([0-9]+)\s*(?:,\s*([0-9]+)\s*)?", pattern)
     least, most = (int(m[1]), int(m[2] or m[1])) if m else (0, 0)
     if least < 1 or most < least:
-        return lambda text: no_hits()
+        return NOTHING
     return _found(r"(?<!\d)\d{%d,%d}(?!\d)" % (least, most), "(?U)")
 
 
 def whole_line(pattern: str) -> Compiled:
     """The lines, with their ends, in which a match begins; each once."""
     if not valid(FLAGS + pattern):
-        return lambda text: no_hits()
-    places = raw(pattern)
+        return NOTHING
+    places, safe = raw(pattern), linear(pattern)
 
     def find(text: Column) -> Column:
         lines = hits(text, r"[^\r\n]*+(?:\r\n|\r|\n)|[^\r\n]++")
-        if not re.search(r"\\[nrsSDWv]|\[\^|\n|\(\?s", pattern):
+        if safe is not None and not re.search(r"\\[nrsSDWv]|\[\^|\n|\(\?s", pattern):
             # No match can cross a line's end, so each line is looked at by itself.
             return F.filter(lines, lambda line: F.regexp_like(line["value"], F.lit(FLAGS + pattern)))
 
         def held(found: Column) -> Column:
-            return F.filter(lines, lambda line: F.exists(found, lambda h: (h["start"] >= line["start"]) & (h["start"] < line["start"] + line["length"])))
+            # The last match that begins before a line's end must begin in the line.
+            return swept(lines, found, lambda x: x["start"] + x["length"], lambda x: x["start"], lambda h: h["start"], lambda h: h["start"] + 1, above=True)
 
         return let(places(text), held)
 
-    return lambda text: F.when(text.rlike(FLAGS + pattern), find(text)).otherwise(no_hits())
+    if safe is None:
+        return Compiled(find)
+    return Compiled(lambda text: F.when(text.rlike(FLAGS + safe), find(text)).otherwise(no_hits()), places.needs)
 
 
 def nothing(pattern: str) -> Compiled:
     """A type that is kept in catalogues and finds nothing yet."""
-    return lambda text: no_hits()
+    return NOTHING
 
 
-#: FileList has a join of its own; see term_list.
+#: FileList is looked up in a dictionary; see term_list.
 COMPILERS: dict[str, Callable[[str], Compiled]] = {
     "Regex": raw,
     "ConstList": const_list,

@@ -1,22 +1,26 @@
-"""Term lists of any size: runs of tokens looked up in a dictionary, the longest from the left."""
+"""Term lists of any size: runs of tokens looked up in a dictionary, the longest from the left, row by row."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import HITS, hits, scan
+from ..functions.kernels import HITS
 from ..functions.text import normalise
+from .term_file import Dictionary, Terms, build
 
 #: Terms of more words never match.
 MOST_WORDS = 6
-#: Terms, and their bytes, up to which a dictionary is sent to every worker; beyond, n-grams and terms shuffle by term.
-BROADCAST_TERMS, BROADCAST_BYTES = 500_000, 50_000_000
 TOKEN = r"[\p{L}\p{Nd}-]+"
+#: Tokens that a worker remembers with what it knows of them, and their letters at most; then it forgets all and starts anew.
+REMEMBERED, REMEMBERED_LETTERS = 200_000, 64
+
+_TOKENS, _PARTS = regex.compile(TOKEN), regex.compile(r"[^\p{L}\p{N}]+")
 
 
 def dictionary(terms: DataFrame, column: str = "term") -> DataFrame:
@@ -26,80 +30,80 @@ def dictionary(terms: DataFrame, column: str = "term") -> DataFrame:
     return rows.groupBy("norm").agg(F.min("raw").alias("raw")).withColumn("n_words", F.size(F.split("norm", " "))).filter(F.col("n_words") <= MOST_WORDS)
 
 
-def sent(terms: DataFrame) -> Callable[[Column], Column] | None:
-    """A function from texts to their hits by a dictionary() that is sent to all workers; None if it is too large for that.
-
-    It looks at each row by itself, so it serves streams as well. What the driver brings together is bounded by both limits.
-    """
-    size = terms.agg(F.count("*").alias("n"), F.sum(F.octet_length("norm") + F.octet_length("raw")).alias("bytes"), F.max("n_words").alias("most")).first()
-    if size["n"] > BROADCAST_TERMS or (size["bytes"] or 0) > BROADCAST_BYTES:
-        return None
-    known = terms.sparkSession.sparkContext.broadcast({r["norm"]: r["raw"] for r in terms.select("norm", "raw").collect()})
-    most = min(size["most"] or 0, MOST_WORDS)
-
-    @F.pandas_udf(HITS)
-    def find(texts: pd.Series) -> pd.Series:
-        raw, token, parts = known.value, regex.compile(TOKEN), regex.compile(r"[^\p{L}\p{N}]+")
-        heads = {norm.partition(" ")[0] for norm in raw}
-
-        def of(text: str | None) -> list[dict]:
-            out, tokens, i = [], [(m.start(), m.end(), m[0].lower()) for m in token.finditer(text or "")], 0
-            norms = [" ".join(parts.split(w)).strip() if "-" in w else w for _, _, w in tokens]
-            while i < len(tokens):
-                first = next((n for n in norms[i : i + most] if n), "")
-                for width in range(min(most, len(tokens) - i), 0, -1) if first.partition(" ")[0] in heads else ():
-                    norm = " ".join(n for n in norms[i : i + width] if n)
-                    if norm in raw:
-                        start = tokens[i][0]
-                        out.append({"start": start, "length": tokens[i + width - 1][1] - start, "value": raw[norm]})
-                        i += width - 1
-                        break
+class Tokens(dict):
+    """(normal form, most words of a term that it begins) of tokens, remembered for those met last."""
+
+    def __init__(self, terms: Terms):
+        self.terms = terms
+
+    def __missing__(self, token: str) -> tuple[str, int]:
+        norm = " ".join(_PARTS.split(token.lower())).strip() if "-" in token else token.lower()
+        known = norm, self.terms.words(norm.partition(" ")[0]) if norm else 0
+        if len(token) <= REMEMBERED_LETTERS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = known
+        return known
+
+
+def search(text: str, terms: Terms, tokens: Tokens, most: int) -> list[tuple[int, int, str]]:
+    """(start, length, spelling) of the terms in a text: from each token on the longest run that is a term; then on behind it."""
+    words = _TOKENS.findall(text)
+    known = [tokens[w] for w in words]
+    if not any(k[1] for k in known):
+        return []
+    starts, at, find = [], 0, text.find
+    for w in words:  # tokens are whole runs, so the next place of a token's letters is the token's own
+        at = find(w, at)
+        starts.append(at)
+        at += len(w)
+    out, i, n = [], 0, len(words)
+    while i < n:
+        norm, longest = known[i]
+        if not longest:
+            if norm:
                 i += 1
-            return out
-
-        return texts.map(of)
+                continue
+            # Hyphens alone may stand before a term's first word.
+            longest = next((k[1] for k in known[i + 1 : i + most] if k[0]), 0)
+        runs, parts, count = [], [], 0
+        for j in range(i, min(i + most, n) if longest else i):
+            if part := known[j][0]:
+                parts.append(part)
+                count += part.count(" ") + 1
+                if count > longest:
+                    break
+            runs.append(" ".join(parts))
+        width = len(runs)
+        while width and (not runs[width - 1] or (raw := terms.get(runs[width - 1])) is None):
+            width -= 1
+        if width:
+            last = i + width - 1
+            out.append((starts[i], starts[last] + len(words[last]) - starts[i], raw))
+        i += width or 1
+    return out
+
+
+def finder(terms: DataFrame | Dictionary) -> Callable[[Column], Column]:
+    """A function from texts to their hits by a dictionary() of any size; it looks at each row by itself, so it serves streams as well."""
+    ready = terms if isinstance(terms, Dictionary) else build(terms, MOST_WORDS)
+
+    @F.arrow_udf(HITS)
+    def find(texts: pa.Array) -> pa.Array:
+        opened = ready.open()
+        tokens = vars(opened).setdefault("tokens", Tokens(opened))  # kept from batch to batch
+        found = [search(t, opened, tokens, ready.most) if t else [] for t in texts.to_pylist()]
+        flat = [h for hits in found for h in hits]
+        start, length, value = zip(*flat) if flat else ((), (), ())
+        rows = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(length, pa.int32()), pa.array(value, pa.string())], ["start", "length", "value"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), rows)
 
     return find
 
 
-def term_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, hits) for the rows of docs whose text holds terms of a dictionary(); key must be unique.
+def term_hits(docs: DataFrame, terms: DataFrame | Dictionary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, hits) for the rows of docs whose text holds terms of a dictionary(); null and repeated keys are as good as others.
 
-    Tokens are runs of letters, digits and hyphens. From each token on, the longest run of tokens that is a term is
-    taken and the search goes on behind it; ``value`` is the dictionary's spelling. A dictionary that sent() takes is
-    looked up row by row; a larger one is joined.
+    Tokens are runs of letters, digits and hyphens; ``value`` is the dictionary's spelling.
     """
-    find = sent(terms)
-    if find is not None:
-        return docs.select(key, find(F.col(text)).alias("hits")).filter(F.size("hits") > 0)
-    return joined_hits(docs, terms, key, text)
-
-
-def joined_hits(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As term_hits, for a dictionary of any size: only n-grams that begin as some term does, and their places, leave the row, never its text."""
-    limits = terms.agg(F.max("n_words").alias("most")).first()
-    most = min(limits["most"] or 0, MOST_WORDS)
-    if not most:
-        return docs.select(key).limit(0).withColumn("hits", F.array().cast(HITS))
-    # One row a token, with the tokens that follow it.
-    tokens = docs.select(key, hits(F.col(text), TOKEN + "+").alias("_tokens"))
-    tokens = tokens.withColumn("_tokens", F.transform("_tokens", lambda t: F.struct(t["start"], (t["start"] + t["length"]).alias("end"), t["value"])))
-    runs = tokens.select(key, F.posexplode(F.transform("_tokens", lambda t, i: F.slice("_tokens", i + 1, F.lit(most)))).alias("first", "run"))
-    lower = F.transform("run", lambda t: F.when(t["value"].contains("-"), normalise(t["value"])).otherwise(F.lower(t["value"])))
-    runs = runs.select(key, "first", F.transform("run", lambda t: F.struct(t["start"], t["end"])).alias("run"), lower.alias("norms"))
-    head = F.split_part(F.get(F.filter("norms", lambda n: n != ""), F.lit(0)), F.lit(" "), F.lit(1))
-    heads = terms.select(F.split_part("norm", F.lit(" "), F.lit(1)).alias("head")).distinct()
-    runs = runs.withColumn("head", head).join(heads, "head", "left_semi")
-    width = F.explode(F.sequence(F.lit(1), F.size("run"))).alias("width")
-    grams = runs.select(key, "first", "run", "norms", width)
-    start, last = F.get("run", F.lit(0))["start"], F.get("run", F.col("width") - 1)["end"]
-    grams = grams.select(key, "first", "width", start.alias("start"), (last - start).alias("length"), F.array_join(F.filter(F.slice("norms", F.lit(1), F.col("width")), lambda n: n != ""), " ").alias("norm"))
-    found = grams.join(terms.select("norm", "raw"), "norm")
-    rows = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first", (-F.col("width")).alias("back"), "start", "length", "raw"))).alias("_found"))
-
-    def step(free: Column, g: Column) -> tuple[Column, Column]:
-        hit = F.array(F.struct(g["start"].alias("start"), g["length"].alias("length"), g["raw"].alias("value")))
-        taken = g["first"] >= free
-        return F.when(taken, g["first"] - g["back"]).otherwise(free), F.when(taken, hit).otherwise(F.array().cast(HITS))
-
-    return rows.select(key, scan(F.col("_found"), step, HITS).alias("hits"))
+    return docs.select(key, finder(terms)(F.col(text)).alias("hits")).filter(F.size("hits") > 0)

@@ -1,7 +1,7 @@
 """redact(): documents and a catalogue to redacted texts, as one projection that Spark plans like any other.
 
-The catalogue is unrolled into the plan, a match kernel for each pattern. Texts stay in their rows; only term lists
-that are too large to be sent to every worker join with a dictionary, by n-grams.
+The catalogue is unrolled into the plan, a match kernel for each pattern, and most kernels look only at texts whose
+sketch shows that they may match. Texts stay in their rows, and term lists of any size are looked up row by row.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import no_hits
+from ..functions.kernels import no_hits, sketch
 from ..functions.text import clean_term, escape_html
-from ..operators.patterns import COMPILERS, PatternError, nothing
+from ..operators.patterns import COMPILERS, FLAGS, nothing
 from ..operators.spans import fields_hit, no_candidates, ordered, outside, splice, stamped, without_overlaps
-from ..operators.term_list import dictionary, joined_hits, sent
+from ..operators.term_list import dictionary, finder
 from .catalog import Field, ordered_patterns
 
 
@@ -24,12 +24,11 @@ def _terms(df: DataFrame, pattern: str) -> DataFrame:
     return dictionary(rows.select(clean_term(F.col("term")).alias("term")))
 
 
-def with_matches(df: DataFrame, catalogue: list[Field], text: str = "text", key: str = "doc_id", dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
+def with_matches(df: DataFrame, catalogue: list[Field], text: str = "text", dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
     """df with ``matches``: the spans that are redacted, disjoint and in order.
 
     dictionaries: by field name, term tables (see term_list.dictionary) for FileList patterns too large for a
-    catalogue. Only FileList patterns with such large dictionaries need ``key``, which must be unique. Null texts have no
-    matches.
+    catalogue. Rows need no key: each is looked at by itself. Null texts have no matches.
     """
     source, named_hits = F.col(text), {}
     for n, field in enumerate(catalogue):
@@ -37,23 +36,19 @@ def with_matches(df: DataFrame, catalogue: list[Field], text: str = "text", key:
             if p.pattern_type == "FileList":
                 terms = (dictionaries or {}).get(field.name)
                 terms = _terms(df, p.pattern) if terms is None else terms
-                find = sent(terms)
-                if find is not None:
-                    named_hits[n, p] = find(source)
-                    continue
-                if df.isStreaming:
-                    raise PatternError(f"the term list of {field.name!r} is too large to be sent to all workers, and a stream cannot be joined by n-grams: use redact_batches")
-                name = f"_terms_{n}_{len(named_hits)}"
-                df = df.join(joined_hits(df, terms, key, text).withColumnRenamed("hits", name), key, "left")
-                named_hits[n, p] = F.coalesce(F.col(name), no_hits())
+                named_hits[n, p] = finder(terms)(source)
 
     def hits(n: int, p) -> Column:
         if (n, p) in named_hits:
             return named_hits[n, p]
         # A type that nothing is registered for finds nothing; the rest of the catalogue stays in force.
-        return COMPILERS.get(p.pattern_type, nothing)(p.pattern)(source)
+        compiled = COMPILERS.get(p.pattern_type, nothing)(p.pattern)
+        if (needs := getattr(compiled, "needs", None)) is None:
+            return compiled(source)
+        return F.when(F.col("_sketch").rlike(FLAGS + needs), compiled(source)).otherwise(no_hits())
 
     active = [(n, f) for n, f in enumerate(catalogue) if f.is_active]
+    df = df.withColumn("_sketch", sketch(source))  # the optimiser drops it where no pattern asks for it
     zones = [hits(n, p) for n, f in active if f.is_preserve for p in f.patterns]
     found, place = [], 0
     for n, f in active:
@@ -65,12 +60,12 @@ def with_matches(df: DataFrame, catalogue: list[Field], text: str = "text", key:
         df = df.withColumn("_zones", reduce(lambda a, b: F.concat(a, b), zones))
         df = df.withColumn("_found", outside(F.col("_found"), F.col("_zones"))).drop("_zones")
     few = F.when(F.size("_found") > 1, without_overlaps(ordered(F.col("_found")))).otherwise(F.col("_found"))
-    return df.withColumn("matches", few).drop("_found", *(c for c in df.columns if c.startswith("_terms_")))
+    return df.withColumn("matches", few).drop("_found", "_sketch")
 
 
-def redact(df: DataFrame, catalogue: list[Field], text: str = "text", key: str = "doc_id", dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
+def redact(df: DataFrame, catalogue: list[Field], text: str = "text", dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
     """df with redacted_text, match_count, fields_hit and matches; a null text stays null."""
-    out = with_matches(df, catalogue, text, key, dictionaries)
+    out = with_matches(df, catalogue, text, dictionaries)
     out = out.withColumn("redacted_text", splice(F.col(text), F.col("matches"))).withColumn("match_count", F.size("matches")).withColumn("fields_hit", fields_hit(F.col("matches")))
     public = F.transform("matches", lambda m: m.dropFields("ord"))
     return out.withColumn("matches", public)

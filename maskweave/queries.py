@@ -12,7 +12,8 @@ from .functions.text import direction, escape_html, extension, file_size, hash_k
 from .operators import boxes, logs
 from .operators.patterns import find, occurrences
 from .operators.spans import candidates_outside, fields_hit, ordered, outside, splice, stamped, without_overlaps
-from .operators.term_list import dictionary, joined_hits, term_hits
+from .operators.term_file import build
+from .operators.term_list import MOST_WORDS, dictionary, term_hits
 from .plans import catalog
 from .plans.builtin import builtin, named
 from .plans.catalog import Field, Pattern, ordered_patterns
@@ -138,23 +139,26 @@ def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     "file_list_words",
     r"""
     WITH RECURSIVE b AS (SELECT list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}]+'), lambda x: lower(x)) AS w FROM benchmark),
-        d AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS norm FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b)),
+        d AS (SELECT DISTINCT array_to_string(w[i:i + 1 + i % 5], ' ') AS norm FROM (SELECT w, unnest(range(1, len(w) - 4)) AS i FROM b)),
         t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}-]+'), lambda x: trim(lower(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g')))) AS w FROM documents),
-        g AS (SELECT doc_id, i, w[i] AS one, w[i] || ' ' || w[i + 1] AS two FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
-        c AS (SELECT doc_id, i, 1 AS width FROM g SEMI JOIN d ON one = norm UNION ALL SELECT doc_id, i, 2 FROM g SEMI JOIN d ON two = norm),
+        g AS (SELECT doc_id, i, width, array_to_string(list_filter(w[i:i + width - 1], lambda x: x <> ''), ' ') AS norm
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), range(1, 7) r(width) WHERE i + width - 1 <= len(w)),
+        c AS (SELECT doc_id, i, width FROM g SEMI JOIN d USING (norm)),
         o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, width DESC) AS k FROM c),
-        r AS (SELECT doc_id, k, i + width AS free, true AS taken FROM o WHERE k = 1
+        r AS (SELECT doc_id, k, width, i + width AS free, true AS taken FROM o WHERE k = 1
               UNION ALL
-              SELECT o.doc_id, o.k, CASE WHEN o.i >= r.free THEN o.i + o.width ELSE r.free END, o.i >= r.free FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
-    SELECT doc_id, count(*) AS n FROM r WHERE taken GROUP BY doc_id
+              SELECT o.doc_id, o.k, o.width, CASE WHEN o.i >= r.free THEN o.i + o.width ELSE r.free END, o.i >= r.free FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
+    SELECT doc_id, count(*) AS n, CAST(sum(width) AS BIGINT) AS n_words, CAST(max(width) AS BIGINT) AS widest FROM r WHERE taken GROUP BY doc_id
     """,
 )
 def file_list_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of two words, by the join that takes dictionaries of any size."""
+    """Terms of two to six words, from blocks in files, as dictionaries of any size have them."""
     words = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)), F.lower)
-    pairs = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b")), lambda z: F.concat(z["a"], F.lit(" "), z["b"]))
-    terms = dictionary(table(spark, sf_dir, "benchmark").select(F.explode(pairs).alias("term")).dropna())
-    return joined_hits(table(spark, sf_dir, "documents"), terms).select("doc_id", F.size("hits").cast("long").alias("n"))
+    runs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 5, F.lit(0))), lambda _, i: F.array_join(F.slice("w", i + 1, 2 + (i + 1) % 5), " "))
+    terms = table(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.explode(runs).alias("term"))
+    found = term_hits(table(spark, sf_dir, "documents"), build(dictionary(terms), MOST_WORDS, broadcast_bytes=0))
+    sizes = F.transform("hits", lambda h: F.size(F.split(h["value"], " ")))
+    return found.select("doc_id", F.size("hits").cast("long").alias("n"), F.aggregate(sizes, F.lit(0), lambda a, x: a + x).cast("long").alias("n_words"), F.array_max(sizes).cast("long").alias("widest"))
 
 
 # ---- spans ---------------------------------------------------------------------------------------------------------

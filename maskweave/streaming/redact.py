@@ -12,11 +12,7 @@ from ..plans.redact import redact
 
 
 def redact_stream(docs: DataFrame, catalogue: list[Field], text: str = "text", dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
-    """A stream of documents redacted by one catalogue, with all its fields.
-
-    Term lists are looked up row by row; one that is too large to be sent to all workers raises PatternError, as its
-    join needs a batch: redact_batches() takes it.
-    """
+    """A stream of documents redacted by one catalogue, with all its fields and term lists of any size."""
     return redact(docs, catalogue, text, dictionaries=dictionaries)
 
 
@@ -28,10 +24,10 @@ def read_folder(spark: SparkSession, path: str, schema: str, archive: str | None
     return reader.load(path)
 
 
-def redact_batches(docs: DataFrame, catalogue: Callable[[], list[Field]], sink: Callable[[DataFrame, int], None], checkpoint: str, text: str = "text") -> StreamingQuery:
+def redact_batches(docs: DataFrame, catalogue: Callable[[], list[Field]], sink: Callable[[DataFrame, int], None], checkpoint: str, text: str = "text", dictionaries: dict[str, DataFrame] | None = None) -> StreamingQuery:
     """Redact what has arrived and stop; each micro-batch asks for the catalogue anew, and may use every pattern type."""
 
     def run(batch: DataFrame, number: int) -> None:
-        sink(redact(batch, catalogue(), text), number)
+        sink(redact(batch, catalogue(), text, dictionaries), number)
 
     return docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
