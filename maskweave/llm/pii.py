@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import hits, scan
+from ..functions.kernels import hits, let, scan, swept
 from ..operators.spans import splice
 from .common import discard, staged, texts
 
@@ -28,10 +28,11 @@ LIKE = r"(?<![\p{L}\p{N}.+-])\(?[0-9][0-9()\x20./:-]{5,24}[0-9](?![\p{L}\p{N}])"
 LIKE_DIGITS = {"card": (13, 19), "phone": (8, 15), "ip": (4, 12)}
 # Addresses that are written out.
 AT, DOT = r"(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20|@)", r"(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)"
-LIKE_EMAIL = rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)+"
+LIKE_EMAIL = rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++"
 
-#: Characters before a span in which its two words are looked for.
-REACH = 256
+#: Characters before a span in which its two words are looked for; longer words are no context. Texts are cut into
+#: chunks of so many for that, so that no span is counted out from its text's beginning.
+REACH, CHUNK = 256, 4096
 #: Turns in which instances give new patterns, and rounds in which the scores of a turn are computed.
 TURNS, ROUNDS = 2, 3
 #: A pattern needs so many different seeds, and that score, for its instances to be reported.
@@ -75,24 +76,33 @@ def with_base(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.coalesce(v, none) for k, v in found.items()})
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The two words before a place, in lower case, digits as 0; null where there are fewer than two."""
-    left = F.lower(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
-    words = F.regexp_replace(F.regexp_extract(left, r"(?:^|\s)(\S+\s+\S+)\s*$", 1), "[0-9]", "0")
+def _chunks(text: Column) -> Column:
+    """The text in chunks of CHUNK characters, each with the REACH + 1 before it."""
+    return F.transform(F.sequence(F.lit(0), F.length(text), F.lit(CHUNK)), lambda at: F.substring(text, F.greatest(at - REACH - 1, F.lit(0)) + 1, CHUNK + F.least(at, F.lit(REACH + 1))))
+
+
+def _context(chunks: Column, start: Column) -> Column:
+    """The two words before a place, in lower case, digits as 0; null where there are fewer than two in REACH characters."""
+    chunk = F.floor(start / CHUNK).cast("int")
+    left = F.substring(F.get(chunks, chunk), 1, start - F.greatest(chunk * CHUNK - REACH - 1, F.lit(0)))
+    # One character more than REACH: a word that begins there, and not at the text's beginning, may have begun before.
+    near = F.when(start > REACH, F.right(left, F.lit(REACH + 1))).otherwise(F.concat(F.lit(" "), left))
+    words = F.regexp_replace(F.lower(F.regexp_extract(near, r"\s(\S+\s+\S+)\s*$", 1)), "[0-9]", "0")
     return F.when(words != "", F.regexp_replace(words, r"\s+", " "))
 
 
 def _scan(docs: DataFrame) -> DataFrame:
     """One pass over the texts: base spans by kind, and seeds and look-alikes with their contexts."""
     df = with_base(texts(docs).withColumn("row_id", F.monotonically_increasing_id()))
-    text = F.col("text")
+    text, chunks = F.col("text"), F.col("chunks")
+    df = df.withColumn("chunks", _chunks(text))
 
     def seeds_of(kind: str) -> Column:
         value = F.lower if kind == "email" else digits
-        return F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"], m["end"], value(m["value"]).alias("value"), _context(text, m["start"]).alias("context")))
+        return F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"], m["end"], value(m["value"]).alias("value"), _context(chunks, m["start"]).alias("context")))
 
     def alike_of(found: Column, value) -> Column:
-        return F.transform(found, lambda m: F.struct(m["start"], m["end"], value(m["value"]).alias("value"), _context(text, m["start"]).alias("context")))
+        return F.transform(found, lambda m: F.struct(m["start"], m["end"], value(m["value"]).alias("value"), _context(chunks, m["start"]).alias("context")))
 
     seeds = F.concat(*map(seeds_of, KINDS))
     numbers = F.when(text.rlike("[0-9]{2}"), alike_of(matches(text, LIKE), digits))
@@ -118,8 +128,8 @@ def discovered(scanned: DataFrame) -> DataFrame:
     is one row a task before anything shuffles. A look-alike with several kinds keeps the best. A pattern has SEEDS
     known values at least, seeds or instances of good patterns.
     """
-    base = F.flatten(F.array(*KINDS))
-    clear = F.filter("alike", lambda m: (m["context"].isNotNull()) & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    known = F.filter("alike", lambda m: m["context"].isNotNull())
+    clear = let(F.flatten(F.array(*KINDS)), lambda base: swept(known, base, lambda m: m["end"], lambda m: m["start"], lambda b: b["start"], lambda b: b["end"], above=False))
     alike = staged(scanned.select("row_id", F.inline(clear)), "look-alikes")
     places = staged(alike.select("context", "value").distinct(), "places")
     seeds = staged(scanned.select(F.inline("seeds")).filter("context is not null").select("kind", "context", "value").distinct(), "seeds")
