@@ -16,6 +16,8 @@ END_ID = 1
 #: Pieces that one task packs; windows are closed at its end, so more of them waste less.
 SHARD_PIECES = 12_000
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+#: A piece with its document's place in the scan, which tells repeated rows apart.
+PLACED = (*PIECE, "place")
 
 
 class CapacityTree:
@@ -78,19 +80,19 @@ def _cutter(path: str, window: int):
         encoder, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text, place in zip(batch["doc_id"], batch["text"], batch["place"], strict=True):
                 ids = encoder.encode_packed(text) + end
                 for at in range(0, len(ids), 4 * window):
                     piece = ids[at : at + 4 * window]
-                    rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
-            yield dict(zip(PIECE, zip(*rows), strict=True)) if rows else dict.fromkeys(PIECE, [])
+                    rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, place))
+            yield dict(zip(PLACED, zip(*rows), strict=True)) if rows else dict.fromkeys(PLACED, [])
 
     return cut
 
 
 def _packer(window: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32", "place"], kind="stable", ignore_index=True)
         numbers, offsets = best_fit_decreasing(pdf["length"].to_numpy(), window)
         # Shards take turns in the numbering: unique without counting how many windows each has.
         pdf["sequence_id"] = numbers * pdf["shards"] + pdf["shard"]
@@ -107,11 +109,13 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     tightest open window of its shard. Equal lengths are packed by doc_id. Rows that repeat, or have a null doc_id, are
     packed each on its own; an empty table gives an empty result.
 
-    Ids stay in the task that made them; only the pieces' numbers shuffle. A piece's shard is a hash of its document
-    and place, so that no shard is larger than others, whatever the documents' lengths.
+    Ids stay in the task that made them; only the pieces' numbers shuffle. A piece's shard is a hash of its row's place
+    in the scan and its own in the document, so that no shard is larger than others, whatever the documents' lengths and
+    however many rows have one doc_id or none.
     """
-    pieces = map_batches(texts(docs), _cutter(path, window), ", ".join(f"{c} long" for c in PIECE))
+    rows = texts(docs).withColumn("place", F.monotonically_increasing_id())
+    pieces = map_batches(rows, _cutter(path, window), ", ".join(f"{c} long" for c in PLACED))
     pieces = staged(pieces, "pieces")
     shards = max(1, round(pieces.count() / SHARD_PIECES))
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))).withColumn("shards", F.lit(shards))
+    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("place", "start"), F.lit(shards))).withColumn("shards", F.lit(shards))
     return sharded.groupBy("shard").applyInPandas(_packer(window), ", ".join(f"{c} long" for c in (*PIECE, "sequence_id", "offset")))
