@@ -157,16 +157,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additive:
-    """Fit on at most ``rows`` rows of labels(doc_id, quality) that aren't held out; labels other than 0 and 1 are unused."""
+    """Fit on at most ``rows`` labelled texts that aren't held out; labels(doc_id, quality) other than 0 and 1 are unused.
+
+    Labels are bounded first, then the rows that they meet: a doc_id may repeat, in docs as in labels. Features are made
+    where the texts lie, and only those of the bounded rows come to the driver. Null doc_ids teach nothing; an empty
+    table gives a model that knows only the base rate.
+    """
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     taught = taught.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = taught.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
 
     def featured(batches):
         for b in batches:
-            yield {"quality": b["quality"], "x": [features(t) for t in b["text"]]}
+            yield {"doc_id": b["doc_id"], "quality": b["quality"], "x": [features(t) for t in b["text"]]}
 
-    found = map_batches(texts(docs).join(F.broadcast(sample), "doc_id"), featured, "quality int, x array<double>").toArrow()
+    met = map_batches(texts(docs).join(F.broadcast(sample), "doc_id"), featured, "doc_id long, quality int, x array<double>")
+    found = met.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "quality").limit(rows).select("quality", "x").toArrow()
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T[::-1])  # the order of arrival decides nothing
     return fit(x[order], found.column("quality").to_numpy()[order].astype(np.float64))
