@@ -110,11 +110,11 @@ def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
     must also be other than words by its pairs of letters. What ``taken`` covers of a candidate is cut out, and each
     part that is left is searched by itself.
     """
-    out = []
+    out, uncovered = [], Uncovered(taken)
     for m in CANDIDATE.finditer(text):
         if not any(map(str.isalpha, m[0])) or ALLOWED.fullmatch(m[0]):
             continue
-        for begin, end in uncovered(m.start(), m.end(), taken):
+        for begin, end in uncovered.parts(m.start(), m.end()):
             s = text[begin:end]
             if not any(map(str.isalpha, s)):
                 continue
@@ -125,15 +125,28 @@ def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
     return out
 
 
-def uncovered(begin: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """The parts of begin:end that no span of ``taken``, in order of start, covers."""
-    out = []
-    for a, b, _ in taken:
-        if a < end and begin < b:
-            if begin < a:
-                out.append((begin, a))
-            begin = max(begin, b)
-    return [*out, (begin, end)] if begin < end else out
+class Uncovered:
+    """The parts of ranges that no span covers; ranges are asked for from left to right, so spans are passed once."""
+
+    def __init__(self, taken: list[tuple[int, int, str]]):
+        self.union: list[list[int]] = []
+        for a, b, _ in taken:  # in order of start
+            if self.union and a <= self.union[-1][1]:
+                self.union[-1][1] = max(self.union[-1][1], b)
+            else:
+                self.union.append([a, b])
+        self.at = 0
+
+    def parts(self, begin: int, end: int) -> list[tuple[int, int]]:
+        while self.at < len(self.union) and self.union[self.at][1] <= begin:
+            self.at += 1
+        out, i = [], self.at
+        while i < len(self.union) and self.union[i][0] < end:
+            if begin < self.union[i][0]:
+                out.append((begin, self.union[i][0]))
+            begin = max(begin, self.union[i][1])
+            i += 1
+        return [*out, (begin, end)] if begin < end else out
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
