@@ -29,8 +29,9 @@ from .common import map_batches, staged, texts
 
 #: Words in the automaton: with their ids a few MB, broadcast to the executors.
 LEXICON_WORDS = 65_536
-#: Words whose ids a Python worker remembers beside the automaton; then it forgets all and starts anew.
-REMEMBERED_WORDS = 500_000
+#: Words whose ids a Python worker remembers beside the automaton; then it forgets all and starts anew. Words of more
+#: letters are neither remembered nor counted: they are merged anew in n log n steps.
+REMEMBERED_WORDS, WORD_LETTERS = 500_000, 48
 
 # White space (Unicode's, as the vocabulary's normaliser has it) and the pieces that text is cut into.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -111,7 +112,7 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
     def exact(self, word: str) -> list[int]:
-        return self.merge(word) if len(word) <= 48 else self.merge_long(word)
+        return self.merge(word) if len(word) <= WORD_LETTERS else self.merge_long(word)
 
     def words(self, text: str) -> list[str]:
         """The words of a text, special tokens' strings among them as they are.
@@ -258,9 +259,11 @@ class Memory(dict):
         self.make = make
 
     def __missing__(self, word: str):
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        value = self[word] = self.make(word)
+        value = self.make(word)
+        if len(word) <= WORD_LETTERS:
+            if len(self) >= REMEMBERED_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -296,6 +299,11 @@ class Decoder:
         return " ".join(map(self.string.__getitem__, ids.split()))
 
 
+def _short(counts: Counter[str]) -> dict[str, list]:
+    words = [w for w in counts if len(w) <= WORD_LETTERS]
+    return {"word": words, "n": [counts[w] for w in words]}
+
+
 def _count(path: str):
     def count(batches):
         cut, n = vocabulary(path).words, Counter()
@@ -303,15 +311,15 @@ def _count(path: str):
             for text in batch["text"]:
                 n.update(cut(text))
             if len(n) > 4 * LEXICON_WORDS:
-                yield {"word": list(n.keys()), "n": list(n.values())}
+                yield _short(n)
                 n = Counter()
-        yield {"word": list(n.keys()), "n": list(n.values())}
+        yield _short(n)
 
     return count
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> list[str]:
-    """At most ``size`` words, the most frequent over all texts. Tasks send counts, not words.
+    """At most ``size`` words of WORD_LETTERS letters at most, the most frequent over all texts. Tasks send counts, not words.
 
     A histogram of counts (each below 1024, then 64 steps a doubling: a few thousand rows at any corpus size) tells the
     least count that leaves ``size`` words; only these come to the driver.
@@ -330,7 +338,7 @@ def frequent_words(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> lis
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
     vocab = vocabulary(path)
-    words = [w for w in frequent_words(docs, path, size) if len(w) <= 48 and w not in vocab.special]
+    words = [w for w in frequent_words(docs, path, size) if w not in vocab.special]
     return compile_lexicon([(w, vocab.exact(w)) for w in words])
 
 
