@@ -162,7 +162,7 @@ def test_what_base_spans_leave_of_a_candidate_is_searched():
     key = "kJ8dPq2LmZ7xVb4Nc9Wt3Rf6Yg1Hs5"
     text = "AKIA" + "Q" * 16 + key
     assert [(a, b) for a, b, _ in secrets.entropy_spans(text, [(0, 20, "access")])] == [(20, len(text))]
-    assert secrets.uncovered(0, 50, [(3, 9, "a"), (5, 7, "b"), (40, 60, "c")]) == [(0, 3), (9, 40)]
+    assert secrets.Uncovered([(3, 9, "a"), (5, 7, "b"), (40, 60, "c")]).parts(0, 50) == [(0, 3), (9, 40)]
 
 
 @pytest.mark.parametrize("alphabet, length, least", [("an", 20, 0.95), ("an", 32, 0.99), ("an+/", 40, 0.99)])

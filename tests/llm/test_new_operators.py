@@ -126,7 +126,7 @@ def test_odd_conversations_equal_sql(spark, tmp_path):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as kept", "'x' as audit", "2 as segment", "3 as at")
     df.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     n = same_as_sql(spark, None, "op11_conversations", "conversations", str(tmp_path))
-    assert n == 2000 + 5
+    assert n == 2004
     found = conversations.repair(df)
     empty = found.filter("audit = '' AND cost = 0").first()
     assert empty.repaired_sha256 == hashlib.sha256(b"").hexdigest()
