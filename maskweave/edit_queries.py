@@ -1,7 +1,7 @@
 """Registered queries over catalogue edits, term sets, file handling, recognition passes and the request log, with their SQL.
 
-Catalogues are made from tables here: fields from ``nation``, patterns from ``supplier``. The expressions that make such
-inputs are plain enough to be the same in both dialects; what is compared is the operator.
+The expressions that make inputs from tables are plain enough to be the same in both dialects; what is compared is the
+operator.
 """
 
 from __future__ import annotations
@@ -13,31 +13,11 @@ from .operators import boxes, logs
 from .plans import catalog
 from .plans.catalog import Field, Pattern
 from .plans.redact import as_json, redact
-from .queries import NUMBERS, WORD_BOXES, query, table, word_boxes
+from .queries import FIELDS_SQL, NUMBERS, PATTERNS_SQL, WORD_BOXES, fields_of, patterns_of, query, table, word_boxes
 from .sources import readers, terms, writers
 
 # ---- catalogue edits -----------------------------------------------------------------------------------------------
 
-FIELD_COLUMNS = (
-    "CAST(n_nationkey + 1 AS INTEGER) AS id", "CASE WHEN n_regionkey > 0 THEN n_regionkey END AS client_id", "n_name AS field_name", "'[' || n_name || ']' AS replace_with",
-    "n_nationkey % 4 <> 0 AS is_active", "n_nationkey % 5 = 0 AS is_preserve", "CAST(n_nationkey * 7 % 30 AS INTEGER) AS priority",
-)
-PATTERN_COLUMNS = (
-    "CAST(s_suppkey AS INTEGER) AS id", "CAST(s_nationkey + 1 AS INTEGER) AS field_id", "CASE WHEN s_suppkey % 2 = 0 THEN 'WholeWord' ELSE 'ConstList' END AS pattern_type",
-    "s_name AS pattern", "CAST(s_suppkey % 100 AS INTEGER) AS priority",
-)
-FIELDS_SQL = f"(SELECT {', '.join(FIELD_COLUMNS)} FROM nation)"
-PATTERNS_SQL = f"(SELECT {', '.join(PATTERN_COLUMNS)} FROM supplier)"
-
-
-def fields_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").selectExpr(*FIELD_COLUMNS)
-
-
-def patterns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").selectExpr(*PATTERN_COLUMNS)
-
-
 @query("field_created", f"SELECT * FROM {FIELDS_SQL} UNION ALL SELECT max(id) + 1, 3, 'New', '{catalog.MASK}', true, false, 500 FROM {FIELDS_SQL}")
 def field_created(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new field with a blank replacement has the mask, and a priority of 500."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -154,16 +155,20 @@ def sketch(text: Column) -> Column:
     return F.regexp_replace(text, f"[{COMMON}]+", " ")
 
 
-def arrow_hits(text: Column, pattern: str, multiline: bool = False, timeout: float = BUDGET) -> Column:
-    """As hits, by the ``regex`` module over Arrow batches; a text that takes over ``timeout`` seconds fails the task."""
+@lru_cache(maxsize=1_000)
+def python_regex(pattern: str, multiline: bool = False) -> regex.Pattern:
+    """A pattern of Java's for the ``regex`` module, which can be stopped and goes no deeper than it has memory for."""
     nested = "&&" in pattern or re.search(r"\[[^\]]*(?<!\\)\[", pattern) is not None
     flags = regex.IGNORECASE | (regex.MULTILINE if multiline else 0) | (regex.V1 if nested else regex.V0)
-    body = re.sub(r"\\[zZ]", lambda m: {r"\z": r"\Z", r"\Z": r"(?=\n?\Z)"}[m[0]], pattern)
-    regex.compile(body, flags)
+    return regex.compile(re.sub(r"\\[zZ]", lambda m: {r"\z": r"\Z", r"\Z": r"(?=\n?\Z)"}[m[0]], pattern), flags)
+
+
+def arrow_hits(text: Column, pattern: str, multiline: bool = False, timeout: float = BUDGET) -> Column:
+    """As hits, by the ``regex`` module over Arrow batches; a text that takes over ``timeout`` seconds fails the task."""
 
     @F.pandas_udf(HITS)
     def find(texts: pd.Series) -> pd.Series:
-        compiled = regex.compile(body, flags)
+        compiled = python_regex(pattern, multiline)
 
         def of(text: str | None) -> list[dict]:
             try:

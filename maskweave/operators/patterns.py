@@ -7,22 +7,27 @@ may know what a text's sketch must match for it to find anything, so that other
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import any_of, arrow_hits, hits, let, literal, no_hits, swept
+from ..functions.kernels import BUDGET, any_of, arrow_hits, hits, let, literal, no_hits, python_regex, swept
 from ..functions.syntax import image, linear
 
 
+#: (start, length) of the hits in one text, for functions of SQL; see functions.table_functions.
+Search = Callable[[str], Iterable[tuple[int, int]]]
+
+
 @dataclass(frozen=True)
 class Compiled:
     find: Callable[[Column], Column]
     #: A pattern that the sketch of every text matches in which something is found; None if any sketch may be.
     needs: str | None = None
+    search: Search | None = None
 
     def __call__(self, text: Column) -> Column:
         return self.find(text)
@@ -56,18 +61,32 @@ def known(name: str) -> bool:
 
 
 def valid(pattern: str) -> bool:
-    """Whether the JVM compiles the pattern."""
+    """Whether the JVM compiles the pattern; in a worker, which has none, whether the other engine does."""
     spark = SparkSession.getActiveSession()
-    if spark is None:
-        return True
     try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        if spark is None:
+            python_regex(re.sub(r"^\(\?[iUdm]+\)", "", pattern))
+        else:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
     except Exception:
         return False
     return True
 
 
-NOTHING = Compiled(lambda text: no_hits())
+NOTHING = Compiled(lambda text: no_hits(), search=lambda text: ())
+
+
+def _searched(body: str, multiline: bool, part: str = "all", before: int = 0) -> Search:
+    """As hits() finds, text by text."""
+
+    def search(text: str) -> Iterator[tuple[int, int]]:
+        for m in python_regex(body, multiline).finditer(text, timeout=BUDGET):
+            value = m[0 if part == "all" else 1] or ""
+            start = {"all": m.start(), "tail": m.end() - len(value), "inner": m.start() + before}[part]
+            if value or part == "all":
+                yield start, len(value)
+
+    return search
 
 
 def _found(body: str, flags: str, part: str = "all", before: int = 0, strict: bool = False) -> Compiled:
@@ -80,13 +99,16 @@ def _found(body: str, flags: str, part: str = "all", before: int = 0, strict: bo
             raise PatternError(body)
         return NOTHING
     safe = linear(body, "m" in flags) if part == "all" else body
-    if safe is not None:
-        return Compiled(lambda text: hits(text, flags + safe, part, before), image(body))
     try:
-        regex.compile(body)
+        python_regex(body, "m" in flags)
+        search = _searched(body, "m" in flags, part, before)
     except regex.error as e:
-        raise PatternError(f"{body}: not linear, and of a form that only the JVM's engine knows, which has no time limit") from e
-    return Compiled(lambda text: arrow_hits(text, body, "m" in flags))
+        if safe is None:
+            raise PatternError(f"{body}: not linear, and of a form that only the JVM's engine knows, which has no time limit") from e
+        search = None
+    if safe is None:
+        return Compiled(lambda text: arrow_hits(text, body, "m" in flags), search=search)
+    return Compiled(lambda text: hits(text, flags + safe, part, before), image(body), search)
 
 
 def raw(pattern: str) -> Compiled:
@@ -128,8 +150,15 @@ def const_list(pattern: str) -> Compiled:
     def find(text: Column) -> Column:
         return F.concat(*(hits(text, "(?iU)" + b, clear=None if i < len(listed) else edge) for i, b in enumerate(bodies)))
 
+    def search(text: str) -> Iterator[tuple[int, int]]:
+        beside = python_regex(edge)
+        for i, body in enumerate(bodies):
+            for start, length in _searched(body, False)(text):
+                if i < len(listed) or not beside.search(text[max(start - 1, 0) : start] + text[start + length : start + length + 1]):
+                    yield start, length
+
     needs = [image(b) for b in bodies]
-    return Compiled(find, None if None in needs else "|".join(needs))
+    return Compiled(find, None if None in needs else "|".join(needs), search)
 
 
 def like(pattern: str) -> Compiled:
@@ -184,6 +213,9 @@ def number_sequence(pattern: str) -> Compiled:
     return _found(r"(?<!\d)\d{%d,%d}(?!\d)" % (least, most), "(?U)")
 
 
+LINE = r"[^\r\n]*+(?:\r\n|\r|\n)|[^\r\n]++"
+
+
 def whole_line(pattern: str) -> Compiled:
     """The lines, with their ends, in which a match begins; each once."""
     if not valid(FLAGS + pattern):
@@ -191,7 +223,7 @@ def whole_line(pattern: str) -> Compiled:
     places, safe = raw(pattern), linear(pattern)
 
     def find(text: Column) -> Column:
-        lines = hits(text, r"[^\r\n]*+(?:\r\n|\r|\n)|[^\r\n]++")
+        lines = hits(text, LINE)
         if safe is not None and not re.search(r"\\[nrsSDWv]|\[\^|\n|\(\?s", pattern):
             # No match can cross a line's end, so each line is looked at by itself.
             return F.filter(lines, lambda line: F.regexp_like(line["value"], F.lit(FLAGS + pattern)))
@@ -202,9 +234,18 @@ def whole_line(pattern: str) -> Compiled:
 
         return let(places(text), held)
 
+    def search(text: str) -> Iterator[tuple[int, int]]:
+        begins, i = [start for start, _ in places.search(text)], 0
+        for m in re.finditer(LINE, text):
+            while i < len(begins) and begins[i] < m.start():
+                i += 1
+            if i < len(begins) and begins[i] < m.end():
+                yield m.start(), m.end() - m.start()
+
+    own = search if places.search else None
     if safe is None:
-        return Compiled(find)
-    return Compiled(lambda text: F.when(text.rlike(FLAGS + safe), find(text)).otherwise(no_hits()), places.needs)
+        return Compiled(find, search=own)
+    return Compiled(lambda text: F.when(text.rlike(FLAGS + safe), find(text)).otherwise(no_hits()), places.needs, own)
 
 
 def nothing(pattern: str) -> Compiled:

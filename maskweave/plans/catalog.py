@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.patterns import known, type_name
@@ -67,10 +67,14 @@ def load(fields: DataFrame, patterns: DataFrame, client_id: int | None = None) -
 
 
 def effective_priority(fields: DataFrame, patterns: DataFrame) -> DataFrame:
-    """fields with the greater of their own and their patterns' priorities, the highest first, for listings."""
+    """fields with the greater of their own and their patterns' priorities, and their ``place`` in listings: the highest first, then by own priority and name.
+
+    A catalogue is small, so one task numbers its fields.
+    """
     top = patterns.groupBy(F.col("field_id").alias("id")).agg(F.max("priority").alias("top"))
     joined = fields.join(top, "id", "left").withColumn("effective_priority", F.greatest("priority", F.coalesce("top", F.lit(0)))).drop("top")
-    return joined.orderBy(F.desc("effective_priority"), F.desc("priority"), "field_name")
+    order = Window.orderBy(F.desc("effective_priority"), F.desc("priority"), "field_name")
+    return joined.withColumn("place", F.row_number().over(order).cast("long")).orderBy("place")
 
 
 def by_kind(fields: DataFrame) -> DataFrame:

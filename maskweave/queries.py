@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import table_functions
 from .functions.kernels import hits
 from .functions.text import direction, escape_html, extension, file_size, hash_key, normalise, size_kb, stem, truncate
 from .operators import boxes, logs
@@ -184,6 +186,14 @@ def spans_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_rows(table(spark, sf_dir, "documents"), find("text", "Regex", EMAIL))
 
 
+@query("spans_lateral", f"SELECT doc_id, start, length, value FROM ({span_sql('(?i)' + EMAIL)})")
+def spans_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in SQL, by the table function."""
+    table_functions.register(spark)
+    pattern = EMAIL.replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, value FROM {{docs}}, LATERAL find_spans(text, 'Regex', r'{pattern}')", docs=table(spark, sf_dir, "documents"))
+
+
 NUMBERS, TOKENS = "[0-9]{3,}", "[0-9A-Za-z]*[0-9][0-9A-Za-z]*"
 ZONE = 'token = "[0-9a-f]+"'
 
@@ -304,47 +314,54 @@ def html_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- catalogue -----------------------------------------------------------------------------------------------------
 
-FIELDS = [
-    (1, None, "Email", "[email]", True, False, 0),
-    (2, None, "Ward", "████", True, True, 999),
-    (3, 7, "Case number", "[CASE]", True, False, 500),
-    (4, None, "Old", "[OLD]", False, False, 10),
-    (5, 8, "Name", "[NAME]", True, False, 500),
-]
-PATTERNS = [(1, 1, "Regex", "a@b", 100), (2, 1, "Like", "*@c.d", 600), (3, 2, "ConstList", "Ward A|ward b", 999), (4, 2, "WholeWord", "Ward C", 50), (5, 3, "NumberSequence", "6", 80), (6, 4, "WholeWord", "x", 5)]
+# Catalogues are made from tables: fields from nation, patterns from supplier, by expressions that are the same in both dialects.
 
+FIELD_COLUMNS = (
+    "CAST(n_nationkey + 1 AS INTEGER) AS id", "CASE WHEN n_regionkey > 0 THEN n_regionkey END AS client_id", "n_name AS field_name", "'[' || n_name || ']' AS replace_with",
+    "n_nationkey % 4 <> 0 AS is_active", "n_nationkey % 5 = 0 AS is_preserve", "CAST(n_nationkey * 7 % 30 AS INTEGER) AS priority",
+)
+PATTERN_COLUMNS = (
+    "CAST(s_suppkey AS INTEGER) AS id", "CAST(s_nationkey + 1 AS INTEGER) AS field_id", "CASE WHEN s_suppkey % 2 = 0 THEN 'WholeWord' ELSE 'ConstList' END AS pattern_type",
+    "s_name AS pattern", "CAST(s_suppkey % 100 AS INTEGER) AS priority",
+)
+FIELDS_SQL = f"(SELECT {', '.join(FIELD_COLUMNS)} FROM nation)"
+PATTERNS_SQL = f"(SELECT {', '.join(PATTERN_COLUMNS)} FROM supplier)"
 
-def values_sql(rows: list[tuple], columns: str) -> str:
-    def one(v: object) -> str:
-        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'"
 
-    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
+def fields_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").selectExpr(*FIELD_COLUMNS)
 
 
-FIELDS_SQL = f"SELECT * FROM {values_sql(FIELDS, 'id, client_id, field_name, replace_with, is_active, is_preserve, priority')}"
-PATTERNS_SQL = f"SELECT * FROM {values_sql(PATTERNS, 'id, field_id, pattern_type, pattern, priority')}"
+def patterns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr(*PATTERN_COLUMNS)
 
 
-def small_catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(FIELDS, catalog.FIELD_SCHEMA), spark.createDataFrame(PATTERNS, catalog.PATTERN_SCHEMA)
+def catalogue_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return fields_of(spark, sf_dir), patterns_of(spark, sf_dir)
 
 
-@query("catalog_join", f"SELECT f.id, f.field_name, count(p.id) AS n_patterns, coalesce(string_agg(p.pattern, ';' ORDER BY p.id), '') AS patterns FROM ({FIELDS_SQL}) f LEFT JOIN ({PATTERNS_SQL}) p ON p.field_id = f.id GROUP BY ALL")
+@query("catalog_join", f"SELECT f.id, f.field_name, count(p.id) AS n_patterns, coalesce(string_agg(p.pattern, ';' ORDER BY p.id), '') AS patterns FROM {FIELDS_SQL} f LEFT JOIN {PATTERNS_SQL} p ON p.field_id = f.id GROUP BY ALL")
 def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog.with_patterns(*small_catalogue(spark))
+    rows = catalog.with_patterns(*catalogue_of(spark, sf_dir))
     return rows.select("id", "field_name", F.size("patterns").cast("long").alias("n_patterns"), F.array_join(F.transform("patterns", lambda p: p["pattern"]), ";").alias("patterns"))
 
 
-@query("effective_priority", f"SELECT f.id, f.field_name, greatest(f.priority, coalesce(max(p.priority), 0)) AS effective_priority FROM ({FIELDS_SQL}) f LEFT JOIN ({PATTERNS_SQL}) p ON p.field_id = f.id GROUP BY f.id, f.field_name, f.priority")
+@query(
+    "effective_priority",
+    f"""
+    SELECT id, field_name, effective_priority, row_number() OVER (ORDER BY effective_priority DESC, priority DESC, field_name) AS place
+    FROM (SELECT f.id, f.field_name, f.priority, greatest(f.priority, coalesce(max(p.priority), 0)) AS effective_priority FROM {FIELDS_SQL} f LEFT JOIN {PATTERNS_SQL} p ON p.field_id = f.id GROUP BY f.id, f.field_name, f.priority)
+    """,
+)
 def effective_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.effective_priority(*small_catalogue(spark)).select("id", "field_name", "effective_priority")
+    return catalog.effective_priority(*catalogue_of(spark, sf_dir)).select("id", "field_name", "effective_priority", "place")
 
 
-@query("tenant_filter", f"SELECT c.client, f.id, f.field_name FROM ({FIELDS_SQL}) f, (VALUES (0), (7), (8)) AS c(client) WHERE is_active AND (client_id IS NULL OR client_id = client)")
+@query("tenant_filter", f"SELECT c.client, f.id, f.field_name FROM {FIELDS_SQL} f, (VALUES (0), (1), (3), (9)) AS c(client) WHERE is_active AND (client_id IS NULL OR client_id = client)")
 def tenant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields, _ = small_catalogue(spark)
-    parts = [catalog.for_client(fields, c or None).select(F.lit(c).alias("client"), "id", "field_name") for c in (0, 7, 8)]
-    return parts[0].union(parts[1]).union(parts[2])
+    """What clients see: 0 stands for none, 9 has no fields of its own."""
+    fields = fields_of(spark, sf_dir)
+    return reduce(DataFrame.union, [catalog.for_client(fields, c or None).select(F.lit(c).alias("client"), "id", "field_name") for c in (0, 1, 3, 9)])
 
 
 @query(
@@ -356,21 +373,26 @@ def term_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.merged_terms(words, table(spark, sf_dir, "customer").select(F.col("c_name").alias("term")))
 
 
+#: Lists of terms that repeat in other cases, with blank ones among them.
+LISTED = "pattern || '| Ward ' || priority % 3 || '||WARD ' || priority % 3"
+
+
 @query(
     "group_all",
     f"""
     SELECT field_id, string_agg(term, '|' ORDER BY k) AS pattern, 999 AS priority
-    FROM (SELECT field_id, lower(term) AS k, min(term) AS term FROM (SELECT field_id, trim(unnest(string_split(pattern, '|'))) AS term FROM ({PATTERNS_SQL}) WHERE pattern_type IN ('WholeWord', 'ConstList')) GROUP BY ALL)
+    FROM (SELECT field_id, lower(term) AS k, min(term) AS term FROM (SELECT field_id, trim(unnest(string_split({LISTED}, '|'))) AS term FROM {PATTERNS_SQL}) WHERE term <> '' GROUP BY ALL)
     GROUP BY field_id
     """,
 )
 def group_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.consolidated(small_catalogue(spark)[1]).select("field_id", "pattern", "priority")
+    patterns = patterns_of(spark, sf_dir).withColumn("pattern", F.expr(LISTED))
+    return catalog.consolidated(patterns).select("field_id", "pattern", "priority")
 
 
-@query("pattern_by_id", f"SELECT p.id, f.field_name, p.pattern FROM ({PATTERNS_SQL}) p JOIN ({FIELDS_SQL}) f ON f.id = p.field_id WHERE p.id = 4")
+@query("pattern_by_id", f"SELECT p.id, f.field_name, p.pattern FROM {PATTERNS_SQL} p JOIN {FIELDS_SQL} f ON f.id = p.field_id WHERE p.id = 4")
 def pattern_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.pattern_by_id(*small_catalogue(spark), 4).select("id", "field_name", "pattern")
+    return catalog.pattern_by_id(*catalogue_of(spark, sf_dir), 4).select("id", "field_name", "pattern")
 
 
 @query("fields_by_kind", "SELECT count(*) AS n_all, count(*) FILTER (o_orderstatus = 'F') AS n_preserve, count(*) FILTER (o_orderstatus <> 'F') AS n_redact FROM orders")
@@ -378,10 +400,22 @@ def fields_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.by_kind(table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("is_preserve")))
 
 
-@query("append_value", f"SELECT id, CASE WHEN id = 3 THEN 'Ward A|ward b|Ward D' ELSE pattern END AS pattern FROM ({PATTERNS_SQL}) UNION ALL SELECT 7, 'y'")
+@query(
+    "append_value",
+    f"""
+    WITH p AS {PATTERNS_SQL},
+        own AS (SELECT *, row_number() OVER (ORDER BY priority DESC, id) = 1 AS here FROM p WHERE pattern_type = 'ConstList' AND field_id = (SELECT max(field_id) FROM p WHERE pattern_type = 'ConstList'))
+    SELECT id, pattern, priority FROM p WHERE id NOT IN (SELECT id FROM own WHERE here)
+    UNION ALL SELECT id, pattern || '|Ward D', priority FROM own WHERE here
+    UNION ALL SELECT max(id) + 1, 'y', 999 FROM p
+    """,
+)
 def append_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, patterns = small_catalogue(spark)
-    return catalog.append_value(catalog.append_value(catalog.append_value(patterns, 2, " Ward D "), 2, "WARD A"), 4, "y").select("id", "pattern")
+    """A term for a field's list, the same in another case, and one for a field without a list."""
+    patterns = patterns_of(spark, sf_dir)
+    field = patterns.filter("pattern_type = 'ConstList'").agg(F.max("field_id")).first()[0]
+    longer = catalog.append_value(catalog.append_value(patterns, field, " Ward D "), field, "WARD D")
+    return catalog.append_value(longer, 99, "y").select("id", "pattern", "priority")
 
 
 @query("clients_latest", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC")
@@ -412,10 +446,24 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("v").cast("long").alias("n"), F.array_join("v", "|").alias("found"))
 
 
-@query("term_parse", "SELECT unnest(['AAKEF', 'Cohen Levi', 'x1', 'y2', 'Z z']) AS term")
+#: Lines of a term file, of every form, from names.
+LINES = (
+    "CASE c_custkey % 9 WHEN 0 THEN '# ' || c_name WHEN 1 THEN '(' || c_name || ')' WHEN 2 THEN '[O`' || c_name || ' x]' WHEN 3 THEN c_name || '|' || c_mktsegment || ' | q'"
+    " WHEN 4 THEN c_name || '   ' || c_mktsegment WHEN 5 THEN '  ' WHEN 6 THEN upper(c_name) || '  a  b' WHEN 7 THEN lower(c_mktsegment) ELSE 'z' END"
+)
+
+
+@query(
+    "term_parse",
+    r"""
+    WITH l AS (SELECT trim(line) AS line FROM (SELECT LINES AS line FROM customer)),
+        p AS (SELECT unnest(CASE WHEN regexp_matches(line, '\S\s{2,}\S') THEN regexp_split_to_array(line, '\s{2,}') WHEN contains(line, '|') THEN string_split(line, '|') ELSE [line] END) AS part FROM l WHERE line <> '' AND NOT starts_with(line, '#')),
+        c AS (SELECT trim(regexp_replace(regexp_replace(trim(part), '^[(\[](.*)[)\]]$', '\1'), '`', '', 'g')) AS term FROM p)
+    SELECT min(term) AS term FROM c WHERE length(term) > 1 GROUP BY lower(term)
+    """.replace("LINES", LINES),
+)
 def term_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ("# no", "", "AAKEF", "(A'AKEF)", "[Cohen Levi]", "x1|y2 | q", "Z z")
-    return parse(spark.createDataFrame([(x,) for x in lines], "value string"))
+    return parse(table(spark, sf_dir, "customer").select(F.expr(LINES).alias("value")))
 
 
 # ---- request log ---------------------------------------------------------------------------------------------------
@@ -466,20 +514,26 @@ def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.by_key(requests, clients)
 
 
+#: Licences that end on days around this one, or on none.
+TODAY = "1996-06-01"
+EXPIRY = "CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END"
+
+
 @query(
     "license_health",
-    "SELECT org_name, CASE WHEN d IS NULL THEN 'missing' WHEN d <= 0 THEN 'expired' WHEN d <= 30 THEN 'expiring_soon' ELSE 'ok' END AS status, d AS days_left FROM (SELECT org_name, CAST(date_diff('day', DATE '2024-06-01', expiry) AS INTEGER) AS d FROM (VALUES ('a', DATE '2024-06-01'), ('b', DATE '2024-06-20'), ('c', DATE '2025-01-01'), ('d', NULL), ('e', DATE '2023-01-01')) AS t(org_name, expiry))",
+    f"""
+    SELECT org_name, CASE WHEN d IS NULL THEN 'missing' WHEN d <= 0 THEN 'expired' WHEN d <= 30 THEN 'expiring_soon' ELSE 'ok' END AS status, d AS days_left
+    FROM (SELECT o_orderkey AS org_name, CAST(date_diff('day', DATE '{TODAY}', {EXPIRY}) AS INTEGER) AS d FROM orders)
+    """,
 )
 def license_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", "2024-06-01"), ("b", "2024-06-20"), ("c", "2025-01-01"), ("d", None), ("e", "2023-01-01")], "org_name string, expiry string")
-    licenses = rows.select("org_name", F.to_date("expiry").alias("expiry_date"))
-    return logs.license_health(licenses, F.to_date(F.lit("2024-06-01"))).select("org_name", "status", "days_left")
+    licenses = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("org_name"), F.expr(EXPIRY).alias("expiry_date"))
+    return logs.license_health(licenses, F.to_date(F.lit(TODAY))).select("org_name", "status", "days_left")
 
 
-@query("dashboard_totals", f"SELECT (SELECT count(*) FROM events) AS requests, {len(FIELDS)} AS fields, {len(PATTERNS)} AS patterns, (SELECT count(*) FROM customer) AS clients")
+@query("dashboard_totals", "SELECT (SELECT count(*) FROM events) AS requests, (SELECT count(*) FROM nation) AS fields, (SELECT count(*) FROM supplier) AS patterns, (SELECT count(*) FROM customer) AS clients")
 def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields, patterns = small_catalogue(spark)
-    return logs.totals(table(spark, sf_dir, "events"), fields, patterns, table(spark, sf_dir, "customer"))
+    return logs.totals(table(spark, sf_dir, "events"), *catalogue_of(spark, sf_dir), table(spark, sf_dir, "customer"))
 
 
 # ---- text functions ------------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from maskweave.functions.table_functions import register as register_functions
 from maskweave.operators.patterns import PatternError, find, type_name
 from maskweave.plans.catalog import Field, Pattern
 from maskweave.plans.redact import redact
@@ -49,6 +50,26 @@ def test_hits(spark, kind, pattern, text, want):
         assert h.value == text[h.start : h.start + h.length]
 
 
+def test_table_function_gives_the_same(spark):
+    """find_spans in SQL, for every type and every text of the cases above."""
+    register_functions(spark)
+    texts = spark.createDataFrame([(i, t) for i, (_, _, t, _) in enumerate(CASES)] + [(-1, None), (-2, "")], "i int, t string")
+    texts.createOrReplaceTempView("texts_of_cases")
+    for kind, pattern in {(k, p) for k, p, _, _ in CASES}:
+        got = spark.sql("SELECT i, s.* FROM texts_of_cases, LATERAL find_spans(t, :kind, :pattern) s", args={"kind": kind, "pattern": pattern}).collect()
+        want = texts.select("i", F.inline(find("t", kind, pattern))).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)), (kind, pattern)
+
+
+def test_table_function_checks_what_it_is_given(spark):
+    register_functions(spark)
+    for call in ("find_spans('x', 'Telepathy', 'x')", "find_spans(1, 'Regex', 'x')", "find_spans('x', 'Regex', '(')", "find_spans('x', 'Regex', NULL)"):
+        with pytest.raises(Exception):
+            spark.sql(f"SELECT * FROM {call}").collect()
+    with pytest.raises(Exception):
+        spark.sql("SELECT s.* FROM VALUES ('a', 'b') AS v(t, p), LATERAL find_spans(t, 'Regex', p) s").collect()
+
+
 def test_bad_raw_pattern_is_refused(spark):
     with pytest.raises(PatternError):
         find("text", "Regex", "(")
