@@ -9,16 +9,14 @@ stands in the gaps are slots. Blocks in slots that are not aside by their elemen
 
 from __future__ import annotations
 
-import html
-import re
 from bisect import bisect, bisect_left
 from collections import Counter, defaultdict
 
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, map_batches, staged
+from .markup import blocks
 
 #: A valid class covers this share of the host's pages, is in order and nested on this share of those it is on, and has
 #: so many tokens; hosts of fewer pages have no template.
@@ -26,124 +24,10 @@ SHARE, LEAST_TOKENS, LEAST_PAGES = 0.9, 3, 5
 #: Template tokens, up to which all hosts' templates are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_TOKENS = 4_000_000
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-
-# Elements by what they do to text.
-RAW = frozenset("script style textarea title noscript template iframe object svg math canvas select option button audio video".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
-MAIN = frozenset("article main".split())
-ASIDE = frozenset("nav footer aside form menu dialog head".split())
-ENDS_P = frozenset("address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-ASIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer masthead menu modal nav navbar"
-    " navigation newsletter notice notices pagination popup promo promoted recommended related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
-)
-
-
-# Words that say nothing of what an element holds.
-PLAIN_NAMES = frozenset("area bar block body bottom box button buttons container content footer form group header inner item items link links list main outer posts row section slot text title top unit wrap wrapper".split())
-
-
-def _aside_name(attributes: str) -> tuple[bool, bool]:
-    """Whether some word of the element's names is one of ASIDE_NAMES; whether one of its names consists of such and plain words."""
-    some = whole = False
-    if "=" in attributes:
-        for m in NAMES.finditer(attributes):
-            for name in (m[1] or m[2] or m[3] or "").lower().split():
-                words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
-                if not ASIDE_NAMES.isdisjoint(words):
-                    some, whole = True, whole or all(w in ASIDE_NAMES or w in PLAIN_NAMES for w in words)
-    return some, whole
-
-
-def _path_name(name: str, attributes: str) -> str:
-    m = NAMES.search(attributes) if "=" in attributes else None
-    return f"{name}.{m[1] or m[2] or m[3] or ''}" if m else name
-
-
-def blocks(page: str, known: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
-    """The tokens in page order, and the blocks of text: (path, text, in an article, aside from the main text).
-
-    Inline tags stay within a block, all others end it. References are decoded, white space becomes one space. Inside an
-    article a name such as social-policy, of which one word alone is an aside's, makes an element aside only if ``known``,
-    the host's template, has that element.
-    """
-    tokens: list[str] = []
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, main, aside
-    held: list[str] = []
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
-        if text:
-            _, path, main, aside = stack[-1]
-            out.append((path, text, main, aside))
-            tokens.append(f"{path} {text}")
-
-    def close(names: tuple[str, ...], within: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in within:
-                return
-
-    at, skip = 0, -1
-    for m in TAG.finditer(page):
-        if m.start() < skip:
-            continue
-        held.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[1]:
-            if name in INLINE:
-                continue
-            flush()
-            if any(s[0] == name for s in stack):
-                close((name,), frozenset())
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = skip = end.end() if end else (at if name in ("option", "button", "object") else len(page))
-            continue
-        if name in INLINE:
-            if name == "br":
-                held.append(" ")
-            continue
-        flush()
-        if name in ENDS_P:
-            close(("p",), frozenset(("article", "body", "td", "div", "section")))
-        if name in CLOSES:
-            close(CLOSES[name], frozenset(("ul", "ol", "dl", "table")))
-        _, path, main, aside = stack[-1]
-        path = f"{path}/{_path_name(name, m[3])}"
-        tokens.append(path)
-        if name in VOID or m[3].endswith("/"):
-            continue
-        some, whole = _aside_name(m[3]) if name not in ("html", "body", "main") and (name != "article" or main) else (False, False)
-        aside = aside or name in ASIDE or (name == "header" and not main) or (some and (whole or not main or _hash(path) in known))
-        main = main or name in MAIN
-        stack.append((name, path, main, aside))
-    held.append(page[max(at, skip) :])
-    flush()
-    return tokens, out
-
-
-def _hash(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def _sequences(batches):
     """Each page's tokens in order, as hashes."""
     for batch in batches:
-        yield {"host": batch["host"], "page_key": batch["page_key"], "tokens": [[_hash(t) for t in blocks(page)[0]] for page in batch["html"]]}
+        yield {"host": batch["host"], "page_key": batch["page_key"], "tokens": [blocks(page)[0] for page in batch["html"]]}
 
 
 def _vectors(batches):
@@ -279,8 +163,8 @@ def _extract(batches):
             known = frozenset(template or ())
             _, found = blocks(page, known)
             articles = any(main and not aside for _, _, main, aside in found)
-            main = [(f"{path} {text}", text) for path, text, main, aside in found if not aside and (main or not articles)]
-            slots = [text for token, text in main if not known or _hash(token) not in known]
+            main = [(token, text) for token, text, main, aside in found if not aside and (main or not articles)]
+            slots = [text for token, text in main if token not in known]
             kept, whole = sum(map(len, slots)), sum(len(text) for _, text in main)
             # What holds most of an article is shared by copies of it and no frame; nor is all that a page has.
             out.append("\n".join([text for _, text in main] if not kept or (articles and 2 * kept <= whole) else slots))
