@@ -289,6 +289,12 @@ class Encoder:
         return b"".join(map(self.packed.__getitem__, self.vocabulary.words(text)))
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, block: bytes | None = None) -> Encoder:
+    """A worker's encoder, which keeps from task to task what it remembers."""
+    return Encoder(path, None if block is None else mapped(block))
+
+
 class Decoder:
     def __init__(self, path: str):
         strings = vocabulary(path).strings
@@ -355,9 +361,9 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path))
 
     def code(batches):
-        encoder, decoder = Encoder(path, mapped(block.value)), Decoder(path)
+        encode, decoder = encoder(path, block.value).encode, Decoder(path)
         for batch in batches:
-            ids = [encoder.encode(t) for t in batch["text"]]
+            ids = [encode(t) for t in batch["text"]]
             yield {
                 "doc_id": batch["doc_id"],
                 "n_tokens": [len(x) and x.count(" ") + 1 for x in ids],
@@ -373,9 +379,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path))
 
     def code(batches):
-        encoder = Encoder(path, mapped(block.value))
+        packed = encoder(path, block.value).encode_packed
         for batch in batches:
-            yield {"doc_id": batch["doc_id"], "ids": [np.frombuffer(encoder.encode_packed(t), "<i4") for t in batch["text"]]}
+            yield {"doc_id": batch["doc_id"], "ids": [np.frombuffer(packed(t), "<i4") for t in batch["text"]]}
 
     return map_batches(texts(docs), code, "doc_id long, ids array<int>")
 

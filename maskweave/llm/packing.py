@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import encoder
 from .common import map_batches, staged, texts
 
 WINDOW = 2048
@@ -77,11 +77,11 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 def _cutter(path: str, window: int):
     def cut(batches):
         """Each document's ids and the end id, as full windows and one remainder."""
-        encoder, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
+        encode, end = encoder(path).encode_packed, np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text, place in zip(batch["doc_id"], batch["text"], batch["place"], strict=True):
-                ids = encoder.encode_packed(text) + end
+                ids = encode(text) + end
                 for at in range(0, len(ids), 4 * window):
                     piece = ids[at : at + 4 * window]
                     rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, place))
