@@ -6,15 +6,23 @@ operator.
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import boxes, logs
+from .functions.text import stem as file_stem
+from .operators import boxes, images, logs
 from .plans import catalog
 from .plans.catalog import Field, Pattern
 from .plans.redact import as_json, redact
 from .queries import FIELDS_SQL, NUMBERS, PATTERNS_SQL, WORD_BOXES, fields_of, patterns_of, query, table, word_boxes
-from .sources import readers, terms, writers
+from .sources import batch, readers, terms, writers
+from .sources.scratch import shared_dir
+from .sources.store import Store, catalogue_migrations
+from .streaming.quota import count_requests
 
 # ---- catalogue edits -----------------------------------------------------------------------------------------------
 
@@ -314,3 +322,108 @@ def license_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     sealed = F.when(F.col("c_custkey") % 4 > 0, F.concat(F.base64(body.cast("binary")), F.lit("."), F.base64(F.lit("seal").cast("binary")))).otherwise(F.lit("no envelope."))
     rows = table(spark, sf_dir, "customer").select("c_custkey", logs.license_of(sealed).alias("l"))
     return rows.select("c_custkey", F.col("l.OrgName").alias("org_name"), F.col("l.RequestQuota").alias("quota"), F.col("l.ExpiryDate").alias("expiry_date"))
+
+
+# ---- folders, pictures, versions -------------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "batch_results",
+    """
+    SELECT 'doc-' || doc_id AS stem, CASE WHEN doc_id % 50 > 0 THEN sha256(text) END AS text_sha256, CASE WHEN doc_id % 50 = 0 THEN 'failed' END AS error,
+           count(*) FILTER (doc_id % 50 > 0) OVER () AS done, count(*) FILTER (doc_id % 50 = 0) OVER () AS failed
+    FROM documents
+    """,
+)
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch's text files, read again, beside what became of each document and the batch's counts."""
+    out = scratch(spark, "batch")
+    source = F.concat(F.lit("in/doc-"), "doc_id", F.lit(".pdf"))
+    rows = table(spark, sf_dir, "documents").select(source.alias("path"), F.col("text").alias("redacted_text"), F.when(F.col("doc_id") % 50 == 0, "failed").alias("error"))
+    counted = batch.write_texts(rows, out)
+    files = readers.plain_text(spark, f"{out}/*.txt").select(file_stem(F.col("path")).alias("stem"), F.sha2("text", 256).alias("text_sha256"))
+    found = batch.outcomes(spark, out, counted["batch"]).select(file_stem(F.col("path")).alias("stem"), "error")
+    return found.join(files, "stem", "left").select("stem", "text_sha256", "error", F.lit(counted["done"]).cast("long").alias("done"), F.lit(counted["failed"]).cast("long").alias("failed"))
+
+
+PIXEL = "CAST(l_quantity AS INT) * 5"
+
+
+@query(
+    "masked_images",
+    f"""
+    WITH p AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) // 16 AS h, {PIXEL} AS v FROM lineitem),
+        q AS (SELECT l_suppkey, h, i % 16 AS x, i // 16 AS y, v FROM p WHERE i < h * 16),
+        b AS (SELECT DISTINCT l_suppkey, l_orderkey % 14 - 1 AS x0, l_partkey % 40 - 2 AS y0 FROM lineitem WHERE l_linenumber = 6),
+        c AS (SELECT DISTINCT l_suppkey, x, y FROM q JOIN b USING (l_suppkey) WHERE x >= x0 AND x < x0 + 4 AND y >= y0 AND y < y0 + 3)
+    SELECT l_suppkey, CAST(16 AS BIGINT) AS width, max(h) AS height, CAST(sum(3 * v) AS BIGINT) AS total, CAST(coalesce(sum(3 * v) FILTER (c.x IS NULL), 0) AS BIGINT) AS masked_total,
+           CAST(sum(3 * (255 - v)) AS BIGINT) AS inverted_total, avg(CASE WHEN v < 128 THEN 1.0 ELSE 0.0 END) > 0.55 AS dark
+    FROM q LEFT JOIN c USING (l_suppkey, x, y) GROUP BY l_suppkey
+    """,
+)
+def masked_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of a supplier's quantities as PNG: boxes painted, darkness measured, colours inverted, all decoded again."""
+    lines = table(spark, sf_dir, "lineitem")
+    pixels = F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity", F.expr(PIXEL).alias("v")))), lambda p: p["v"])
+    pictures = lines.groupBy("l_suppkey").agg(images.from_pixels(pixels, F.lit(16)).alias("content"))
+    left, top = F.col("l_orderkey") % 14 - 1, F.col("l_partkey") % 40 - 2
+    boxes = lines.filter("l_linenumber = 6").select("l_suppkey", left.alias("left"), top.alias("top"), (left + 3.5).alias("right"), (top + 3).alias("bottom"))
+    whole = pictures.select("l_suppkey", images.measured("content").alias("m"), images.is_dark(F.col("content")).alias("dark"), images.measured(images.inverted("content")).alias("i"))
+    masked = images.painted(pictures, boxes, "l_suppkey").select("l_suppkey", images.measured("content").alias("k"))
+    return whole.join(masked, "l_suppkey").select("l_suppkey", "m.width", "m.height", "m.total", F.col("k.total").alias("masked_total"), F.col("i.total").alias("inverted_total"), "dark")
+
+
+@query(
+    "catalog_versions",
+    """
+    SELECT version, fields, patterns, protected, priorities FROM (VALUES (1, 0, 0, NULL, NULL), (2, 0, 0, 0, NULL), (3, 0, 0, 0, 0)) AS v(version, fields, patterns, protected, priorities)
+    UNION ALL SELECT 4, (SELECT count(*) FROM nation), 0, (SELECT count(*) FILTER (n_nationkey % 5 = 0) FROM nation), (SELECT CAST(sum(n_nationkey * 7 % 30) AS BIGINT) FROM nation)
+    UNION ALL SELECT 5, (SELECT count(*) FROM nation), (SELECT count(*) FROM supplier), (SELECT count(*) FILTER (n_nationkey % 5 = 0) FROM nation), (SELECT CAST(sum(n_nationkey * 7 % 30) AS BIGINT) FROM nation)
+    UNION ALL SELECT 6, (SELECT count(*) - 1 FROM nation), (SELECT count(*) FROM supplier WHERE s_nationkey <> 2), (SELECT count(*) FILTER (n_nationkey % 5 = 0 AND n_nationkey <> 2) FROM nation), (SELECT CAST(sum(n_nationkey * 7 % 30) AS BIGINT) FROM nation WHERE n_nationkey <> 2)
+    """,
+)
+def catalog_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored catalogue's versions: three migrations, fields, patterns, and a field deleted with its patterns."""
+    store = Store(spark, scratch(spark, "catalogue"))
+    store.migrate(catalogue_migrations(spark))
+    store.migrate(catalogue_migrations(spark))  # has nothing left to do
+    store.update(lambda tables: {"fields": fields_of(spark, sf_dir)})
+    store.update(lambda tables: {"patterns": patterns_of(spark, sf_dir)})
+    store.update(lambda tables: dict(zip(("fields", "patterns"), catalog.without_field(tables["fields"], tables["patterns"], 3))))
+    rows = []
+    for version in range(1, store.version() + 1):
+        tables = store.read(version)
+        fields, columns = tables["fields"], tables["fields"].columns
+        counted = fields.agg(
+            F.count("*").alias("fields"),
+            F.count_if("is_preserve").alias("protected") if "is_preserve" in columns else F.lit(None).cast("long").alias("protected"),
+            F.coalesce(F.sum("priority"), F.lit(0)).alias("priorities") if "priority" in columns else F.lit(None).cast("long").alias("priorities"),
+        )
+        rows.append(counted.crossJoin(tables["patterns"].agg(F.count("*").alias("patterns"))).select(F.lit(version).alias("version"), "fields", "patterns", "protected", "priorities"))  # one row each
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("log_days", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) FROM events) - INTERVAL 7 DAY GROUP BY 1")
+def log_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log kept by day after its retention: old days' folders are gone, the others as they were written."""
+    events, path = table(spark, sf_dir, "events"), scratch(spark, "log")
+    writers.append_log(events, path, "ts")
+    last = events.agg(F.max("ts").cast("date").alias("d")).first()["d"]
+    writers.drop_days(spark, path, last - timedelta(days=7))
+    return spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("quota_stream", "SELECT user_id AS client, count(*) AS used FROM events GROUP BY user_id")
+def quota_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests counted as they are logged, in two sittings of one stream."""
+    events, log, checkpoint = table(spark, sf_dir, "events"), scratch(spark, "log"), scratch(spark, "counts")
+    store = Store(spark, scratch(spark, "quota"))
+    for part in (0, 1):
+        events.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(events.schema).parquet(log)
+        count_requests(stream, store, checkpoint, "user_id").awaitTermination()
+    return store.read()["quota"]

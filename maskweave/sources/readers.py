@@ -48,6 +48,13 @@ def plain_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.regexp_replace("value", "^\\uFEFF", "").alias("text"))
 
 
+def inline(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """(doc_id, text) of texts that are given with a request; a blank one is refused."""
+    if any(not t or not t.strip() for t in texts):
+        raise ValueError("a text cannot be blank")
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
 def folder(spark: SparkSession, path: str, globs: list[str] | None = None) -> DataFrame:
     """(path, mime, length, content) of a folder's own files; without globs all but .txt files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyarrow import fs
@@ -20,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a folder: a local one, or any that pyarrow reaches by its URI."""
-    return (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder or file: a local one, or any that pyarrow reaches. Names are taken as they are."""
+    if path.startswith("/") or path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + re.sub(r"^(?:file:)?/+", "", path)
+    store, rest = re.match(r"([A-Za-z][A-Za-z0-9+.-]*://[^/]*)(/.*)?$", path).groups()
+    return fs.FileSystem.from_uri(store + "/")[0], (rest or "/") if store.startswith(("hdfs:", "viewfs:")) else store.partition("://")[2] + (rest or "")

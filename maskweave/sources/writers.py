@@ -1,25 +1,35 @@
-"""Sinks: result files, one text a document, the event log."""
+"""Sinks: result files, the request log by day, the event log. Text files are batch.write_texts()."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import stem, truncate
+from ..functions.text import truncate
 
 
 def write_json(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
-def write_texts(results: DataFrame, path: str, text: str = "redacted_text", source: str = "path") -> None:
-    """One folder of text files a document, by its file name's stem; documents that share a stem keep the last by path."""
-    rows = results.groupBy(stem(F.col(source)).alias("stem")).agg(F.max_by(text, source).alias("value"))
-    rows.write.mode("overwrite").partitionBy("stem").option("lineSep", "\n").text(path)
+def append_log(entries: DataFrame, path: str, at: str = "requested_at") -> None:
+    """Log entries in a folder a day, so that a time's entries are few folders and old ones go as folders."""
+    entries.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
 
 
-def append_log(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").parquet(path)
+def drop_days(spark: SparkSession, path: str, before: date) -> list[date]:
+    """Delete the folders of days before a date; the others are neither read nor rewritten. Their days."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    dropped = []
+    for entry in system.listStatus(where):
+        name = entry.getPath().getName()
+        if name.startswith("day=") and name[4:] != "__HIVE_DEFAULT_PARTITION__" and (day := date.fromisoformat(name[4:])) < before:
+            system.delete(entry.getPath(), True)
+            dropped.append(day)
+    return sorted(dropped)
 
 
 def event(results: DataFrame, debug: bool, most: int = 8192) -> DataFrame:

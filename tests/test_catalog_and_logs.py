@@ -108,10 +108,7 @@ def test_readers(spark, tmp_path):
     assert out["a.txt"].text == "one\r\ntwo\n" and out["c.TXT"].text == "x�y" and out["b.zip"].text is None and "unsupported" in out["b.zip"].error
 
 
-def test_writers(spark, tmp_path):
-    rows = spark.createDataFrame([("/in/a.pdf", "A"), ("/in/b.png", "B"), ("/in/b.tif", "B2")], "path string, redacted_text string")
-    writers.write_texts(rows, str(tmp_path / "out"))
-    assert sorted((r.stem, r.value) for r in spark.read.text(str(tmp_path / "out")).collect()) == [("a", "A"), ("b", "B2")]
+def test_event_rows(spark):
     event = spark.createDataFrame([(1, 2, ["f", "g"], "x" * 9, "y")], "doc_id int, match_count int, fields_hit array<string>, text string, redacted_text string")
     assert writers.event(event, False).first().text is None and writers.event(event, True, 4).first().text == "xxxx..."
 
@@ -121,6 +118,11 @@ def test_logs(spark):
     assert [r.id for r in logs.within_retention(rows, F.to_timestamp(F.lit("2024-04-01")), 0).orderBy("id").collect()] == [2, 3]
     assert logs.page_count(rows.limit(0)).first().pages == 1
     assert [r.id for r in logs.page(rows, 2, size=2).collect()] == [1]
+    ids = [*range(0, 400, 3), *range(10**6, 10**6 + 40), -5, -5, None, None]
+    many, latest = spark.createDataFrame([(i,) for i in ids], "id long"), sorted((i for i in ids if i is not None), reverse=True) + [None, None]
+    for n in (1, 2, 4, 25, 26, 40):
+        assert [r.id for r in logs.page(many, n, size=7).collect()] == latest[(n - 1) * 7 : n * 7]
+    assert logs.page(many.limit(0), 3).count() == 0 and logs.page(many.filter("id is null"), 1).count() == 2
     assert not logs.quota_state(logs.quota_used(rows.withColumn("client_id", F.lit(1))), 0).first().refused
     bad = spark.createDataFrame([("[",), ('["a"]',), (None,)], "j string").select(logs.parsed_fields(F.col("j")).alias("f"))
     assert [r.f for r in bad.collect()] == [[], ["a"], []]
