@@ -31,16 +31,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from tokenizers import Tokenizer
 
+from ..sources.scratch import file_system, shared_dir
 from . import simple8b
 from .bpe import byte_letters
-from .common import map_batches, shared_dir, texts
+from .common import map_batches, texts
 
 MAGIC = b"TOKS8B01"
 #: Ids that a task encodes or decodes at once; a longer document is held by itself when it is read.
@@ -49,11 +49,6 @@ MANIFEST = "_manifest.json"
 END_ID = 0
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a folder: a local one, or any that pyarrow reaches by its URI."""
-    return (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
-
-
 # ---- the format ----------------------------------------------------------------------------------------------------
 
 
@@ -180,7 +175,7 @@ class _Writer(DataSourceArrowWriter):
         return (encoder.encode(x.as_py() or "") + self.end for x in batch.column("text"))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, path = _open(self.folder)
+        system, path = file_system(self.folder)
         system.create_dir(path, recursive=True)
         name = f"part-{uuid.uuid4().hex}.toks"  # of its own for each attempt
         file = FileWriter(system.open_output_stream(f"{path}/{name}"))
@@ -190,13 +185,13 @@ class _Writer(DataSourceArrowWriter):
         return Written(TaskContext.get().partitionId(), name, *file.close())
 
     def commit(self, messages: list[Written]) -> None:
-        system, path = _open(self.folder)
+        system, path = file_system(self.folder)
         files = [{"name": m.name, "documents": m.documents, "ids": m.ids} for m in sorted((m for m in messages if m), key=lambda m: m.partition)]
         with system.open_output_stream(f"{path}/{MANIFEST}") as out:
             out.write(json.dumps(files).encode())
 
     def abort(self, messages: list[Written]) -> None:
-        system, path = _open(self.folder)
+        system, path = file_system(self.folder)
         for m in messages:
             if m:
                 system.delete_file(f"{path}/{m.name}")
@@ -208,7 +203,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[OneFile]:
         """A partition a file; one row a file comes to the driver, from the manifest."""
-        system, path = _open(self.folder)
+        system, path = file_system(self.folder)
         with system.open_input_stream(f"{path}/{MANIFEST}") as file:
             files = json.loads(file.read())
         bases = np.cumsum([0, *(f["ids"] for f in files)]).tolist()
@@ -217,7 +212,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's only partition where there are none
             return
-        system, path = _open(self.folder)
+        system, path = file_system(self.folder)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
         with system.open_input_file(f"{path}/{partition.name}") as file:
             yield from FileReader(file).batches(partition.base, schema)
