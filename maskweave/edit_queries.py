@@ -18,11 +18,12 @@ from .operators import boxes, images, logs
 from .plans import catalog
 from .plans.catalog import Field, Pattern
 from .plans.redact import as_json, redact
-from .queries import FIELDS_SQL, NUMBERS, PATTERNS_SQL, WORD_BOXES, fields_of, patterns_of, query, table, word_boxes
+from .queries import FIELDS_SQL, NUMBERS, ORACLES, PATTERNS_SQL, WORD_BOXES, common_fields, fields_of, patterns_of, query, table, word_boxes
 from .sources import batch, readers, terms, writers
 from .sources.scratch import shared_dir
 from .sources.store import Store, catalogue_migrations
 from .streaming.quota import count_requests
+from .streaming.redact import read_folder, redact_stream
 
 # ---- catalogue edits -----------------------------------------------------------------------------------------------
 
@@ -324,6 +325,55 @@ def license_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.col("l.OrgName").alias("org_name"), F.col("l.RequestQuota").alias("quota"), F.col("l.ExpiryDate").alias("expiry_date"))
 
 
+# ---- sources and streams ---------------------------------------------------------------------------------------------
+
+
+@query(
+    "extracted_files",
+    "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN text END AS text, CASE WHEN doc_id % 3 = 0 THEN 'unsupported type application/octet-stream' END AS error FROM documents",
+)
+def extracted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files through the extractors of their types; for some there is none."""
+    path = F.concat(F.lit("/in/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".zip").otherwise(".TXT"))
+    content = F.encode("text", "UTF-8")
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), readers.mime_type(path).alias("mime"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    return readers.extracted(files).select(file_stem(F.col("path")).cast("long").alias("doc_id"), "text", "error")
+
+
+@query("term_bytes", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' é' ELSE chr(CAST(1488 + n_nationkey AS INTEGER)) || 'x' END AS term FROM nation")
+def term_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms in UTF-8 and in windows-1255, told apart by what they hold."""
+    hebrew = F.unhex(F.concat(F.hex(F.col("n_nationkey") + 0xE0), F.lit("78")))
+    content = F.when(F.col("n_nationkey") % 2 == 0, F.encode(F.concat("n_name", F.lit(" é")), "UTF-8")).otherwise(hebrew)
+    return table(spark, sf_dir, "nation").select("n_nationkey", terms.decoded(content).alias("term"))
+
+
+@query(
+    "catalog_loaded",
+    f"""
+    SELECT field_name, coalesce(string_agg(pattern, ';' ORDER BY p.priority DESC, p.id) FILTER (p.id % 3 > 0), '') AS patterns, count(p.id) FILTER (p.id % 3 > 0) AS n
+    FROM {FIELDS_SQL} f LEFT JOIN {PATTERNS_SQL} p ON p.field_id = f.id WHERE is_active AND (client_id IS NULL OR client_id = 2) GROUP BY f.id, field_name
+    """,
+)
+def catalog_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client's catalogue as redact() takes it: patterns by priority, those of unknown types left out."""
+    patterns = patterns_of(spark, sf_dir).withColumn("pattern_type", F.when(F.col("id") % 3 == 0, "Telepathy").otherwise(F.col("pattern_type")))
+    loaded = catalog.load(fields_of(spark, sf_dir), patterns, client_id=2)
+    rows = [(f.name, ";".join(p.pattern for p in catalog.ordered_patterns(f.patterns)), len(f.patterns)) for f in loaded]
+    return spark.createDataFrame(rows, "field_name string, patterns string, n long")
+
+
+@query("stream_redacted", ORACLES["redact_text"])
+def stream_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents redacted as a stream."""
+    out, path = scratch(spark, "redacted"), f"{sf_dir}/documents.parquet"
+    # As a pattern: the table may be a file or a folder.
+    docs = read_folder(spark, f"{sf_dir}/documents.parque[t]", spark.read.parquet(path).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    rows = redact_stream(docs, common_fields()).select("doc_id", "redacted_text", F.col("match_count").cast("long").alias("match_count"))
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "redacting")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("doc_id long, redacted_text string, match_count long").parquet(out)
+
+
 # ---- folders, pictures, versions -------------------------------------------------------------------------------------
 
 
