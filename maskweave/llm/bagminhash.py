@@ -127,7 +127,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def _slices(batch: list[str], size: int = 700_000, rows: int = 1_000):
+def _slices(batch: list[str], size: int = 300_000, rows: int = 1_000):
     begin, total = 0, 0
     for i, t in enumerate(batch):
         total += len(t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -74,10 +76,20 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in make(p.to_pydict() for b in batches for p in pieces(b)):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give back to the system what a task's arrays took: its worker waits for later tasks beside a JVM that needs the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return text_table(spark, f"{sf_dir}/{name}.parquet")
 
