@@ -1,6 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, personal data, packing.
 
-Each stage takes the documents that its predecessor kept, and all but the last return the columns of documents.
+Each stage takes the documents that its predecessor kept, and all but the last return the columns of documents, whatever
+further columns there are and whatever they are called. In every stage an empty table gives an empty result, and a null
+doc_id is a document's like any other.
 """
 
 from __future__ import annotations
@@ -18,22 +20,25 @@ from maskweave.llm.pii import redact
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a learned language; those without a letter, gibberish and other languages go."""
+    """Documents whose text has a learned language; those without a letter (null and empty texts), gibberish and other languages go.
+
+    Repeated rows stay or go together.
+    """
     return accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the first by doc_id."""
+    """One document of each group of equal texts, the first by doc_id; null texts are empty ones. Of repeated rows one stays."""
     return keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the first by doc_id."""
+    """One document of each class of near-duplicates, the first by doc_id; texts without a word are one class."""
     return keep_one(docs)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind, n_chars as of the new text."""
+    """All documents, personal data replaced by its kind, n_chars as of the new text; null texts stay null, repeated rows stay."""
     clean = redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -41,7 +46,7 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token sequences in windows of 2048."""
+    """The documents' token sequences in windows of 2048; null texts have their end id alone, repeated rows are packed each."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

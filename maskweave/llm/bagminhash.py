@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, discard, map_batches, mix, staged, texts
+from .common import MULTIPLIER, discard, map_batches, mix, staged, texts, whole_row
 from .components import components
 
 SHINGLE = 5
@@ -332,10 +332,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated = keys.filter(stays & (F.col("n") > 1)).select("_id", "_hash")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    hashed = docs.select(whole_row(), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text_hash"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     out = hashed.join(dropped, same, "left_anti")
     if not repeated.isEmpty():
-        again = out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+        again = out.join(repeated, same, "left_semi").dropDuplicates(["_doc", "_text_hash"])
         out = out.join(repeated, same, "left_anti").unionByName(again)
-    return out.drop("_text_hash")
+    return out.select("_row.*")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,6 +48,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def whole_row() -> Column:
+    """All columns of a row as one, named _row, beside which others of any name can stand; ``_row.*`` gives them back."""
+    return F.struct("*").alias("_row")
+
+
 #: Rows that a task holds as Python objects at once, and their bytes; a single longer row is held by itself.
 ROWS, BYTES = 1_000, 4_000_000
 Columns = dict[str, object]

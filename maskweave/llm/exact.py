@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, texts
+from .common import staged, texts, whole_row
 
 FP_BITS = 48
 #: Fingerprints that one owner decodes at once, and rows of one chunk: 8 bytes each in a task.
@@ -167,10 +167,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     repeated = keys.filter("stays and n > 1").select("_id", "_sha")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    named = docs.withColumn("_text_sha", F.unhex(F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256)))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    named = docs.select(whole_row(), F.col("doc_id").cast("long").alias("_doc"), F.unhex(F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256)).alias("_text_sha"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
     out = named.join(dropped, same, "left_anti")
     if not repeated.isEmpty():
-        again = out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text_sha"])
+        again = out.join(repeated, same, "left_semi").dropDuplicates(["_doc", "_text_sha"])
         out = out.join(repeated, same, "left_anti").unionByName(again)
-    return out.drop("_text_sha")
+    return out.select("_row.*")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, map_batches, mix, staged, texts
+from .common import MULTIPLIER, map_batches, mix, staged, texts, whole_row
 
 #: Cells of the hashed n-gram table: its size, 8 bytes a cell and language, is the model's size at any corpus size.
 CELLS = 1 << 16
@@ -265,7 +265,11 @@ def _predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
-    """The labelled spans of each text: doc_id, first_word, last_word (counted from 0), lang. Texts without words have none."""
+    """The labelled spans of each text: doc_id, first_word, last_word (counted from 0), lang.
+
+    Null and empty texts, and such without a word, have none, so they have no row; repeated rows and null doc_ids are
+    labelled each on its own. An empty table, and a model without languages, give an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):
@@ -289,7 +293,12 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the rows that aren't held out, then predict all: doc_id, held_out, lang_pred, score."""
+    """Learn from the rows that aren't held out, then predict all: one row per row, doc_id, held_out, lang_pred, score.
+
+    Null and empty texts, and such without a letter, are ``und`` with a score of 0; so is everything where no row has a
+    language to learn. Rows with a null doc_id are not held out; repeated rows are predicted each on its own. An empty
+    table gives an empty result. Other columns than doc_id, text and lang are not looked at.
+    """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
@@ -325,5 +334,5 @@ def accepted(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     rejected = staged(judged.filter(bad).select(F.col("doc_id").alias("_hash")).distinct(), "rejected")
     if rejected.count() <= BROADCAST_ROWS:
         rejected = F.broadcast(rejected)
-    own = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))))
-    return own.join(rejected, F.col("_own") == F.col("_hash"), "left_anti").drop("_own")
+    own = docs.select(whole_row(), F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))).alias("_own"))
+    return own.join(rejected, F.col("_own") == F.col("_hash"), "left_anti").select("_row.*")

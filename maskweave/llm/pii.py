@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import hits, let, scan, swept
 from ..operators.spans import splice
-from .common import discard, staged, texts
+from .common import discard, staged, texts, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 # The forms, with the starts a search can skip told by what stands before.
@@ -229,7 +229,7 @@ def redact(docs: DataFrame) -> DataFrame:
     if more.count() <= BROADCAST_ROWS:
         more = F.broadcast(more)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    held = docs.select(F.struct("*").alias("_row"), *("doc_id", "text")).join(more, same, "left")
+    held = docs.select(whole_row(), "doc_id", "text").join(more, same, "left")
     spans = F.concat(*map(_kind, KINDS), F.coalesce("_more", F.array().cast(NAMED)))
     by_place = F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"]))
     cover = "array<struct<start:int,length:int,replacement:string>>"
