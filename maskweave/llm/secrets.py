@@ -26,11 +26,12 @@ CLASSES = (
     ("alnum", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20, 3.6),
     ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 20, 3.6),
 )
-# Strings that look random and are no secrets.
+# Strings that look random and are no secrets. A word allows what is near it, and no more: a longer string
+# that holds one is searched all the same.
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # a UUID
-    r"|.*(?i:example|placeholder|xxxxxx|changeme|your[-_]).*"
-    r"|(?:0123456789|abcdefghij|ABCDEFGHIJ).*"
+    r"|.{0,40}(?i:example|placeholder|xxxxxx|changeme|your[-_]).{0,40}"
+    r"|(?:0123456789|abcdefghij|ABCDEFGHIJ).{0,60}"
 )
 
 # Pairs of letters that words, names and identifiers are made of; of random letters one pair in four is one.

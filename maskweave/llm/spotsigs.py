@@ -24,8 +24,6 @@ ANCHORS = (
     "der die das und in zu den von mit ist im für ein eine auf dem nicht als auch",
     "el los las y del se por con una su para lo al es como más pero o",
 )
-#: Words that begin with these letters are anchors, too: lists and other texts without common words then have spots.
-ANCHOR_LETTERS = "aeiou"
 #: Anchors that may stand between the two content words of a chain; the second is missing where more do.
 PASSED = 4
 #: Rows of a range of doc_ids, and the most ranges, whose bounds are in the plan. Beyond, ranges hold more rows; they are sorted with spilling.
@@ -34,10 +32,7 @@ MAX_RANGES = 100_000
 
 
 def _is_anchor(word: Column) -> Column:
-    out = word.isin(sorted({w for line in ANCHORS for w in line.split()}))
-    for letter in ANCHOR_LETTERS:
-        out = out | word.startswith(letter)
-    return out
+    return word.isin(sorted({w for line in ANCHORS for w in line.split()}))
 
 
 def with_spots(df: DataFrame, text: str, spots: str) -> DataFrame:
@@ -193,7 +188,8 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Sets meet by rare spots: of two sets that are so alike, the rarest |s| - ceil(t·|s|) + 1 spots of each share one.
     Lengths are cut into ranges by powers of 1/t; a set looks for partners in its own range and the next. Equal sets
-    are one row here, so a group of copies costs no pairs; fingerprint_of() has each document's digest.
+    are one row here, so a group of copies costs no pairs; fingerprint_of() has each document's digest. Null and empty
+    texts, and such without a word, have no spots and no pairs; an empty table gives an empty result.
     """
     # Written before it is filtered: a filter would pull the making of spots into itself, once for each use.
     sets = staged(fingerprint_of(docs).select("digest", "spots").dropDuplicates(["digest"]), "spot-sets")
