@@ -9,7 +9,6 @@ and each host fetches the files once. Both are looked up alike.
 from __future__ import annotations
 
 import mmap
-import os
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterable
