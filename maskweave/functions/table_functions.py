@@ -24,7 +24,8 @@ SPANS = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("le
 @lru_cache(maxsize=256)
 def searcher(kind: str, pattern: str) -> Search:
     """The search that a worker does itself; types that only columns know are refused."""
-    search = getattr(COMPILERS[type_name(kind)](pattern), "search", None)
+    compiler = COMPILERS.get(type_name(kind))  # FileList has none: its terms are a table
+    search = getattr(compiler(pattern), "search", None) if compiler else None
     if search is None:
         raise ValueError(f"{kind} cannot be used as a table function")
     return search

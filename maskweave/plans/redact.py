@@ -24,6 +24,13 @@ def _terms(df: DataFrame, pattern: str) -> DataFrame:
     return dictionary(rows.select(clean_term(F.col("term")).alias("term")))
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def with_matches(df: DataFrame, catalogue: list[Field], text: str = "text", dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
     """df with ``matches``: the spans that are redacted, disjoint and in order.
 
@@ -31,6 +38,7 @@ def with_matches(df: DataFrame, catalogue: list[Field], text: str = "text", dict
     catalogue. Rows need no key: each is looked at by itself. Null texts have no matches.
     """
     source, named_hits = F.col(text), {}
+    drawn, found_in, zones_in = (_unused(df, name) for name in ("_sketch", "_found", "_zones"))
     for n, field in enumerate(catalogue):
         for p in field.patterns if field.is_active else ():
             if p.pattern_type == "FileList":
@@ -45,22 +53,22 @@ def with_matches(df: DataFrame, catalogue: list[Field], text: str = "text", dict
         compiled = COMPILERS.get(p.pattern_type, nothing)(p.pattern)
         if (needs := getattr(compiled, "needs", None)) is None:
             return compiled(source)
-        return F.when(F.col("_sketch").rlike(FLAGS + needs), compiled(source)).otherwise(no_hits())
+        return F.when(F.col(drawn).rlike(FLAGS + needs), compiled(source)).otherwise(no_hits())
 
     active = [(n, f) for n, f in enumerate(catalogue) if f.is_active]
-    df = df.withColumn("_sketch", sketch(source))  # the optimiser drops it where no pattern asks for it
+    df = df.withColumn(drawn, sketch(source))  # the optimiser drops it where no pattern asks for it
     zones = [hits(n, p) for n, f in active if f.is_preserve for p in f.patterns]
     found, place = [], 0
     for n, f in active:
         for p in () if f.is_preserve else ordered_patterns(f.patterns):
             found.append(stamped(hits(n, p), f.name, f.replace_with, place))
             place += 1
-    df = df.withColumn("_found", F.concat(*found) if found else no_candidates())
+    df = df.withColumn(found_in, F.concat(*found) if found else no_candidates())
     if zones:
-        df = df.withColumn("_zones", reduce(lambda a, b: F.concat(a, b), zones))
-        df = df.withColumn("_found", outside(F.col("_found"), F.col("_zones"))).drop("_zones")
-    few = F.when(F.size("_found") > 1, without_overlaps(ordered(F.col("_found")))).otherwise(F.col("_found"))
-    return df.withColumn("matches", few).drop("_found", "_sketch")
+        df = df.withColumn(zones_in, reduce(lambda a, b: F.concat(a, b), zones))
+        df = df.withColumn(found_in, outside(F.col(found_in), F.col(zones_in))).drop(zones_in)
+    few = F.when(F.size(found_in) > 1, without_overlaps(ordered(F.col(found_in)))).otherwise(F.col(found_in))
+    return df.withColumn("matches", few).drop(found_in, drawn)
 
 
 def redact(df: DataFrame, catalogue: list[Field], text: str = "text", dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -92,7 +92,10 @@ def response(rows: DataFrame, extractor: str, text: str = "text") -> DataFrame:
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """(path, mime, length, text, error): a file that no extractor takes, or one fails on, has an error and no text."""
+    """(path, mime, length, text, error): a file that no extractor takes, or one fails on, has an error and no text.
+
+    Files go to Python in batches that Spark cuts at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch); a larger one by itself.
+    """
     extractors = list(EXTRACTORS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -97,6 +97,12 @@ def test_no_shuffle_for_a_catalogue_without_term_lists(spark, sf_dir):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "mail a.b@c.de", "s", "f", "z")], "doc_id int, text string, _sketch string, _found string, _zones string")
+    row = redact(df, [*builtin(), Field("keep", (Pattern("WholeWord", "mail"),), is_preserve=True)]).first()
+    assert (row.redacted_text, row._sketch, row._found, row._zones) == ("mail [email]", "s", "f", "z")
+
+
 def test_json(spark):
     df = spark.createDataFrame([(1, "to a.b@c.de")], "doc_id int, text string")
     row = as_json(redact(df, builtin())).first()
