@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .common import map_batches, staged, texts
+from .common import KEPT, map_batches, staged, texts
 
 #: Words in the automaton: with their ids a few MB, broadcast to the executors.
 LEXICON_WORDS = 65_536
@@ -295,6 +295,9 @@ def encoder(path: str, block: bytes | None = None) -> Encoder:
     return Encoder(path, None if block is None else mapped(block))
 
 
+KEPT["encoder"] = encoder.cache_clear
+
+
 class Decoder:
     def __init__(self, path: str):
         strings = vocabulary(path).strings
@@ -371,7 +374,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 "decoded_sha256": [_sha256(decoder.decode(x)) for x in ids],
             }
 
-    return map_batches(texts(docs), code, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(texts(docs), code, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep="encoder")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -383,7 +386,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield {"doc_id": batch["doc_id"], "ids": [np.frombuffer(packed(t), "<i4") for t in batch["text"]]}
 
-    return map_batches(texts(docs), code, "doc_id long, ids array<int>")
+    return map_batches(texts(docs), code, "doc_id long, ids array<int>", keep="encoder")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

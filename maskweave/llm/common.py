@@ -74,11 +74,26 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def map_batches(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Iterable[Columns]], schema: str) -> DataFrame:
-    """df's rows as dicts of lists, a few at a time, through ``make``, whose dicts of columns become rows of ``schema``."""
+#: What a worker keeps from task to task, by name, and how that is dropped.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(keep: str) -> None:
+    """Drop what tasks of other kinds have left in this worker."""
+    for name, drop in KEPT.items():
+        if name != keep:
+            drop()
+
+
+def map_batches(df: DataFrame, make: Callable[[Iterator[dict[str, list]]], Iterable[Columns]], schema: str, keep: str = "") -> DataFrame:
+    """df's rows as dicts of lists, a few at a time, through ``make``, whose dicts of columns become rows of ``schema``.
+
+    Of what KEPT names, only ``keep`` outlasts the task's beginning.
+    """
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keep)
         for columns in make(p.to_pydict() for b in batches for p in pieces(b)):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
         release()

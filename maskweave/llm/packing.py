@@ -114,7 +114,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     however many rows have one doc_id or none.
     """
     rows = texts(docs).withColumn("place", F.monotonically_increasing_id())
-    pieces = map_batches(rows, _cutter(path, window), ", ".join(f"{c} long" for c in PLACED))
+    pieces = map_batches(rows, _cutter(path, window), ", ".join(f"{c} long" for c in PLACED), keep="encoder")
     pieces = staged(pieces, "pieces")
     shards = max(1, round(pieces.count() / SHARD_PIECES))
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("place", "start"), F.lit(shards))).withColumn("shards", F.lit(shards))
