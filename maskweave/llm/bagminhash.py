@@ -16,6 +16,10 @@ BANDS, BAND_ROWS = 25, 5
 COMPONENTS = BANDS * BAND_ROWS
 #: Rounds in which a bucket's texts are compared with one leader, before the rest is joined exactly.
 STAR_ROUNDS = 4
+#: Likewise texts that share one of their rarest items, while a row would be joined to more than so many others and the last round has halved the pairs.
+PAIRS_A_ROW = 8
+#: 64-bit words of a multiset's parities; multisets differ in as many items at least as their parities in bits.
+PARITY_WORDS = 16
 #: Rows up to which keys, leaders and decisions (16 to 40 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 250_000
 
@@ -161,16 +165,19 @@ def _sketch(batches):
 
 
 def _bag(batches):
-    """Each text's shingles as a sorted array: the second, third, ... of a shingle has a hash of its own."""
+    """Each text's shingles as a sorted array, the second, third, ... of a shingle with a hash of its own; and how often items fall on each bit, modulo 2."""
     for batch in batches:
         for a, b in _slices(batch["text"]):
             document, key, weight = counted(*shingles(batch["text"][a:b]))
             entry = np.repeat(np.arange(len(key)), weight)
             turn = np.arange(len(entry)) - np.repeat(np.cumsum(weight) - weight, weight)
-            item = np.where(turn > 0, mix(key[entry] + turn.astype(_U)), key[entry]).view(np.int64)
+            item = np.where(turn > 0, mix(key[entry] + turn.astype(_U)), key[entry])
             own = document[entry]
             cuts = np.searchsorted(own, np.arange(b - a + 1))
-            yield {"rep": batch["rep"][a:b], "bag": [np.sort(item[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]}
+            parity = np.zeros((b - a, PARITY_WORDS), _U)
+            np.bitwise_xor.at(parity, (own, (item >> _U(6)) % _U(PARITY_WORDS)), _U(1) << (item & _U(63)))
+            item = item.view(np.int64)
+            yield {"rep": batch["rep"][a:b], "bag": [np.sort(item[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)], "parity": list(parity.view(np.int64))}
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -185,9 +192,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     Equal multisets are one representative from the start. In each round every text of a bucket meets the bucket's
     leader, who then leaves it, as long as the bucket holds several classes: a class of any size costs a few comparisons
-    a text, and a bucket of few texts is decided. What buckets are left after STAR_ROUNDS is joined exactly, by the
-    rarest items of the multisets. So every pair that shares a bucket is compared, or known to be connected, or known to
-    be too unlike.
+    a text, and a bucket of few texts is decided. Of what buckets are left after STAR_ROUNDS, texts that share one of
+    their rarest items meet likewise, the most ordinary ones first, and what is left then is joined exactly. So every
+    pair that shares a bucket is compared, or known to be connected, or known to be too unlike.
     """
     hashed = texts(docs).withColumn("text_hash", F.xxhash64("text"))
     rows = staged(map_batches(hashed, _sketch, "doc_id long, text_hash long, k1 long, k2 long, n long, bands array<long>"), "sketches")
@@ -201,7 +208,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     labels = staged(placed.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash", "copies"), "rep").withColumn("component", F.col("rep")), "labels")
     wanted = labels.select("rep", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     found = hashed.join(_bounded(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("rep", "text")
-    bags = staged(map_batches(found, _bag, "rep long, bag array<long>").dropDuplicates(["rep"]), "bags")
+    bags = staged(map_batches(found, _bag, "rep long, bag array<long>, parity array<long>").dropDuplicates(["rep"]), "bags")
     discard(shared)
 
     apart: list[DataFrame] = []
@@ -217,9 +224,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
         placed = _relabelled(met.select("group", "rep", "n", "component"), merged, "buckets")
         discard(met, merged)
     if placed is not None:
-        merged = _merged(_compare(_by_rarest_items(placed, bags), bags, apart))
+        rare = _rarest_items(placed, bags)
+        discard(placed)
+        before, (n_rows, pairs) = None, _sizes(rare)
+        while pairs > PAIRS_A_ROW * n_rows and (before is None or pairs <= before / 2):
+            met = _meet(rare, "common")
+            discard(rare)
+            merged = _merged(_compare(met.filter(_fit()), bags, apart))
+            labels = _relabelled(labels, merged, "labels")
+            rare = _relabelled(met.select("group", "rep", "n", "component", "place", "common"), merged, "rare-items")
+            discard(met, merged)
+            before, (n_rows, pairs) = pairs, _sizes(rare)
+        candidates = _item_pairs(rare, bags)
+        merged = _merged(_compare(candidates, bags, apart))
         labels = _relabelled(labels, merged, "labels")
-        discard(placed, merged)
+        discard(rare, candidates, merged)
     discard(bags, *apart)
 
     classes = staged(labels.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
@@ -242,14 +261,17 @@ def _may_be_near(n: str, n_2: str) -> Column:
     return F.least(n, n_2) >= F.greatest(n, n_2) * F.lit(THRESHOLD) - 1e-9
 
 
-def _meet(placed: DataFrame) -> DataFrame:
-    """Each row of placed(group, rep, n, component) beside its group's leader, who drops out; groups of one component are left out.
+def _meet(placed: DataFrame, first: str | None = None) -> DataFrame:
+    """Each row of placed(group, rep, n, component, ...) beside its group's leader, who drops out; groups of one component are left out.
 
-    The leader is the member with the least hash: the same one in most of the groups that two texts share.
+    The leader is the member with the greatest value of ``first``, and of these that with the least hash: the same one
+    in most of the groups that two texts share. Its columns are called leader, n_2, component_2, ...
     """
-    leader = F.min(F.struct(F.xxhash64("rep").alias("order"), "rep", "n", "component")).alias("leader")
+    others = [c for c in placed.columns if c not in ("group", "rep", first)]
+    order = [*([(-F.col(first)).alias("first")] if first else []), F.xxhash64("rep").alias("order")]
+    leader = F.min(F.struct(*order, "rep", *others)).alias("leader")
     led = placed.groupBy("group").agg(leader, F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-    led = staged(led.select("group", F.col("leader.rep").alias("leader"), F.col("leader.n").alias("n_2"), F.col("leader.component").alias("component_2")), "leaders")
+    led = staged(led.select("group", F.col("leader.rep").alias("leader"), *(F.col(f"leader.{c}").alias(f"{c}_2") for c in others)), "leaders")
     met = staged(placed.join(_bounded(led), "group").filter("rep != leader"), "met")
     discard(led)
     return met
@@ -290,30 +312,62 @@ def _relabelled(df: DataFrame, merged: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _by_rarest_items(placed: DataFrame, bags: DataFrame) -> DataFrame:
-    """Candidate pairs, each once, of placed(group, rep, n, component): (rep, leader, n, n_2, component, component_2).
+def _rarest_items(placed: DataFrame, bags: DataFrame) -> DataFrame:
+    """(group, rep, n, component, place, common) of the rarest items of each text of placed(group, rep, n, component).
 
     Multisets of sizes n and m are near only if they share 4/9 (n + m) items. So they share one at a place, from the
-    rarest on, of at most n - ceil(4/9 (n + m)) + 1 in the one and likewise in the other. Of an item's components, the
-    smaller ones meet all: members of the largest need no partners among themselves.
+    rarest on, of at most n - ceil(4/9 (n + m)) + 1 in the one and likewise in the other. A group is an item that several
+    texts have; ``common`` is how many have a text's rarest items in the mean, so it is great for those that others vary.
     """
-    share = F.lit(THRESHOLD / (1 + THRESHOLD))
     apart = staged(placed.select("rep", "n", "component").distinct(), "apart-texts")
-    items = staged(apart.join(bags, "rep").select("rep", "n", "component", F.explode("bag").alias("item")), "items")
+    items = staged(apart.join(bags.select("rep", "bag"), "rep").select("rep", "n", "component", F.explode("bag").alias("item")), "items")
     often = items.groupBy("item").agg(F.count("*").alias("df"))
     ranked = items.join(often, "item").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
-    places = ranked.select("rep", "n", "component", F.posexplode(F.slice("items", 1, (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1).cast("int"))).alias("place", "it"))
-    rare = staged(places.filter("it.df > 1").select("rep", "n", "component", F.col("it.item").alias("item"), (F.col("place") + 1).alias("place")), "rare-items")
-    sizes = rare.groupBy("item", "component").agg(F.count("*").alias("size"))
-    main = staged(sizes.groupBy("item").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("several")).filter("several > 1").select("item", F.col("main.component").alias("main")), "main")
-    mixed = staged(rare.join(_bounded(main), "item"), "mixed")
-    few = mixed.filter("component != main").select("item", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "place")))
-    needed = F.ceil(share * (F.col("n") + F.col("n_2")) - 1e-9)
+    ranked = ranked.withColumn("items", F.slice("items", 1, (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1).cast("int")))
+    common = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["df"]) / F.size("items")
+    places = ranked.select("rep", "n", "component", common.alias("common"), F.posexplode("items").alias("place", "it"))
+    rare = staged(places.filter("it.df > 1").select(F.col("it.item").alias("group"), "rep", "n", "component", (F.col("place") + 1).alias("place"), "common"), "rare-items")
+    discard(apart, items)
+    return rare
+
+
+def _fit() -> Column:
+    """Whether rows that share a rare item, of two components, can be near by their sizes and the item's places."""
+    needed = F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("n") + F.col("n_2")) - 1e-9)
+    return _may_be_near("n", "n_2") & (F.col("component") != F.col("component_2")) & (F.col("place") <= F.col("n") - needed + 1) & (F.col("place_2") <= F.col("n_2") - needed + 1)
+
+
+def _mains(rare: DataFrame) -> DataFrame:
+    """(group, main, size, members): each item's largest component, for items of several components."""
+    sizes = rare.groupBy("group", "component").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("group").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("several"), F.sum("size").alias("members"))
+    return most.filter("several > 1").select("group", F.col("main.component").alias("main"), F.col("main.size").alias("size"), "members")
+
+
+def _sizes(rare: DataFrame) -> tuple[int, float]:
+    """The rows of items of several components, and the pairs that a join of them meets."""
+    others = F.col("members") - F.col("size")
+    found = _mains(rare).agg(F.sum("members").alias("rows"), F.sum(F.col("size") * others + others * others / 2).alias("pairs")).first()
+    return found["rows"] or 0, found["pairs"] or 0
+
+
+def _item_pairs(rare: DataFrame, bags: DataFrame) -> DataFrame:
+    """Candidate pairs, each once, of rare(group, rep, n, component, place): (rep, leader, component, component_2).
+
+    Of an item's components, the smaller ones meet all: members of the largest need no partners among themselves.
+    Multisets that are near differ in (n + m) / 9 items at most, so their parities do in no more bits.
+    """
+    main = staged(_mains(rare).select("group", "main"), "main")
+    left = staged(rare.join(_bounded(main), "group"), "mixed")
+    parities = bags.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "parity")
+    mixed = staged(left.join(parities, "rep"), "mixed-parities")
+    few = mixed.filter("component != main").select("group", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "place", "parity")))
     # Of two members of smaller components, the pair is made once.
     once = (F.col("component") == F.col("main")) | (F.col("rep") > F.col("rep_2"))
-    fit = once & _may_be_near("n", "n_2") & (F.col("component") != F.col("component_2")) & (F.col("place") <= F.col("n") - needed + 1) & (F.col("place_2") <= F.col("n_2") - needed + 1)
-    pairs = staged(mixed.join(few, "item").filter(fit).select("rep", F.col("rep_2").alias("leader"), "n", "n_2", "component", "component_2").distinct(), "item-pairs")
-    discard(apart, items, rare, main, mixed)
+    bits = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity_2", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    alike = bits <= F.lit((1 - THRESHOLD) / (1 + THRESHOLD)) * (F.col("n") + F.col("n_2")) + 1e-9
+    pairs = staged(mixed.join(few, "group").filter(once & _fit() & alike).select("rep", F.col("rep_2").alias("leader"), "component", "component_2").distinct(), "item-pairs")
+    discard(main, left, mixed)
     return pairs
 
 

@@ -90,6 +90,27 @@ def test_near_classes_link_chains_and_groups(spark):
     assert [got[i] for i, _ in rows] == want and len(set(want)) == 3
 
 
+def test_near_copies_of_one_text_meet_few_others(spark, monkeypatch):
+    """Copies of one text with a few words changed, near some and apart from most: classes are exact, comparisons do not grow with the square."""
+    rng, base = np.random.default_rng(3), [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for place in rng.choice(150, k % 3 + 2, replace=False):
+            words[place] = f"new{k}x{place}"
+        rows.append((k, " ".join(words)))
+    compared, compare = [], bagminhash._compare
+
+    def counted(pairs, *rest):
+        compared.append(pairs.select("rep", "leader").distinct().count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(bagminhash, "_compare", counted)
+    got = {r.doc_id: r.class_id for r in bagminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == classes(rows)
+    assert compared[-1] < 300, compared
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     got, want = [], []
