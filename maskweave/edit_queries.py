@@ -395,9 +395,8 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit("in/doc-"), "doc_id", F.lit(".pdf"))
     rows = table(spark, sf_dir, "documents").select(source.alias("path"), F.col("text").alias("redacted_text"), F.when(F.col("doc_id") % 50 == 0, "failed").alias("error"))
     counted = batch.write_texts(rows, out)
-    files = readers.plain_text(spark, f"{out}/*.txt").select(file_stem(F.col("path")).alias("stem"), F.sha2("text", 256).alias("text_sha256"))
     found = batch.outcomes(spark, out, counted["batch"]).select(file_stem(F.col("path")).alias("stem"), "error")
-    return found.join(files, "stem", "left").select("stem", "text_sha256", "error", F.lit(counted["done"]).cast("long").alias("done"), F.lit(counted["failed"]).cast("long").alias("failed"))
+    return batch.with_texts(found, out).select("stem", F.sha2("text", 256).alias("text_sha256"), "error", F.lit(counted["done"]).cast("long").alias("done"), F.lit(counted["failed"]).cast("long").alias("failed"))
 
 
 PIXEL = "CAST(l_quantity AS INT) * 5"

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions.text import stem
@@ -122,6 +123,40 @@ def outcomes(spark: SparkSession, path: str, batch: str) -> DataFrame:
     return spark.read.schema(schema).json([f"{path}/{OUTCOMES}/{batch}/{n}" for n in names])
 
 
+#: Characters of texts, and rows, that a task holds at once when it reads a batch's files; a longer text by itself.
+READ_CHARS, READ_ROWS = 4_000_000, 1_000
+
+
+def with_texts(found: DataFrame, path: str, name: str = "stem") -> DataFrame:
+    """found with ``text``, that of the folder's ``<name>.txt``, null where there is none: each row opens its own file, and nothing lists the folder."""
+    schema = T.StructType([*found.schema.fields, T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, where = file_system(path)
+
+        def text(stem: str | None) -> str | None:
+            try:
+                with system.open_input_stream(f"{where}/{stem}.txt", compression=None) as file:
+                    return None if stem is None else file.read().decode("utf-8-sig", "replace")
+            except FileNotFoundError:
+                return None
+
+        def out(batch: pa.RecordBatch, begin: int, texts: list[str | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.slice(begin, len(texts)).columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+
+        for batch in batches:
+            begin, texts, held = 0, [], 0
+            for stem in batch.column(batch.schema.get_field_index(name)):
+                texts.append(text(stem.as_py()))
+                held += len(texts[-1] or "")
+                if held >= READ_CHARS or len(texts) >= READ_ROWS:
+                    yield out(batch, begin, texts)
+                    begin, texts, held = begin + len(texts), [], 0
+            yield out(batch, begin, texts)
+
+    return found.mapInArrow(run, schema)
+
+
 # ---- moving ----------------------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from maskweave import edit_queries
 from maskweave.functions import raster
 from maskweave.operators import images
 from maskweave.plans.builtin import builtin
@@ -55,6 +56,16 @@ def test_texts_of_documents(spark, tmp_path):
     assert batch.write_texts(rows.limit(0), str(tmp_path / "none"))["done"] == 0
 
 
+def test_a_batch_reads_its_own_files_without_listing_them(spark, sf_dir, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"/in/{n}.pdf", t, None) for n, t in (("a", "A"), ("b [1]", "\ufeffB\r\n"), ("c d%", None))], "path string, redacted_text string, error string")
+    batch.write_texts(rows, str(tmp_path))
+    monkeypatch.setattr(batch, "READ_ROWS", 2)
+    found = spark.createDataFrame([("a", 1), ("none", 2), ("b [1]", 3), (None, 4), ("c d%", 5)], "stem string, k int").coalesce(1)
+    assert [(r.k, r.text) for r in batch.with_texts(found, str(tmp_path)).collect()] == [(1, "A"), (2, None), (3, "\ufeffB\r\n"), (4, None), (5, "")]
+    plan = edit_queries.batch_results(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Format: Text" not in plan and "FileScan text" not in plan and "Join" not in plan
+
+
 def test_a_configured_batch(spark, tmp_path):
     """Files are redacted, failed ones stay, the others move; run again there is nothing left but the failed one."""
     inbox, out = tmp_path / "in box", tmp_path / "out"
