@@ -14,7 +14,7 @@ THRESHOLD = 0.8
 #: At a likeness of 0.8 a pair shares one of 25 bands of 5 components with probability 0.99995.
 BANDS, BAND_ROWS = 25, 5
 COMPONENTS = BANDS * BAND_ROWS
-#: Rounds in which a bucket's texts are compared with one leader, before the rest is joined exactly.
+#: Rounds at most in which a bucket's texts are compared with one leader, before the rest is joined exactly; they end once one has not halved the rows.
 STAR_ROUNDS = 4
 #: Likewise texts that share one of their rarest items, while a row would be joined to more than so many others and the last round has halved the pairs.
 PAIRS_A_ROW = 8
@@ -192,7 +192,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     Equal multisets are one representative from the start. In each round every text of a bucket meets the bucket's
     leader, who then leaves it, as long as the bucket holds several classes: a class of any size costs a few comparisons
-    a text, and a bucket of few texts is decided. Of what buckets are left after STAR_ROUNDS, texts that share one of
+    a text, and a bucket of few texts is decided. Of what buckets are left when rounds no longer halve them, texts that share one of
     their rarest items meet likewise, the most ordinary ones first, and what is left then is joined exactly. So every
     pair that shares a bucket is compared, or known to be connected, or known to be too unlike.
     """
@@ -208,28 +208,34 @@ def near_classes(docs: DataFrame) -> DataFrame:
     labels = staged(placed.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash", "copies"), "rep").withColumn("component", F.col("rep")), "labels")
     wanted = labels.select("rep", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     found = hashed.join(_bounded(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("rep", "text")
-    bags = staged(map_batches(found, _bag, "rep long, bag array<long>, parity array<long>").dropDuplicates(["rep"]), "bags")
+    bags = staged(map_batches(found, _bag, "rep long, bag array<long>, parity array<long>"), "bags")
+    if bags.count() > labels.count():  # rows that repeat a doc_id and its text, which well-formed tables lack
+        repeated, bags = bags, staged(bags.dropDuplicates(["rep"]), "bags")
+        discard(repeated)
     discard(shared)
 
     apart: list[DataFrame] = []
-    for _ in range(STAR_ROUNDS):
-        met = _meet(placed)
-        discard(placed)
-        if met.isEmpty():
-            placed = None
-            break
-        pairs = met.select("rep", "leader", "n", "n_2", "component", "component_2").filter(_may_be_near("n", "n_2") & (F.col("component") != F.col("component_2")))
+    turn, before = 0, None
+    led, mixed = _leaders(placed)
+    while mixed and turn < STAR_ROUNDS and (before is None or mixed <= before / 2):
+        met = _meet(placed, led)
+        discard(placed, led)
+        pairs = met.filter(_may_be_near("n", "n_2") & (F.col("component") != F.col("component_2")))
         merged = _merged(_compare(pairs, bags, apart))
         labels = _relabelled(labels, merged, "labels")
         placed = _relabelled(met.select("group", "rep", "n", "component"), merged, "buckets")
         discard(met, merged)
-    if placed is not None:
-        rare = _rarest_items(placed, bags)
-        discard(placed)
+        turn, before = turn + 1, mixed
+        led, mixed = _leaders(placed)
+    if mixed:
+        rare = _rarest_items(placed.join(_bounded(led.select("group")), "group", "left_semi"), bags)
+    discard(placed, led)
+    if mixed:
         before, (n_rows, pairs) = None, _sizes(rare)
         while pairs > PAIRS_A_ROW * n_rows and (before is None or pairs <= before / 2):
-            met = _meet(rare, "common")
-            discard(rare)
+            led, _ = _leaders(rare, "common")
+            met = _meet(rare, led)
+            discard(rare, led)
             merged = _merged(_compare(met.filter(_fit()), bags, apart))
             labels = _relabelled(labels, merged, "labels")
             rare = _relabelled(met.select("group", "rep", "n", "component", "place", "common"), merged, "rare-items")
@@ -261,8 +267,8 @@ def _may_be_near(n: str, n_2: str) -> Column:
     return F.least(n, n_2) >= F.greatest(n, n_2) * F.lit(THRESHOLD) - 1e-9
 
 
-def _meet(placed: DataFrame, first: str | None = None) -> DataFrame:
-    """Each row of placed(group, rep, n, component, ...) beside its group's leader, who drops out; groups of one component are left out.
+def _leaders(placed: DataFrame, first: str | None = None) -> tuple[DataFrame, int]:
+    """The leader of each group of placed(group, rep, n, component, ...) that has several components, and how many rows those groups have.
 
     The leader is the member with the greatest value of ``first``, and of these that with the least hash: the same one
     in most of the groups that two texts share. Its columns are called leader, n_2, component_2, ...
@@ -270,29 +276,38 @@ def _meet(placed: DataFrame, first: str | None = None) -> DataFrame:
     others = [c for c in placed.columns if c not in ("group", "rep", first)]
     order = [*([(-F.col(first)).alias("first")] if first else []), F.xxhash64("rep").alias("order")]
     leader = F.min(F.struct(*order, "rep", *others)).alias("leader")
-    led = placed.groupBy("group").agg(leader, F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-    led = staged(led.select("group", F.col("leader.rep").alias("leader"), *(F.col(f"leader.{c}").alias(f"{c}_2") for c in others)), "leaders")
-    met = staged(placed.join(_bounded(led), "group").filter("rep != leader"), "met")
-    discard(led)
-    return met
+    led = placed.groupBy("group").agg(leader, F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x != y")
+    led = staged(led.select("group", F.col("leader.rep").alias("leader"), *(F.col(f"leader.{c}").alias(f"{c}_2") for c in others), "members"), "leaders")
+    return led, led.agg(F.sum("members")).first()[0] or 0
+
+
+def _meet(placed: DataFrame, led: DataFrame) -> DataFrame:
+    """Each row of placed beside its group's leader, who drops out; groups without one of led are left out."""
+    return staged(placed.join(_bounded(led.drop("members")), "group").filter("rep != leader"), "met")
 
 
 def _compare(pairs: DataFrame, bags: DataFrame, apart: list[DataFrame]) -> DataFrame:
-    """The components that near ones of pairs(rep, leader, component, component_2) link; pairs that aren't near go into ``apart``.
+    """The components that near ones of pairs(rep, leader, n, n_2, component, component_2) link; those compared that aren't near go into ``apart``.
 
-    Row by row in the JVM, where two multisets are all that is held. Pairs take up the bag of ``rep`` first, so that a
+    Parities come first: a few bytes a text show most pairs to be too unlike. The rest are compared row by row in the
+    JVM, where two multisets are all that is held; only theirs move. Pairs take up the bag of ``rep`` first, so that a
     leader of many texts makes a partition of many bytes, which adaptive execution splits.
     """
-    pairs = pairs.select("rep", "leader", "component", "component_2").distinct()
+    pairs = pairs.select("rep", "leader", "n", "n_2", "component", "component_2").distinct()
     for known in apart:
         pairs = pairs.join(known, ["rep", "leader"], "left_anti")
-    left, right = (bags.select(F.col("rep").alias(x), F.col("bag").alias(f"bag_{x}")) for x in ("rep", "leader"))
+    pairs = staged(pairs, "pairs")
+    of = lambda what, whose, name: bags.select(F.col("rep").alias(whose), F.col(what).alias(name))
+    alike = of("parity", "rep", "parity").join(_bounded(pairs), "rep").join(of("parity", "leader", "parity_2"), "leader").filter(_alike())
+    likely = staged(alike.select("rep", "leader", "component", "component_2"), "likely")
+    leaders = staged(likely.select("leader").distinct(), "leaders")
+    left, right = of("bag", "rep", "bag_rep").join(_bounded(likely), "rep"), of("bag", "leader", "bag_leader").join(_bounded(leaders), "leader", "left_semi")
     both = F.size(F.array_intersect("bag_rep", "bag_leader"))
     near = both >= F.lit(THRESHOLD) * (F.size("bag_rep") + F.size("bag_leader") - both) - 1e-9
-    done = staged(pairs.join(left, "rep").join(right, "leader").select("rep", "leader", "component", "component_2", near.alias("near")), "compared")
+    done = staged(left.join(right, "leader").select("rep", "leader", "component", "component_2", near.alias("near")), "compared")
     apart.append(staged(done.filter("NOT near").select("rep", "leader"), "apart"))
     links = staged(done.filter("near").select(F.col("component").alias("a"), F.col("component_2").alias("b")).distinct(), "links")
-    discard(done)
+    discard(pairs, likely, leaders, done)
     return links
 
 
@@ -337,6 +352,12 @@ def _fit() -> Column:
     return _may_be_near("n", "n_2") & (F.col("component") != F.col("component_2")) & (F.col("place") <= F.col("n") - needed + 1) & (F.col("place_2") <= F.col("n_2") - needed + 1)
 
 
+def _alike() -> Column:
+    """Whether two texts can be near by their parities: near multisets differ in (n + m) / 9 items at most, so their parities do in no more bits."""
+    bits = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity_2", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    return bits <= F.lit((1 - THRESHOLD) / (1 + THRESHOLD)) * (F.col("n") + F.col("n_2")) + 1e-9
+
+
 def _mains(rare: DataFrame) -> DataFrame:
     """(group, main, size, members): each item's largest component, for items of several components."""
     sizes = rare.groupBy("group", "component").agg(F.count("*").alias("size"))
@@ -352,10 +373,9 @@ def _sizes(rare: DataFrame) -> tuple[int, float]:
 
 
 def _item_pairs(rare: DataFrame, bags: DataFrame) -> DataFrame:
-    """Candidate pairs, each once, of rare(group, rep, n, component, place): (rep, leader, component, component_2).
+    """Candidate pairs, each once, of rare(group, rep, n, component, place): (rep, leader, n, n_2, component, component_2).
 
     Of an item's components, the smaller ones meet all: members of the largest need no partners among themselves.
-    Multisets that are near differ in (n + m) / 9 items at most, so their parities do in no more bits.
     """
     main = staged(_mains(rare).select("group", "main"), "main")
     left = staged(rare.join(_bounded(main), "group"), "mixed")
@@ -364,9 +384,7 @@ def _item_pairs(rare: DataFrame, bags: DataFrame) -> DataFrame:
     few = mixed.filter("component != main").select("group", *(F.col(c).alias(f"{c}_2") for c in ("rep", "n", "component", "place", "parity")))
     # Of two members of smaller components, the pair is made once.
     once = (F.col("component") == F.col("main")) | (F.col("rep") > F.col("rep_2"))
-    bits = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity_2", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
-    alike = bits <= F.lit((1 - THRESHOLD) / (1 + THRESHOLD)) * (F.col("n") + F.col("n_2")) + 1e-9
-    pairs = staged(mixed.join(few, "group").filter(once & _fit() & alike).select("rep", F.col("rep_2").alias("leader"), "component", "component_2").distinct(), "item-pairs")
+    pairs = staged(mixed.join(few, "group").filter(once & _fit() & _alike()).select("rep", F.col("rep_2").alias("leader"), "n", "n_2", "component", "component_2").distinct(), "item-pairs")
     discard(main, left, mixed)
     return pairs
 

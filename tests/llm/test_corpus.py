@@ -111,6 +111,29 @@ def test_near_copies_of_one_text_meet_few_others(spark, monkeypatch):
     assert compared[-1] < 300, compared
 
 
+def test_texts_that_are_near_none_meet_few_leaders(spark, monkeypatch):
+    """Copies of one text, most of them apart: rounds end once they do not halve the rows, and parities spare most multisets the comparison."""
+    rng, base = np.random.default_rng(4), [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(200):
+        words = list(base)
+        for place in rng.choice(150, 2 if k % 20 == 0 else 5, replace=False):
+            words[place] = f"new{k}x{place}"
+        rows.append((k, " ".join(words)))
+    rows.append(rows[0])
+    made, staged = defaultdict(list), bagminhash.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        made[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(bagminhash, "staged", counted)
+    got = {r.doc_id: r.class_id for r in bagminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == classes(rows)
+    assert sum(made["met"]) <= 2 * made["buckets"][0] and sum(made["compared"]) < 200, made
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     got, want = [], []
