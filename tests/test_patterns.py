@@ -135,3 +135,21 @@ def test_unknown_types_are_skipped(spark):
     fields = [Field("n", (Pattern("Telepathy", "x"), Pattern("WholeWord", "bob")), "[N]")]
     docs = spark.createDataFrame([(1, "bob x")], "doc_id long, text string")
     assert redact(docs, fields).first().redacted_text == "[N] x"
+
+
+def test_terms_are_searched_once_in_bounded_runs(spark, monkeypatch):
+    """The search stands once in the plan, not again in the filter on its hits; a batch is taken a few texts at a time, with the same hits."""
+    import pyarrow as pa
+
+    from maskweave.operators import term_list
+
+    terms = term_list.dictionary(spark.createDataFrame([("red fox",), ("owl",)], "term string"))
+    docs = spark.createDataFrame([(1, "a Red-fox, an owl"), (2, None), (3, "none"), (4, "")], "doc_id long, text string")
+    found = term_list.term_hits(docs, terms).selectExpr("doc_id", "size(hits) AS n", "hits[0].value AS v", "transform(hits, h -> h.start) AS starts")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 2, "red fox", [2, 14])]
+    monkeypatch.setattr(term_list, "ROWS", 2)
+    monkeypatch.setattr(term_list, "BYTES", 8)
+    for texts in ([], [None], ["x" * 20, "a", None, "bb", "", "c" * 9, "d"]):
+        parts = list(term_list._parts(pa.array(texts, pa.string())))
+        assert [t for p in parts for t in p.to_pylist()] == texts and all(len(p) <= 2 for p in parts) and len(parts) >= 1
