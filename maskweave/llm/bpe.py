@@ -13,6 +13,7 @@ import json
 import mmap
 import os
 import re
+import sys
 import tempfile
 import unicodedata
 from array import array
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .common import KEPT, map_batches, staged, texts
+from .common import KEPT, map_batches, release, staged, texts
 
 #: Words in the automaton: with their ids a few MB, broadcast to the executors.
 LEXICON_WORDS = 65_536
-#: Words whose ids a Python worker remembers beside the automaton; then it forgets all and starts anew. Words of more
-#: letters are neither remembered nor counted: they are merged anew in n log n steps.
-REMEMBERED_WORDS, WORD_LETTERS = 500_000, 48
+#: Bytes of words and their ids that a Python worker remembers beside the automaton, whatever the words' lengths. Words of
+#: more letters are neither remembered nor counted: they are merged anew in n log n steps.
+REMEMBERED_BYTES, WORD_LETTERS = 50_000_000, 48
 
 # White space (Unicode's, as the vocabulary's normaliser has it) and the pieces that text is cut into.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -66,29 +67,31 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in {**self.ids, **self.special}.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.inner, self.last = [self.ids.get(x) for x in letters], [self.ids.get(x + self.end) for x in letters]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
         self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True).pre_tokenize_str
 
     def letter_ids(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        letters[-1] += self.end
-        return [self.ids[x] for x in letters if x in self.ids]
+        data, inner = word.encode("utf-8", "surrogatepass"), self.inner
+        ids = [inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        return [x for x in ids if x is not None] if None in ids else ids
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: always the leftmost pair of the lowest rank is merged, until none is left."""
-        ids, never = self.letter_ids(word), len(self.made) - 1
-        rank = self.ranks.get
+        ids, made, rank = self.letter_ids(word), self.made, self.ranks.get
+        never = len(made) - 1
         ranks = [rank(p, never) for p in zip(ids, ids[1:])]
         while ranks and (least := min(ranks)) < never:
             i = ranks.index(least)
-            ids[i : i + 2] = [self.made[least]]
-            del ranks[i]
+            ids[i] = new = made[least]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), never)
+                ranks[i - 1] = rank((ids[i - 1], new), never)
             if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), never)
+                ranks[i] = rank((new, ids[i + 1]), never)
         return ids
 
     def merge_long(self, word: str) -> list[int]:
@@ -150,7 +153,9 @@ def plain_form(text: str) -> str:
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    vocab = Vocabulary(path)
+    release()  # the file as it was parsed
+    return vocab
 
 
 # ---- the automaton -------------------------------------------------------------------------------------------------
@@ -253,15 +258,26 @@ def mapped(block: bytes) -> Lexicon:
 
 
 class Memory(dict):
-    """What ``make`` gives for a word, remembered for the words met last."""
+    """What ``make`` gives for a word, remembered for the words met last.
+
+    Two generations of half of REMEMBERED_BYTES each: when the newer is full, the older goes, and words of it that were
+    met again are in the newer.
+    """
+
+    #: What a word takes beside its letters and its ids: its place in the dict.
+    PLACE = 48
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older, self.bytes = make, {}, 0
 
     def __missing__(self, word: str):
-        value = self.make(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= WORD_LETTERS:
-            if len(self) >= REMEMBERED_WORDS:
+            self.bytes += (size := sys.getsizeof(word) + sys.getsizeof(value) + self.PLACE)
+            if self.bytes > REMEMBERED_BYTES // 2:
+                self.older, self.bytes = dict(self), size
                 self.clear()
             self[word] = value
         return value

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,27 @@ from ..sources.scratch import shared_dir
 from ..sources.tables import text_table
 
 
+#: Rows that a task holds as Python objects at once, and their bytes; a single longer row is held by itself.
+ROWS, BYTES = 1_000, 4_000_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile batches of rows on their way to Python end at BYTES, unless the session names a limit of its own.
+
+    A batch lies in the JVM, outside of its heap, and in Python; by default it may have 64 MB, in each task.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
@@ -28,7 +50,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch = path
     return table
@@ -53,8 +76,6 @@ def whole_row() -> Column:
     return F.struct("*").alias("_row")
 
 
-#: Rows that a task holds as Python objects at once, and their bytes; a single longer row is held by itself.
-ROWS, BYTES = 1_000, 4_000_000
 Columns = dict[str, object]
 
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import zlib
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
 from .common import map_batches, staged, texts
 
+if TYPE_CHECKING:  # workers that encode need not load it
+    import pandas as pd
+
 WINDOW = 2048
 END_ID = 1
 #: Pieces that one task packs; windows are closed at its end, so more of them waste less.

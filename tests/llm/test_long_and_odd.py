@@ -1,16 +1,18 @@
 """Long texts, unclosed markup, rows under one key: shapes that once took too long, too much memory or one task."""
 
 import random
+import sys
 import time
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from maskweave.llm import bpe, html, packing, pii, quality, secrets
+from maskweave.llm import bpe, common, html, packing, pii, quality, secrets
 from maskweave.llm.markup import blocks, tokens
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -157,3 +159,36 @@ def test_long_words_are_not_remembered(spark):
     assert memory["x" * 10_000] == 10_000 and memory["word"] == 4 and list(memory) == ["word"]
     docs = spark.createDataFrame([(i, "y" * 5_000 + " short") for i in range(5)], "doc_id long, text string")
     assert bpe.frequent_words(docs, VOCABULARY) == ["short"]
+
+
+def test_what_is_remembered_is_bounded_in_bytes():
+    """Words of 48 letters of four bytes have hundreds of ids: as many as fit are remembered, the last ones met among them."""
+    path, n = VOCABULARY, 60_000
+    memory = bpe.Memory(lambda w: bytes(768))
+    words = [chr(0x10400 + i % 1000) * 40 + chr(0x10400 + i // 1000) * 8 for i in range(n)]
+    assert all(memory[w] == bytes(768) for w in words)
+    held = {**memory.older, **memory}
+    assert sum(map(sys.getsizeof, held)) + sum(map(sys.getsizeof, held.values())) <= 50_000_000
+    assert set(words[-10_000:]) <= set(held)
+    assert bpe.encoder(path).encode_packed("walking " * 3) == bpe.encoder(path).encode_packed("walking") * 3
+
+
+def test_staged_rows_go_to_python_in_small_batches(spark):
+    """A batch ends soon after 4 MB; the session's own limit, if it names one, stays."""
+    docs = spark.range(400, numPartitions=1).selectExpr("id", "repeat('x', 50000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]})
+
+    def seen(name):
+        return common.staged(docs.mapInArrow(sizes, "bytes long, rows long"), name).agg(F.max("bytes"), F.sum("rows")).first()
+
+    most, rows = seen("small")
+    assert rows == 400 and most < 5_000_000 and spark.conf.get(common.BATCH_BYTES, None) is None
+    spark.conf.set(common.BATCH_BYTES, 8_000_000)
+    try:
+        most, rows = seen("own")
+        assert rows == 400 and most > 7_000_000 and spark.conf.get(common.BATCH_BYTES).startswith("8000000")
+    finally:
+        spark.conf.unset(common.BATCH_BYTES)
